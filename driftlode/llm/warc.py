@@ -8,6 +8,7 @@ type and digests of its own.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,6 @@ LEGEND = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-FILE_BYTES = 16 << 20
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 
 
@@ -133,19 +133,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warcs(records: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write ``records`` (as convert_arcs() returns them) as WARC files of about FILE_BYTES.
+    """Write ``records`` (as convert_arcs() returns them) as gzipped WARC files, one for each partition.
 
     Of records with equal payloads of ``least_bytes`` or more, that with the smallest id is a
     response and the others are revisits of it; shorter ones are all responses.
     """
-    records = materialize(records, "converted")
-    firsts = records.where(F.octet_length("payload") >= least_bytes).groupBy(F.col("digest").alias("sha")).agg(F.min("id").alias("first"))
-    linked = records.select("id", "digest").join(firsts, F.col("digest") == F.col("sha")).select(F.col("id").alias("key"), "sha", "first").distinct()
-    size = records.agg(F.sum(F.octet_length("payload") + 600)).first()[0] or 0
-    # revisits are short, so the length of the payload does not sway how the records are dealt
-    both = records.join(linked, (F.col("id") == F.col("key")) & (F.col("digest") == F.col("sha")), "left").repartition(max(1, -(-size // FILE_BYTES)), F.xxhash64("id", "digest"))
+    # the payloads are converted again where they are written, rather than kept twice on disk
+    slim = materialize(records.select("id", "digest", (F.octet_length("payload") >= least_bytes).alias("long")), "digests")
+    firsts = slim.where("long").groupBy(F.col("digest").alias("sha")).agg(F.min("id").alias("first"))
+    linked = slim.select("id", "digest").join(firsts, F.col("digest") == F.col("sha")).select(F.col("id").alias("key"), "sha", "first").distinct()
+    linked = materialize(linked, "linked")
+    both = records.join(linked, (F.col("id") == F.col("key")) & (F.col("digest") == F.col("sha")), "left")
     texts = both.select("id", "url", "date", "mime", "digest", "payload", "first").mapInArrow(_texts, "value binary")
-    texts.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
+    texts.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def warc_records(data: bytes) -> Iterator[dict]:
@@ -164,13 +164,17 @@ def warc_records(data: bytes) -> Iterator[dict]:
         yield fields | {"block": block}
 
 
+def unzipped(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("id", "url", "date", "mime", "record_type", "record_id", "payload_bytes", "payload_digest", "refers_to", "payload")
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for r in warc_records(data.as_py()):
+            for r in warc_records(unzipped(data.as_py())):
                 sha, length = r["warc-payload-digest"].removeprefix("sha1:"), int(r["x-payload-length"])
                 block = r["block"]
                 if r["warc-block-digest"] != f"sha1:{digest(block)}" or r["warc-type"] == "response" and (sha != digest(block) or length != len(block)):

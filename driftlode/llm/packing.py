@@ -8,6 +8,8 @@ and each piece then looks up its place by its rank among the pieces of its lengt
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from driftlode.llm.common import materialize
 
 CAPACITY, END_ID = 4096, 1
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 600_000, 48
 PER_GROUP = 1 << 16
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, _Codes] = {}
 
 
 @lru_cache(maxsize=4)
@@ -35,23 +37,58 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class _Codes(dict):
+    """The ids of parts of texts, each coded when it is first asked for.
+
+    A part of letters alone, perhaps with one full stop or comma behind, is what the tokenizer's split
+    leaves whole (without the stop), so it goes straight to the merges; others take the whole way.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+
+    def __missing__(self, part: str) -> bytes:
+        base = part[:-1] if part[-1:] in (".", ",") and len(part) > 1 else part
+        if base.isalpha():
+            letters = base if base.isascii() else "".join([BYTE_LETTERS[b] for b in base.encode()])
+            ids = [t.id for t in self.model.tokenize(letters)]
+        else:
+            base, ids = part, self.tokenizer.encode(part, add_special_tokens=False).ids
+        code = struct.pack(f"<{len(ids)}I", *ids)
+        if base is not part:
+            code += self[part[-1]]
+        if len(part) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+            self[part] = code
+        return code
+
+
 def encoded(path: str, text: str | None) -> bytes:
-    """The ids of ``text`` as little-endian unsigned 32-bit numbers.
+    """The ids of ``text`` as little-endian unsigned 32-bit numbers, for a tokenizer of whole words.
 
-    The tokenizer drops white space and joins nothing across it, so that the ids of a text are those
-    of its parts between spaces and line feeds. Parts seen before aren't encoded again.
+    The tokenizer composes characters (NFC), lower-cases them one by one, drops white space and
+    joins nothing across it, so that the ids of a text are those of its parts between spaces and line
+    feeds. Parts seen before aren't encoded again. Texts that this can't be said of (not composed, or
+    with the two letters whose lower case differs in Python) are encoded whole.
     """
-    known, parts = _known.setdefault(path, {}), (text or "").replace("\n", " ").split(" ")
-    new = list({p for p in parts if p not in known})
-    if new:
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(set(parts))
-        coded = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = b"".join([known[p] if p in known else coded[p] for p in parts])
-        known.update((p, c) for p, c in coded.items() if len(p) <= LONGEST)
-        return out
-    return b"".join([known[p] for p in parts])
+    text = text or ""
+    if not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "\u03a3" in text or "\u0130" in text):
+        return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    if path not in _known:
+        _known[path] = _Codes(path)
+    return b"".join(map(_known[path].__getitem__, text.lower().replace("\n", " ").split(" ")))
 
 
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):

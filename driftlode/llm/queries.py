@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlode.llm import epsjoin, linededup, minhash, packing, quality, secrets, toxicity, warc
+from driftlode.llm import bm25, epsjoin, linededup, minhash, packing, quality, secrets, spm, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -40,6 +44,11 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsjoin.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op7_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.top_k(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -58,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op6_embeddings": op6_embeddings,
+    "op7_bm25": op7_bm25,
     "op8_minhash": op8_minhash,
     "op9_linededup": op9_linededup,
     "op10_warc": op10_warc,

@@ -30,8 +30,7 @@ def read_wind_cache(spark: SparkSession, path: str) -> DataFrame:
     """Wind records, from a JSON list or from an object with ``records``."""
     record = "struct<lat:double,lon:double,timestamp_utc:string,wind_speed_ms:double>"
     text = spark.read.text(path, wholetext=True)
-    both = F.coalesce(F.from_json("value", f"array<{record}>"), F.from_json("value", f"struct<records:array<{record}>>")["records"])
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{record}>")).otherwise(both)
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{record}>")).otherwise(F.from_json("value", f"struct<records:array<{record}>>")["records"])
     return text.select(F.posexplode(listed).alias("seq", "r")).select("seq", "r.*")
 
 

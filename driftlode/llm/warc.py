@@ -143,7 +143,7 @@ def write_warcs(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     firsts = slim.where("long").groupBy(F.col("digest").alias("sha")).agg(F.min("id").alias("first"))
     linked = slim.select("id", "digest").join(firsts, F.col("digest") == F.col("sha")).select(F.col("id").alias("key"), "sha", "first").distinct()
     linked = materialize(linked, "linked")
-    both = records.join(linked, (F.col("id") == F.col("key")) & (F.col("digest") == F.col("sha")), "left")
+    both = records.join(linked, F.col("id").eqNullSafe(F.col("key")) & (F.col("digest") == F.col("sha")), "left")
     texts = both.select("id", "url", "date", "mime", "digest", "payload", "first").mapInArrow(_texts, "value binary")
     texts.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 

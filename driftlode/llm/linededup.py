@@ -2,8 +2,8 @@
 
 Every line gets a signature of BANDS bands of ROWS minima over its runs of SHINGLE characters. Two
 lines that agree on a band are candidates; at a Jaccard similarity of 0.8 a pair is missed with the
-probability (1 - 0.8**ROWS)**BANDS = 0.003, at 0.9 with 0.00003. Candidates are checked on the full
-shingle sets. Of the lines that links join to a component, the first one stays: that of the smallest
+probability (1 - 0.8**ROWS)**BANDS = 0.0008, at 0.9 with 0.000002. Candidates that agree on LEAST
+of all the minima are checked on the full shingle sets. Of the lines that links join to a component, the first one stays: that of the smallest
 document id, and in this document the first.
 """
 
@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.llm.collisions import linked
-from driftlode.llm.common import drop_files, materialize
+from driftlode.llm.common import bit_filter, bits_set, drop_files, materialize
 from driftlode.llm.minhash import mixed
 
-SHINGLE, BANDS, ROWS = 10, 8, 3
+SHINGLE, BANDS, ROWS, LEAST = 10, 10, 3, 14
 SEEN = 400_000
-BITS = 20
 
 _rng = np.random.default_rng(20240502)
 _MUL = _rng.integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -36,12 +35,14 @@ def _points(text: str) -> np.ndarray:
 
 
 def _rolled(points: np.ndarray) -> np.ndarray:
-    """A hash of each run of SHINGLE code points."""
+    """A hash of each run of SHINGLE = 10 code points, from those of runs of 2, 4 and 8."""
     n = max(len(points) - SHINGLE + 1, 0)
-    total = np.zeros(n, np.uint64)
-    for i in range(SHINGLE if n else 0):
-        total += points[i : i + n] * _PLACE[i]
-    return mixed(total)
+    if not n:
+        return np.zeros(0, np.uint64)
+    two = points[:-1] * _PLACE[0] + points[1:]
+    four = mixed(two[:-2]) * _PLACE[1] + two[2:]
+    eight = four[:-4] * _PLACE[2] + four[4:]
+    return mixed(eight[:n] * _PLACE[3] + two[8 : 8 + n])
 
 
 def shingle_set(line: str) -> np.ndarray:
@@ -51,16 +52,16 @@ def shingle_set(line: str) -> np.ndarray:
     return np.unique(_rolled(_points(line)))
 
 
-def _bands(low: np.ndarray) -> np.ndarray:
-    """Minima (lines x rows of all bands) to one 64-bit value for each line and band."""
+def _bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minima (lines x rows of all bands) to a 64-bit value for each line and band, and a byte for each minimum."""
     total = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
     for i in range(ROWS):
         total = mixed(total + low[:, i::ROWS].astype(np.uint64) * _PLACE[16 + i])
-    return total.view(np.int64)
+    return total.view(np.int64), mixed(low.astype(np.uint64)).astype(np.uint8)
 
 
-def signatures(text: str, lines: list[str], wanted: list[int]) -> np.ndarray:
-    """The bands of the lines numbered ``wanted`` of ``text``, whose lines are ``lines``."""
+def minima(text: str, lines: list[str], wanted: list[int]) -> np.ndarray:
+    """The minima of the lines numbered ``wanted`` of ``text``, whose lines are ``lines``; a row for each."""
     low = np.full((len(wanted), BANDS * ROWS), 2**32 - 1, np.uint32)
     ends = np.cumsum([len(x) + 1 for x in lines]) - 1
     long = [(k, int(ends[i]) - len(lines[i]), int(ends[i]) - SHINGLE + 1) for k, i in enumerate(wanted) if len(lines[i]) >= SHINGLE]
@@ -76,70 +77,92 @@ def signatures(text: str, lines: list[str], wanted: list[int]) -> np.ndarray:
     for k, i in enumerate(wanted):
         if len(lines[i]) < SHINGLE:
             low[k] = (shingle_set(lines[i])[:1].astype(np.uint32) * _MUL[:, 0]) + _ADD[:, 0]
-    return _bands(low)
+    return low
 
 
-def _key(line: str) -> tuple[int, int]:
-    hi, lo = np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8")
-    return int(hi), int(lo)
+def _lines(text: str | None) -> tuple[list[str], list[int]]:
+    """All lines of a text, and the numbers of those that aren't blank."""
+    lines = (text or "").split("\n")
+    return lines, [i for i, x in enumerate(lines) if x and not x.isspace()]
 
 
-def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank; bands only where the task first meets a line."""
-    seen: set[bytes] = set()
+def _keys(lines: list[str]) -> np.ndarray:
+    """128 bits for each line, as rows of two longs."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<i8").reshape(-1, 2)
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, line, hi, lo) of every line that isn't blank."""
     for batch in batches:
-        docs, numbers, keys, bands = [], [], [], []
+        docs, numbers, keys = [], [], [np.zeros((0, 2), np.int64)]
         for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = value.as_py()
-            if doc is None or not text:
-                continue
-            lines = text.split("\n")
-            own = [i for i, x in enumerate(lines) if x and not x.isspace()]
-            digests = [xxhash.xxh3_128_digest(lines[i].encode("utf-8", "surrogatepass")) for i in own]
-            new = []
-            for k, d in enumerate(digests):
-                if d not in seen:
-                    seen.add(d)
-                    new.append(k)
-            coords: list = [None] * len(own)
-            for k, row in zip(new, signatures(text, lines, [own[k] for k in new]) if new else (), strict=True):
-                coords[k] = row
-            if len(seen) > SEEN:
-                seen.clear()
+            lines, own = _lines(value.as_py() if doc is not None else None)
             docs += [doc] * len(own)
             numbers += own
-            keys += digests
-            bands += coords
-        both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "line", "hi", "lo", "coords"])
+            keys.append(_keys([lines[i] for i in own]))
+        both = np.concatenate(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc", "line", "hi", "lo"])
+
+
+def _signed(repeated: np.ndarray):
+    """Signatures. ``many`` marks lines that may occur elsewhere too; of these each task gives the first it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, manys, lows = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)], [np.zeros((0, BANDS * ROWS), np.uint32)]
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() if doc is not None else None
+                lines, own = _lines(text)
+                key = _keys([lines[i] for i in own])
+                many = bits_set(repeated, key[:, 1].copy())
+                new = []
+                for k, m in enumerate(many):
+                    if m:
+                        name = key[k].tobytes()
+                        if name in seen:
+                            continue
+                        seen.add(name)
+                    new.append(k)
+                if len(seen) > SEEN:
+                    seen.clear()
+                if new:
+                    keys.append(key[new])
+                    manys.append(many[new])
+                    lows.append(minima(text, lines, [own[k] for k in new]))
+            both = np.concatenate(keys)
+            flat, low = _bands(np.concatenate(lows))
+            sketches = [x.tobytes() for x in low]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array(sketches, pa.binary())], names=["hi", "lo", "many", "coords", "sketch"])
+
+    return run
 
 
 def _texts_at(bits: np.ndarray):
-    """The lines whose key's bit is set, each once for a batch: a superset of those asked for."""
+    """The lines whose key the bitmap lets through, each once for a batch: a superset of those asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[bytes, str] = {}
-            for value in batch.column(0):
-                for line in (value.as_py() or "").split("\n"):
-                    if line and not line.isspace():
-                        key = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                        at = int.from_bytes(key[8:12], "little") & (2**BITS - 1)
-                        if bits[at >> 5] >> (at & 31) & 1:
-                            found[key] = line
-            both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(list(found.values()), pa.string())], names=["hi", "lo", "text"])
+            lines = list({x for value in batch.column(0) for x in (value.as_py() or "").split("\n") if x and not x.isspace()})
+            both = _keys(lines)
+            hit = np.flatnonzero(bits_set(bits, both[:, 1].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(both[hit, 0]), pa.array(both[hit, 1]), pa.array([lines[k] for k in hit], pa.string())], names=["hi", "lo", "text"])
 
     return run
 
 
+def _runs(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1))}
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, sets = [], {}
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = (sets.get(s) if s in sets else sets.setdefault(s, shingle_set(s)) for s in (a, b))
-                common = len(np.intersect1d(x, y, assume_unique=True))
+            for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = (sets.get(s) or sets.setdefault(s, _runs(s)) for s in pair)
+                common = len(x & y)
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 if len(sets) > 1000:
                     sets.clear()
@@ -148,45 +171,56 @@ def _similar(percent: int):
     return run
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x).view(np.int64) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc, removed): for each document that loses lines, their numbers from 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.mapInArrow(_read_lines, "doc long, line int, hi long, lo long, coords array<long>")
-    lines = materialize(lines.withColumn("uid", F.monotonically_increasing_id()), "lines")
-    keyed = lines.where("coords is not null").select("uid", "hi", "lo")
+    slim = materialize(rows.mapInArrow(_placed, "doc long, line int, hi long, lo long"), "lines")
+    repeated = materialize(slim.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "repeated")
+    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo")), "hi long, lo long, many boolean, coords array<long>, sketch binary")
+    signed = materialize(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
+    # of the lines that several tasks met, one row
+    firsts = materialize(signed.where("many").groupBy("hi", "lo").agg(F.min("uid").alias("uid")), "firsts")
+    items = signed.where("not many").select(F.col("uid").alias("node"), "coords", "sketch").union(signed.where("many").join(firsts.select("uid"), "uid").select("uid", "coords", "sketch"))
+    keyed = signed.where("not many").select("uid", "hi", "lo").union(firsts.select("uid", "hi", "lo"))
+
+    def texts(ends: DataFrame) -> DataFrame:
+        """(hi, lo, text) for a table of line keys; few of the other lines get as far as the join."""
+        ends = materialize(ends.select("hi", "lo").distinct(), "ends")
+        bits = bit_filter(ends, "lo")
+        there = rows.select("text").mapInArrow(_texts_at(bits), "hi long, lo long, text string")
+        return materialize(there.join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("text").alias("text")), "texts")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        at = materialize(keyed.join(nodes, keyed.uid == nodes.node).select("node", "hi", "lo"), "at")
+        return at.join(texts(at), ["hi", "lo"]).select("node", "text")
+
+    def shingles(nodes: DataFrame) -> DataFrame:
+        return sets(nodes).mapInArrow(_shingled, "node long, shingles array<long>")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        a, b = (keyed.select(F.col("uid").alias(c), F.col("hi").alias(f"{c}_hi"), F.col("lo").alias(f"{c}_lo")) for c in ("a", "b"))
-        both = materialize(pairs.join(a, "a").repartition(F.col("b")).join(b, "b"), "pairs")
-        equal = (F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") == F.col("b_lo"))
-        differ = both.where(~equal)
-        ends = differ.select(F.explode(F.array(*[F.struct(F.col(f"{c}_hi").alias("hi"), F.col(f"{c}_lo").alias("lo")) for c in ("a", "b")])).alias("e")).select("e.*").distinct()
-        ends = materialize(ends, "ends")
-        words = ends.selectExpr(f"(lo & {2**BITS - 1}) >> 5 as w", "shiftleft(1L, cast(lo & 31 as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m"))
-        bits = np.zeros(2**BITS // 32, np.uint64)
-        for w, m in words.collect():  # 2**15 rows at most
-            bits[w] = m
-        texts = rows.select("text").mapInArrow(_texts_at(bits), "hi long, lo long, text string")
-        texts = materialize(texts.join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("text").alias("text")), "texts")
-        ta, tb = (texts.select(F.col("hi").alias(f"{c}_hi"), F.col("lo").alias(f"{c}_lo"), F.col("text").alias(f"{c}_text")) for c in ("a", "b"))
-        told = differ.join(ta, ["a_hi", "a_lo"]).repartition("b_hi", "b_lo").join(tb, ["b_hi", "b_lo"])
-        return both.where(equal).select("a", "b").union(told.select("a", "b", "a_text", "b_text").mapInArrow(_similar(percent), "a long, b long"))
-
-    items = lines.where("coords is not null").select(F.col("uid").alias("node"), "coords")
-    _, found = linked(items, BANDS, 1, confirm)
-    found = materialize(found, "found")
-    slim = lines.select("doc", "line", "hi", "lo")
-    groups = keyed.join(found, F.col("uid") == F.col("node")).groupBy("hi", "lo").agg(F.min("component").alias("c"))
-    whole = slim.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+        pairs = materialize(pairs, "pairs")
+        full = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        full = materialize(full, "sets")
+        a, b = (full.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("a", "b"))
+        both = pairs.join(a, "a").repartition(F.col("b")).join(b, "b")
+        return both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(percent), "a long, b long")
+
+    _, found = linked(items, LEAST, percent, confirm, shingles)
+    groups = found.join(keyed, found.node == keyed.uid).select("hi", "lo", F.col("component").alias("c"))
     # lines without a link that occur once stay, whatever else
-    known = materialize(whole.join(groups, ["hi", "lo"], "left").where("n > 1 or c is not null").withColumn("c", F.coalesce("c", -1 - F.abs(F.xxhash64("hi", "lo") / 2).cast("long"))), "known")
-    firsts = known.groupBy("c").agg(F.min("first").alias("first"))
-    at = materialize(slim.join(known.select("hi", "lo", "c"), ["hi", "lo"]).select("doc", "line", "c"), "at")
-    kept = at.join(firsts, "c").where(F.col("doc") == F.col("first")).groupBy("c", "first").agg(F.min("line").alias("stays"))
+    own = F.xxhash64("hi", "lo").bitwiseOR(F.lit(-(2**63)))  # negative, as no component is
+    known = materialize(repeated.join(groups, ["hi", "lo"], "full").select("hi", "lo", F.coalesce("c", own).alias("c")), "known")
+    drop_files(signed)
+    at = materialize(slim.join(known, ["hi", "lo"]).select("doc", "line", "c"), "at")
+    firsts = at.groupBy("c").agg(F.min("doc").alias("first"))
+    kept = at.join(firsts, "c").where("doc = first").groupBy("c", "first").agg(F.min("line").alias("stays"))
     gone = at.join(kept, "c").where("doc <> first or line <> stays").groupBy("doc").agg(F.collect_set("line").alias("removed"))
-    gone = materialize(gone, "gone")
-    drop_files(lines)
-    return gone
+    return materialize(gone, "gone")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, percent: int = 80, count_cols: bool = False) -> DataFrame:

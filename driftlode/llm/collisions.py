@@ -1,80 +1,130 @@
-"""Inverted join over signature coordinates: which items agree on many coordinates.
-
-Every item is posted under each of its coordinate values. Lists of up to ``small`` items give all
-their pairs. Longer lists give stars around one item of the list, another one for each list; when
-those links have been confirmed and joined to components, only items outside the largest component
-of a list are compared again, with the items that share a second coordinate value with them.
+"""Inverted join over signature coordinates: which items agree on many of them.
+
+A signature is a sketch (a byte of each of many minima) and a prefix of coordinates (each the hash
+of a few minima). Items are posted under the values of the prefix. Lists of up to ``SMALL`` items
+give all their pairs. Longer lists give a star around one item of the list, another one for each
+list; when those links have been confirmed and joined to components, the long lists are compared
+in blocks, but only between different components. A candidate pair goes on if its sketches agree
+often enough; the caller confirms it on the full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.llm.common import drop_files, materialize
 from driftlode.llm.components import connected_components
 
-SMALL = 24
+SMALL, BLOCK = 24, 512
 
 
-def _posted(items: DataFrame, prefix: int, small: int) -> DataFrame:
+def _posted(items: DataFrame) -> DataFrame:
     """(key, node, n, pivot) for the posting lists of two items or more."""
-    posts = items.select("node", F.explode(F.slice("coords", 1, prefix)).alias("key"))
+    posts = items.select("node", F.explode("coords").alias("key"))
     # node XOR key orders the nodes differently in every list, and can be undone
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).where("n > 1")
     return posts.join(lists, "key").select("key", "node", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
 
 
-def _pairs(posted: DataFrame, small: int) -> DataFrame:
-    few, many = posted.where(F.col("n") <= small), posted.where((F.col("n") > small) & (F.col("node") != F.col("pivot")))
+def _pairs(posted: DataFrame) -> DataFrame:
+    few, many = posted.where(F.col("n") <= SMALL), posted.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
     a, b = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
     stars = many.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     return a.join(b, "key").where("a < b").select("a", "b").union(stars).distinct()
 
 
-def _agree(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    """Pairs that agree on ``least`` coordinates or more, counted over all coordinates."""
-    left, right = (items.select(F.col("node").alias(c), F.col("coords").alias(f"{c}_coords")) for c in ("a", "b"))
-    both = pairs.join(left, "a").repartition(F.col("b")).join(right, "b")
-    return both.where(F.size(F.array_intersect("a_coords", "b_coords")) >= least).select("a", "b")
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _rest(posted: DataFrame, found: DataFrame, small: int) -> DataFrame | None:
-    """Pairs of the long lists whose ends lie in different components.
+def _often(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(axis=1) if batch.num_rows else np.zeros(0)
+            yield batch.select([0, 1]).filter(pa.array(same >= least))
 
-    One end is outside the largest component of the list, and both ends share two of the long
-    lists at least. None if every long list lies in one component.
-    """
-    long = posted.where(F.col("n") > small).select("key", "node")
-    long = materialize(long.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "long")
-    sizes = long.groupBy("key", "c").count()
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    apart = long.join(main, "key").groupBy("node", "c").agg(F.sort_array(F.collect_list(F.struct("key", (F.col("c") != F.col("main")).alias("minor")))).alias("keys"))
-    two = "transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> struct(xxhash64(x.key, y.key) as two, x.minor or y.minor as minor)))"
-    twos = materialize(apart.select("node", "c", F.explode(F.flatten(F.expr(two))).alias("t")).select("node", "c", "t.two", "t.minor"), "twos")
-    if twos.where("minor").isEmpty():
-        drop_files(twos)
+    return run
+
+
+def _agree(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """Pairs whose sketches agree in ``least`` places or more."""
+    left, right = (items.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
+    both = pairs.join(left, "a").repartition(F.col("b")).join(right, "b")
+    return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_often(least), "a long, b long")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as one array of values and the n + 1 places where its lists begin and end."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+
+
+def _compared(least: int, percent: int):
+    """Links between the items of two blocks; only those that join what wasn't joined before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, group, block = (table.column(c).to_numpy().copy() for c in ("node", "c", "block"))
+        out: list[tuple[int, int]] = []
+        if len(np.unique(group)) > 1:
+            sketch = _sketches(table.column("sketch").combine_chunks())
+            values, cuts = _flat(table.column("shingles"))
+            words, values = np.unique(values, return_inverse=True)
+            sizes, mark = np.diff(cuts), np.zeros(len(words), bool)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            for x in left:
+                own = right[(group[right] != group[x]) & ((node[right] > node[x]) | (i != j))]
+                own = own[(sketch[own] == sketch[x]).sum(axis=1) >= least]
+                if not len(own):
+                    continue
+                mark[values[cuts[x] : cuts[x + 1]]] = True
+                common = np.array([np.count_nonzero(mark[values[cuts[y] : cuts[y + 1]]]) for y in own])
+                mark[values[cuts[x] : cuts[x + 1]]] = False
+                for y in own[100 * common >= percent * (sizes[x] + sizes[own] - common)]:
+                    if group[x] != group[y]:
+                        out.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
+                        group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def _rest(posted: DataFrame, items: DataFrame, found: DataFrame, least: int, percent: int, sets: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Links between the components that a long list holds; None if each list lies in one."""
+    long = posted.where(F.col("n") > SMALL).select("key", "node", "n")
+    long = materialize(long.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "long")
+    mixed = long.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    long = materialize(long.join(mixed, "key"), "mixed")
+    nodes = long.select("node").distinct()
+    if nodes.isEmpty():
         return None
-    x = twos.where("minor").select("two", F.col("node").alias("x"), F.col("c").alias("xc"))
-    y = twos.select("two", F.col("node").alias("y"), F.col("c").alias("yc"))
-    return x.join(y, "two").where("xc <> yc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    full = materialize(sets(nodes).join(items.select("node", "sketch"), "node"), "sets")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = long.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(full, "node")
+    # every block meets every block of its list, itself included, in a group of its own
+    groups = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("k", "block").alias("i"), F.greatest("k", "block").alias("j"), "block", "node", "c", "sketch", "shingles")
+    return groups.groupBy("key", "i", "j").applyInArrow(_compared(least, percent), "a long, b long")
 
 
-def linked(items: DataFrame, prefix: int, least: int, confirm: Callable[[DataFrame], DataFrame], small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Links of ``items`` (node long, coords array<long>) and the components they make.
+def linked(items: DataFrame, least: int, percent: int, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links of ``items`` (node long, coords array<long>, sketch binary) and their components.
 
-    A pair is a candidate if it agrees on ``least`` coordinates; ``prefix`` of them are posted,
-    so many that such a pair shares two posted ones. ``confirm`` keeps the pairs (a, b) that are
-    links. Returned are a spanning set of confirmed links (a, b) and (node, component).
+    A pair is a candidate if it shares a value of coords and its sketches agree in ``least``
+    places. ``confirm`` keeps the pairs (a, b) that are links; ``sets`` gives (node, shingles) for a
+    table of nodes, which are compared in place. Returned are confirmed links (a, b) that span the
+    components, and (node, component).
     """
-    posted = materialize(_posted(items, prefix, small), "posted")
-    links = materialize(confirm(_agree(_pairs(posted, small), items, least)), "links")
+    posted = materialize(_posted(items), "posted")
+    links = materialize(confirm(_agree(_pairs(posted), items, least)), "links")
     found = connected_components(links)
-    more = _rest(posted, found, small)
+    more = _rest(posted, items, found, least, percent, sets)
     if more is not None:
-        links = links.union(materialize(confirm(_agree(more, items, least)), "links"))
+        links = links.union(materialize(more, "links"))
         found = connected_components(links)
     drop_files(posted)
     return links, found

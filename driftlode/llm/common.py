@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,22 @@ def drop_files(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def first_by_id(df: DataFrame, *columns: str) -> DataFrame:
-    """Only ``columns``, so that no further column can clash with those an operator adds."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+BITS = 23
+
+
+def bit_filter(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the lowest ``bits`` bits of a column of longs, 2**(bits - 6) words at most.
+
+    It tells before a shuffle which rows can't be among those of ``df``; those it lets through still
+    have to be joined. Its size is fixed: with very many values it lets more through, not less.
+    """
+    words = df.selectExpr(f"(`{column}` & {2**bits - 1}) >> 6 as w", f"shiftleft(1L, cast(`{column}` & 63 as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(2 ** (bits - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def bits_set(filter_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the int64 ``values`` the bitmap lets through."""
+    at = values.view(np.uint64) & np.uint64(len(filter_) * 64 - 1)
+    return (filter_[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -56,26 +56,42 @@ class Link:
         return float(_sigmoid(np.array(total)))
 
 
-def _fit(docs: list[tuple[np.ndarray, np.ndarray]], before: np.ndarray, y: np.ndarray) -> Link:
-    """Choose the features that tell most and fit a ridge logistic model by Newton's steps."""
-    if not len(docs) or y.min() == y.max():
-        return Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(before.shape[1]), -5.0 if not len(docs) or not y.max() else 5.0)
-    owner = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    value = np.concatenate([d[1] for d in docs])
-    names, code = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
-    n, pos = np.bincount(code, minlength=len(names)), np.bincount(code, weights=y[owner], minlength=len(names))
+@dataclass
+class Found:
+    """The features of all sampled documents, as three arrays in the order of documents."""
+
+    names: np.ndarray
+    owner: np.ndarray
+    code: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[tuple[np.ndarray, np.ndarray]]) -> Found:
+        names, code = np.unique(np.concatenate([d[0] for d in docs]) if docs else np.zeros(0, np.uint64), return_inverse=True)
+        return cls(names, np.repeat(np.arange(len(docs), dtype=np.int32), [len(d[0]) for d in docs]), code.astype(np.int32), np.concatenate([d[1] for d in docs]) if docs else np.zeros(0))
+
+
+def _fit(found: Found, rows: np.ndarray, before: np.ndarray, y: np.ndarray) -> Link:
+    """Choose the features that tell most about ``rows`` and fit a ridge logistic model by Newton's steps."""
+    if not len(rows) or y[rows].min() == y[rows].max():
+        return Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(before.shape[1]), -5.0 if not len(rows) or not y[rows].max() else 5.0)
+    place = np.full(len(y), -1, np.int32)
+    place[rows] = np.arange(len(rows), dtype=np.int32)
+    mine = place[found.owner] >= 0
+    owner, code, value, y = place[found.owner[mine]], found.code[mine], found.value[mine], y[rows]
+    n, pos = np.bincount(code, minlength=len(found.names)), np.bincount(code, weights=y[owner], minlength=len(found.names))
     rate = y.mean()
     tell = np.abs(pos - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-9)
     tell[n < LEAST_DF] = -1
     top = np.sort(np.argsort(-tell, kind="stable")[:FEATURES])
     top = top[tell[top] > 0]
-    place = np.full(len(names), -1)
-    place[top] = np.arange(len(top))
+    at = np.full(len(found.names), -1, np.int32)
+    at[top] = np.arange(len(top), dtype=np.int32)
     k = before.shape[1]
-    x = np.zeros((len(docs), len(top) + k + 1))
-    own = place[code] >= 0
-    x[owner[own], place[code[own]]] = value[own]
-    x[:, len(top) : len(top) + k] = before
+    x = np.zeros((len(rows), len(top) + k + 1))
+    own = at[code] >= 0
+    x[owner[own], at[code[own]]] = value[own]
+    x[:, len(top) : len(top) + k] = before[rows]
     x[:, -1] = 1
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], L2)
     ridge[-1] = 1e-6
@@ -86,21 +102,21 @@ def _fit(docs: list[tuple[np.ndarray, np.ndarray]], before: np.ndarray, y: np.nd
         w = w - step
         if np.abs(step).max() < 1e-3:
             break
-    return Link(names[top], w[: len(top)], w[len(top) : -1], float(w[-1]))
+    return Link(found.names[top], w[: len(top)], w[len(top) : -1], float(w[-1]))
 
 
 def fit_chain(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[list[Link], float]:
     """The chain for ``labels`` (documents x categories), and the threshold for the last category that
     makes the F1 of its out-of-fold probabilities largest (between 0.2 and 0.8)."""
-    fold = np.arange(len(docs)) % FOLDS
+    fold, found = np.arange(len(docs)) % FOLDS, Found.of(docs)
     before, chain = np.zeros((len(docs), 0)), []
     for c in range(labels.shape[1]):
         y, p = labels[:, c].astype(float), np.zeros(len(docs))
         for f in range(FOLDS):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            model = _fit([docs[i] for i in train], before[train], y[train])
-            p[test] = [model.score(*docs[i], list(before[i])) for i in test]
-        chain.append(_fit(docs, before, y))
+            model = _fit(found, np.flatnonzero(fold != f), before, y)
+            for i in np.flatnonzero(fold == f):
+                p[i] = model.score(*docs[i], list(before[i]))
+        chain.append(_fit(found, np.arange(len(docs)), before, y))
         before = np.column_stack([before, p])
     grid = np.arange(0.2, 0.81, 0.05)
     f1 = [2 * (y[p >= t]).sum() / max(y.sum() + (p >= t).sum(), 1) for t in grid] if len(docs) else [0.0]
@@ -117,7 +133,7 @@ def predict(chain: list[Link], found: np.ndarray, value: np.ndarray) -> list[flo
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0].view(np.int64) for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), batch.column(2)], names=["id", "found", "value", "y"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary()), batch.column(2)], names=["id", "found", "value", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[Link], float]:
@@ -129,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     some = labels.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     told = docs.join(F.broadcast(some), id_col)  # `sample` rows at most
     rows = told.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.array(*[F.coalesce(F.expr(c).cast("int"), F.lit(0)) for c in categories.values()]))
-    got = sorted(rows.mapInArrow(_extract, "id long, found array<long>, value array<double>, y array<int>").toLocalIterator(), key=lambda r: r[0])
+    got = sorted(rows.mapInArrow(_extract, "id long, found binary, value binary, y array<int>").toLocalIterator(), key=lambda r: r[0])
     y = np.array([r[3] for r in got], np.float32).reshape(-1, len(categories))
-    return fit_chain([(np.array(r[1], np.int64).view(np.uint64), np.array(r[2], float)) for r in got], y)
+    return fit_chain([(np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], "<f4")) for r in got], y)
 
 
 def score(docs: DataFrame, chain: list[Link], names: list[str], text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from driftlode.llm.common import bit_filter, bits_set, drop_files, materialize
 from driftlode.llm.minhash import mixed
 
 SHINGLE, BANDS, ROWS, LEAST = 10, 10, 3, 14
-SEEN = 400_000
+SEEN = 100_000
 
 _rng = np.random.default_rng(20240502)
 _MUL = _rng.integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)

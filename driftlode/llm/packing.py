@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from driftlode.llm.common import materialize
 
 CAPACITY, END_ID = 4096, 1
-CACHED, LONGEST = 600_000, 48
+CACHED, LONGEST = 150_000, 32
 PER_GROUP = 1 << 16
 
 _known: dict[str, _Codes] = {}

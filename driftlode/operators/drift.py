@@ -102,6 +102,25 @@ def integrate(lat, lon, t, seconds, dt, alpha, current, wind, backward=False, in
     return step_by(lat, lon, t, sign * rest, alpha, current, wind, integrator) if rest > 1e-6 else (lat, lon)
 
 
+def together(clouds, hours, t, dt, alpha, current, wind, integrator="rk4"):
+    """The clouds released so many ``hours`` before ``t``, as they are at ``t``.
+
+    If all starts lie whole steps before ``t``, the clouds move as one array that grows at each start.
+    """
+    if any(h * 3600 % dt for h in hours):
+        return [integrate(*c, t - h * 3600, h * 3600, dt, alpha, current, wind, False, integrator) for c, h in zip(clouds, hours, strict=True)]
+    steps = [round(h * 3600 / dt) for h in hours]
+    lat, lon, order = np.empty(0), np.empty(0), sorted(range(len(steps)), key=lambda i: -steps[i])
+    for n, left in enumerate(order):
+        lat, lon = np.append(lat, clouds[left][0]), np.append(lon, clouds[left][1])
+        for k in range(steps[left], steps[order[n + 1]] if n + 1 < len(order) else 0, -1):
+            lat, lon = step_by(lat, lon, t - k * dt, dt, alpha, current, wind, integrator)
+    ends, out = np.cumsum([len(clouds[i][0]) for i in order])[:-1], {}
+    for i, p, q in zip(order, np.split(lat, ends), np.split(lon, ends), strict=True):
+        out[i] = (p, q)
+    return [out[i] for i in range(len(steps))]
+
+
 def seed_disk(lat: float, lon: float, radius_km: float, n: int, rng: np.random.Generator):
     angle, r = rng.uniform(0, 2 * math.pi, n), radius_km * 1000 * np.sqrt(rng.uniform(0, 1, n))
     return lat + r * np.sin(angle) / METRES_PER_DEGREE, lon + r * np.cos(angle) / (METRES_PER_DEGREE * max(abs(math.cos(math.radians(lat))), 1e-6))
@@ -159,10 +178,11 @@ def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float |
     hours, rows = hour_grid(cfg.min_hours, cfg.max_hours, cfg.hour_step), []
     for a, alpha in enumerate(windage_grid(cfg.windage, cfg.windage_jitter, cfg.windage_count)):
         back = integrate(lat0, lon0, t, float(hours.max()) * 3600, cfg.dt, alpha, current, wind, True, cfg.integrator, [h * 3600 for h in hours])
-        for k, h in enumerate(hours):
-            lat, lon = (float(c.mean()) for c in back[h * 3600])
-            own = np.random.default_rng([cfg.seed, zlib.crc32(str(detection).encode()), a, k])
-            p, q = integrate(*seed_disk(lat, lon, cfg.seed_radius_km, cfg.particles_forward, own), t - h * 3600, h * 3600, cfg.dt, alpha, current, wind, False, cfg.integrator)
+        centres = [tuple(float(c.mean()) for c in back[h * 3600]) for h in hours]
+        own = [np.random.default_rng([cfg.seed, zlib.crc32(str(detection).encode()), a, k]) for k in range(len(hours))]
+        disks = [seed_disk(*c, cfg.seed_radius_km, cfg.particles_forward, rng) for c, rng in zip(centres, own, strict=True)]
+        moved = together(disks, hours, t, cfg.dt, alpha, current, wind, cfg.integrator)
+        for h, (lat, lon), (p, q) in zip(hours, centres, moved, strict=True):
             area, elong = hull_area_km2(p, q), elongation(p, q)
             off = float(geodesic(p.mean(), q.mean(), ring[:, 1].mean(), ring[:, 0].mean())[0]) / 1000
             d2 = (off / cfg.sigma_km) ** 2 + (math.log(max(area, 1e-6) / max(seen_area, 1e-6)) / cfg.sigma_area) ** 2 + (math.log(max(elong, 1e-3) / max(seen_elong, 1e-3)) / cfg.sigma_elong) ** 2
@@ -170,6 +190,11 @@ def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float |
     return pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Dealt by ``key`` to a fixed number of tasks: the rows are few and small, their work isn't, so they mustn't be coalesced."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def backtrack(detections: DataFrame, current, wind=None, cfg: Config | None = None) -> DataFrame:
     """Members for all detections (detection, ring array<struct<x,y>>, t, area_km2), one group for each."""
     cfg, wind = cfg or Config(), wind or Constant()
@@ -181,7 +206,7 @@ def backtrack(detections: DataFrame, current, wind=None, cfg: Config | None = No
         use = replace(cfg, seed_radius_km=release_radius_km(area)) if area else cfg
         return backtrack_one(int(r.detection), ring, float(r.t), area, current, wind, use)
 
-    return detections.groupBy("detection").applyInPandas(run, MEMBER_SCHEMA)
+    return spread(detections, "detection").groupBy("detection").applyInPandas(run, MEMBER_SCHEMA)
 
 
 TRACK_SCHEMA = "origin long, hours_elapsed double, t double, lat double, lon double, spread_radius_km double, distance_from_origin_km double, hull_area_km2 double"
@@ -206,7 +231,7 @@ def forward(origins: DataFrame, current, wind=None, hours: float = 12.0, step_ho
                 rows.append((r.origin, k * step_hours, r.t + k * step_hours * 3600, c[0], c[1], spread, float(geodesic(r.lat, r.lon, *c)[0]) / 1000, hull_area_km2(lat, lon)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_SCHEMA.split(", ")])
 
-    return origins.groupBy("origin").applyInPandas(run, TRACK_SCHEMA)
+    return spread(origins, "origin").groupBy("origin").applyInPandas(run, TRACK_SCHEMA)
 
 
 def forecast_totals(track: DataFrame) -> DataFrame:

@@ -455,8 +455,8 @@ def pca_elongation(s, d):
 
 
 def detections(s, d) -> DataFrame:
-    """A small slick outline for each nation key; the work grows with the table."""
-    n = s.read.parquet(f"{d}/supplier.parquet").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("detection"))
+    """A small slick outline for each supplier; the work grows with the table."""
+    n = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("detection"))
     lat, lon = 28.0 + (F.col("detection") % 7) * 0.05, -89.3 + (F.col("detection") % 11) * 0.05
     corner = lambda a, b: F.struct((lon + a).alias("x"), (lat + b).alias("y"))
     ring = F.array(corner(-0.05, -0.01), corner(0.05, -0.02), corner(0.06, 0.01), corner(-0.04, 0.02))
@@ -465,15 +465,14 @@ def detections(s, d) -> DataFrame:
 
 @query()
 def backtrack_ensemble(s, d):
-    cfg = drift.Config(particles_back=60, particles_forward=40, max_hours=24.0, hour_step=4.0, dt=900.0)
-    return posterior.normalised(drift.backtrack(detections(s, d), GYRE, cfg=cfg))
+    return posterior.normalised(drift.backtrack(detections(s, d), GYRE))
 
 
 @query()
 def forecast_track(s, d):
     at = detections(s, d).select(F.col("detection").alias("origin"), geo.ring_centroid(F.col("ring")).alias("c"), "t", "area_km2")
     at = at.select("origin", F.col("c.y").alias("lat"), F.col("c.x").alias("lon"), "t", drift.release_radius_km(F.coalesce("area_km2", F.lit(0.3))).alias("radius_km"))
-    return drift.forecast_totals(drift.forward(at, GYRE, hours=6.0, cfg=drift.Config(particles_forward=60, dt=900.0)))
+    return drift.forecast_totals(drift.forward(at, GYRE))
 
 
 @query("select o_orderkey as id, case when o_orderkey % 3 = 0 then 'merged' else o_orderstatus end as status, o_totalprice as price, case when o_orderkey % 3 = 0 then o_orderkey % 10 end as rank from orders union all select -o_orderkey, 'merged', null, o_orderkey % 10 from orders where o_orderkey % 7 = 0 and o_orderkey > 0")

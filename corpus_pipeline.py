@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that nearly repeat, one stays; documents left without text go."""
-    kept = linededup.dedup_lines(docs, chars_col="n_chars")
+    kept = linededup.dedup_lines(docs, chars_col="n_chars", width=5)
     return kept.where("text is null or text <> ''")
 
 

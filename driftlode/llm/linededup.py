@@ -1,6 +1,7 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact check, union-find.
 
-Every line gets a signature of BANDS bands of ROWS minima over its runs of SHINGLE characters. Two
+Every line gets a signature of BANDS bands of ROWS minima over its runs of ``width`` characters. One changed
+character touches up to ``width`` runs, so lines want a short width: five, as op9_linededup and the pipeline give. Two
 lines that agree on a band are candidates; at a Jaccard similarity of 0.8 a pair is missed with the
 probability (1 - 0.8**ROWS)**BANDS = 0.0008, at 0.9 with 0.000002. Candidates that agree on LEAST
 of all the minima are checked on the full shingle sets. Of the lines that links join to a component, the first one stays: that of the smallest
@@ -34,22 +35,27 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def _rolled(points: np.ndarray) -> np.ndarray:
-    """A hash of each run of SHINGLE = 10 code points, from those of runs of 2, 4 and 8."""
-    n = max(len(points) - SHINGLE + 1, 0)
+def _rolled(points: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of ``width`` code points, from those of runs of 1, 2, 4, ... that add up to it."""
+    n = max(len(points) - width + 1, 0)
     if not n:
         return np.zeros(0, np.uint64)
-    two = points[:-1] * _PLACE[0] + points[1:]
-    four = mixed(two[:-2]) * _PLACE[1] + two[2:]
-    eight = four[:-4] * _PLACE[2] + four[4:]
-    return mixed(eight[:n] * _PLACE[3] + two[8 : 8 + n])
-
-
-def shingle_set(line: str) -> np.ndarray:
-    """Sorted distinct hashes of the runs of SHINGLE characters; a shorter line is one shingle."""
-    if len(line) < SHINGLE:
+    total, at, run = np.zeros(n, np.uint64), 0, points
+    for k in range(width.bit_length()):
+        size = 1 << k
+        if width & size:
+            total = mixed(total) * _PLACE[8 + k] + run[at : at + n]
+            at += size
+        if 2 * size <= width:
+            run = (mixed(run[:-size]) if k else run[:-size]) * _PLACE[k] + run[size:]
+    return mixed(total)
+
+
+def shingle_set(line: str, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``width`` characters; a shorter line is one shingle."""
+    if len(line) < width:
         return np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64)
-    return np.unique(_rolled(_points(line)))
+    return np.unique(_rolled(_points(line), width))
 
 
 def _bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +66,13 @@ def _bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total.view(np.int64), mixed(low.astype(np.uint64)).astype(np.uint8)
 
 
-def minima(text: str, lines: list[str], wanted: list[int]) -> np.ndarray:
+def minima(text: str, lines: list[str], wanted: list[int], width: int = SHINGLE) -> np.ndarray:
     """The minima of the lines numbered ``wanted`` of ``text``, whose lines are ``lines``; a row for each."""
     low = np.full((len(wanted), BANDS * ROWS), 2**32 - 1, np.uint32)
     ends = np.cumsum([len(x) + 1 for x in lines]) - 1
-    long = [(k, int(ends[i]) - len(lines[i]), int(ends[i]) - SHINGLE + 1) for k, i in enumerate(wanted) if len(lines[i]) >= SHINGLE]
+    long = [(k, int(ends[i]) - len(lines[i]), int(ends[i]) - width + 1) for k, i in enumerate(wanted) if len(lines[i]) >= width]
     if long:
-        hashes = (_rolled(_points(text)) >> np.uint64(32)).astype(np.uint32)
+        hashes = (_rolled(_points(text), width) >> np.uint64(32)).astype(np.uint32)
         hashes = np.concatenate([hashes, hashes[:1]])
         for at in range(0, len(long), 64):  # bounded memory for texts of very many lines
             some = long[at : at + 64]
@@ -75,8 +81,8 @@ def minima(text: str, lines: list[str], wanted: list[int]) -> np.ndarray:
             own = np.minimum.reduceat(hashes[None, first : some[-1][2] + 1] * _MUL + _ADD, cut, axis=1)[:, ::2]
             low[[k for k, _, _ in some]] = own.T
     for k, i in enumerate(wanted):
-        if len(lines[i]) < SHINGLE:
-            low[k] = (shingle_set(lines[i])[:1].astype(np.uint32) * _MUL[:, 0]) + _ADD[:, 0]
+        if len(lines[i]) < width:
+            low[k] = (shingle_set(lines[i], width)[:1].astype(np.uint32) * _MUL[:, 0]) + _ADD[:, 0]
     return low
 
 
@@ -104,7 +110,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc", "line", "hi", "lo"])
 
 
-def _signed(repeated: np.ndarray):
+def _signed(repeated: np.ndarray, width: int):
     """Signatures. ``many`` marks lines that may occur elsewhere too; of these each task gives the first it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +135,7 @@ def _signed(repeated: np.ndarray):
                 if new:
                     keys.append(key[new])
                     manys.append(many[new])
-                    lows.append(minima(text, lines, [own[k] for k in new]))
+                    lows.append(minima(text, lines, [own[k] for k in new], width))
             both = np.concatenate(keys)
             flat, low = _bands(np.concatenate(lows))
             sketches = [x.tobytes() for x in low]
@@ -152,16 +158,16 @@ def _texts_at(bits: np.ndarray):
     return run
 
 
-def _runs(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(len(line) - SHINGLE + 1, 1))}
+def _runs(line: str, width: int) -> set[str]:
+    return {line[i : i + width] for i in range(max(len(line) - width + 1, 1))}
 
 
-def _similar(percent: int):
+def _similar(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, sets = [], {}
             for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = (sets.get(s) or sets.setdefault(s, _runs(s)) for s in pair)
+                x, y = (sets.get(s) or sets.setdefault(s, _runs(s, width)) for s in pair)
                 common = len(x & y)
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 if len(sets) > 1000:
@@ -171,17 +177,20 @@ def _similar(percent: int):
     return run
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x).view(np.int64) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "shingles"])
+def _shingled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, width).view(np.int64) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """(doc, removed): for each document that loses lines, their numbers from 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     slim = materialize(rows.mapInArrow(_placed, "doc long, line int, hi long, lo long"), "lines")
     repeated = materialize(slim.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "repeated")
-    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo")), "hi long, lo long, many boolean, coords array<long>, sketch binary")
+    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo"), width), "hi long, lo long, many boolean, coords array<long>, sketch binary")
     signed = materialize(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
     # of the lines that several tasks met, one row
     firsts = materialize(signed.where("many").groupBy("hi", "lo").agg(F.min("uid").alias("uid")), "firsts")
@@ -200,7 +209,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return at.join(texts(at), ["hi", "lo"]).select("node", "text")
 
     def shingles(nodes: DataFrame) -> DataFrame:
-        return sets(nodes).mapInArrow(_shingled, "node long, shingles array<long>")
+        return sets(nodes).mapInArrow(_shingled(width), "node long, shingles array<long>")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
@@ -208,7 +217,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         full = materialize(full, "sets")
         a, b = (full.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("a", "b"))
         both = pairs.join(a, "a").repartition(F.col("b")).join(b, "b")
-        return both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(percent), "a long, b long")
+        return both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(percent, width), "a long, b long")
 
     _, found = linked(items, LEAST, percent, confirm, shingles)
     groups = found.join(keyed, found.node == keyed.uid).select("hi", "lo", F.col("component").alias("c"))
@@ -223,16 +232,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return materialize(gone, "gone")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, percent: int = 80, count_cols: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, percent: int = 80, count_cols: bool = False, width: int = SHINGLE) -> DataFrame:
     """``docs`` without the lines that repeat or nearly repeat a line kept elsewhere.
 
-    Lines end at a line feed and are linked if 100 * |A & B| >= percent * |A | B| for their shingle
-    sets. Blank lines are never compared and stay, as do documents that lose all their lines (their
+    Lines end at a line feed and are linked if 100 * |A & B| >= percent * |A | B| for their sets
+    of runs of ``width`` characters. Blank lines are never compared and stay, as do documents that lose all their lines (their
     text becomes empty), null texts and rows of a null id. Rows of one id are one document.
     ``chars_col`` gets the new length in code points; ``count_cols`` adds n_lines and n_removed. All
     other columns pass; an empty table stays empty.
     """
-    gone = removed_lines(docs, id_col, text_col, percent).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, id_col, text_col, percent, width).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
     text = F.col(f"`{text_col}`")
     parts = F.split(text, "\n", -1)
     both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left")

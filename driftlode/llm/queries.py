@@ -54,7 +54,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_cols=True)
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_cols=True, width=5)
     return kept.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlode.functions.geo import elongation
+from driftlode.operators.linking import kept, smallest_reachable
+
+TILE = 256
 
 
 def calibrate(dn: Column, gain: Column) -> Column:
@@ -141,23 +144,42 @@ def label_mask(mask: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _label_scene(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each pixel with the first pixel, in raster order, of its part within the tile."""
+    pdf = pdf.sort_values(["row", "col"])
     r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
     mask = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
     mask[r - r.min(), c - c.min()] = True
-    return pdf.assign(label=label_mask(mask)[r - r.min(), c - c.min()])[["scene_id", "row", "col", "label"]]
+    _, first, part = np.unique(label_mask(mask)[r - r.min(), c - c.min()], return_index=True, return_inverse=True)
+    return pdf.assign(p_row=r[first][part], p_col=c[first][part])[["scene_id", "row", "col", "p_row", "p_col"]]
 
 
-def components(pixels: DataFrame, mask: str, min_pixels: int = 30) -> DataFrame:
+def components(pixels: DataFrame, mask: str, min_pixels: int = 30, tile: int = TILE) -> DataFrame:
     """Pixels of the mask with the label of their component; those under ``min_pixels`` go, and the rest are numbered anew.
 
-    One scene is one group: a scene is a bounded raster, and only its mask pixels travel.
+    Tiles of ``tile`` x ``tile`` pixels are labelled each in a group of its own, whatever the size of the scene. Parts that
+    touch across tile borders are linked; a component goes by its first pixel, and components are numbered in that order.
     """
     on = pixels.where(mask).select(F.col("scene_id").cast("long"), F.col("row").cast("long"), F.col("col").cast("long"))
-    labelled = on.groupBy("scene_id").applyInPandas(_label_scene, "scene_id long, row long, col long, label long")
-    sizes = labelled.groupBy("scene_id", "label").count().where(F.col("count") >= min_pixels)
-    numbers = sizes.withColumn("new", F.row_number().over(Window.partitionBy("scene_id").orderBy("label")).cast("long"))
-    return labelled.join(numbers.select("scene_id", "label", "new"), ["scene_id", "label"]).select("scene_id", "row", "col", F.col("new").alias("label"))
+    square = [F.floor(F.col(c) / tile).alias(f"_{c}") for c in ("row", "col")]
+    parts = kept(on.groupBy("scene_id", *square).applyInPandas(_label_tile, "scene_id long, row long, col long, p_row long, p_col long"), "parts")
+    part = F.struct("scene_id", "p_row", "p_col")
+    edge = F.lit(False)
+    for c in ("row", "col"):
+        edge = edge | F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    border = parts.where(edge).select("scene_id", "row", "col", part.alias("b"))
+    ways = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    near = border.withColumn("w", ways).select("scene_id", (F.col("row") + F.col("w.x")).alias("row"), (F.col("col") + F.col("w.y")).alias("col"), F.col("b").alias("a"))
+    found = smallest_reachable(near.join(border, ["scene_id", "row", "col"]).select("a", "b"))
+    sizes = parts.groupBy(part.alias("node")).count().join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    whole = sizes.groupBy("root").agg(F.sum("count").alias("n")).where(F.col("n") >= min_pixels)
+    # numbered within bands of rows, so that no task sees all components of a scene
+    roots = whole.select("root", F.col("root.scene_id").alias("s"), F.floor(F.col("root.p_row") / tile).alias("band"))
+    own = roots.withColumn("k", F.row_number().over(Window.partitionBy("s", "band").orderBy("root")))
+    before = roots.groupBy("s", "band").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("s").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    numbers = own.join(before, ["s", "band"]).select("root", (F.col("before") + F.col("k")).cast("long").alias("label"))
+    labels = sizes.select("node", "root").join(numbers, "root").select("node", "label")
+    return parts.withColumn("node", part).join(labels, "node").select("scene_id", "row", "col", "label")
 
 
 def blob_features(pixels: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 
 from driftlode.functions import geo
-from driftlode.operators import drift, field
+from driftlode.operators import drift, field, raster
 from driftlode.plans.queries import GYRE, QUERIES
 
 
@@ -30,3 +30,19 @@ def test_clouds_move_together_as_alone():
         for got, c, h in zip(drift.together(clouds, hours, 1e9, dt, 0.03, GYRE, still), clouds, hours, strict=True):
             want = drift.integrate(*c, 1e9 - h * 3600, h * 3600, dt, 0.03, GYRE, still)
             assert np.allclose(geo.geodesic(got[0], got[1], want[0], want[1])[0], 0, atol=1e-4)
+
+
+def test_components_cross_tiles(spark):
+    rng = np.random.default_rng(8)
+    masks = {0: rng.random((30, 17)) < 0.42, -3: rng.random((9, 26)) < 0.35}
+    masks[0][:, 3] = True
+    rows = [(k, r, c, bool(m[r, c])) for k, m in masks.items() for r in range(m.shape[0]) for c in range(m.shape[1])]
+    px = spark.createDataFrame(rows, "scene_id long, row int, col int, mask boolean")
+    got = {(x.scene_id, x.row, x.col): x.label for x in raster.components(px, "mask", 3, tile=4).collect()}
+    want = {}
+    for k, m in masks.items():
+        labels, number = raster.label_mask(m), {}
+        for r, c in zip(*np.nonzero(labels), strict=True):
+            if (labels == labels[r, c]).sum() >= 3:
+                want[k, r, c] = number.setdefault(labels[r, c], len(number) + 1)
+    assert got == want

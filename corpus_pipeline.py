@@ -17,9 +17,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that nearly repeat, one stays; documents left without text go."""
-    kept = linededup.dedup_lines(docs, chars_col="n_chars", width=5)
-    return kept.where("text is null or text <> ''")
+    """Of lines that nearly repeat, one stays; documents that lose all their text by that go."""
+    kept = linededup.dedup_lines(docs, chars_col="n_chars", count_cols=True, width=5)
+    return kept.where("text is null or text <> '' or n_removed = 0").drop("n_lines", "n_removed")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,9 @@ def test_query_and_stage_link_lines_that_differ_in_a_letter(spark, tmp_path):
     want = {1: f"{ONE}\nx", 2: FAR}
     assert {r.doc_id: r.text for r in queries.op9_linededup(spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_stage_keeps_texts_that_came_empty(spark):
+    docs = spark.createDataFrame([(1, ONE, "en", "s", len(ONE)), (2, ONE, "en", "s", len(ONE)), (3, "", "en", "s", 0), (4, None, "en", "s", 0)], DOCS)
+    got = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == {1: ONE, 3: "", 4: None}

@@ -4,7 +4,7 @@ A signature has MINIMA minima of seeded hash functions over the shingles. Two do
 similarity J agree on each with the probability J. Documents are posted under PREFIX coordinates,
 each the hash of ROWS minima; at J = 0.8 a pair shares none of them once in 10**5 pairs. Of the pairs
 that share one, the agreements of all minima are counted: at J = 0.8 there are 86 of 108 on average
-(sd 4.2), and pairs with fewer than LEAST are given up (once in 4,000 pairs at exactly 0.8, more and
+(sd 4.2), and pairs with fewer than LEAST are given up (once in 4 * 10**7 pairs at exactly 0.8, more and
 more seldom above). Every other candidate is confirmed on the full shingle sets, so no pair
 below the threshold is linked.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from driftlode.llm.collisions import linked
 from driftlode.llm.common import bit_filter, bits_set, materialize
 
-MINIMA, ROWS, PREFIX, LEAST = 108, 3, 16, 72
+MINIMA, ROWS, PREFIX, LEAST = 108, 3, 16, 62
 CHUNK = 4096
 
 _rng = np.random.default_rng(20240501)

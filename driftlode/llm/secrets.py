@@ -30,23 +30,42 @@ CLASSES = (
 ALLOW = (
     r"(?i)example|placeholder|changeme|lorem|0123456789abcdef|abcdefghijklm|1234567890"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    r"|^//|^[a-z]+(?:[/_+-]+[a-z]+)*$|^(?:[a-z]{2,}[/_-])+[a-z0-9]{1,12}$"
+    # possessive loops: they can't be matched another way, and Java's others overflow the stack on long runs
+    r"|^//|^[a-z]++(?:[/_+-]++[a-z]++)*+$|^(?:[a-z]{2,}+[/_-])++[a-z0-9]{1,12}$"
 )
 MASK = "[SECRET]"
+RUN = 256  # matches whose places are summed together
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(sizes: Column) -> Column:
+    """For each of ``sizes`` the sum of those before it. Runs of RUN are summed apart, so that no long array grows by one item at a time."""
+    grown = lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    begin = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int")), lambda k: F.slice(sizes, k * RUN + 1, F.lit(RUN)))
+
+    def chained(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, n: a + n))
+        firsts = F.aggregate(sums, begin(F.lit(0)), grown, lambda a: a["out"])
+        return F.flatten(F.zip_with(parts, firsts, lambda p, at: F.aggregate(p, begin(at), grown, lambda a: a["out"])))
+
+    return F.when(F.size(sizes) > 0, _bound(runs, chained)).otherwise(F.array().cast("array<int>"))
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, value>> of the leftmost non-overlapping matches; start in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(F.char_length(g).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        here = a["at"] + s["gap"]
-        return F.struct((here + F.char_length(s["value"])).alias("at"), F.array_append(a["out"], F.struct(here.alias("start"), s["value"].alias("value"))).alias("out"))
+    def placed(both: Column) -> Column:
+        values, gaps = both["values"], both["gaps"]
+        sizes = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.char_length(g) + F.char_length(v))
+        return F.zip_with(values, F.zip_with(_before(sizes), gaps, lambda at, g: at + F.char_length(g)), lambda v, at: F.struct(at.alias("start"), v.alias("value")))
 
-    found = F.aggregate(steps, start, step, lambda a: a["out"])
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    found = F.filter(_bound(both, placed), lambda m: m["value"].isNotNull())
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
 
 
@@ -69,8 +88,9 @@ def _hot(value: Column, alphabet: str, window: int, bits: float) -> Column:
     """
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     most = (math.log2(window) - bits) * window + 1e-9
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(value)), lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1))) - 1)
-    steps = F.transform(codes, lambda c, i: F.struct(i.alias("i"), c.alias("new"), F.when(i >= window, F.get(codes, i - window)).otherwise(-1).alias("old")))
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    # bound once: an array named in the lambda would be built anew for every character
+    steps = _bound(codes, lambda own: F.transform(own, lambda c, i: F.struct(i.alias("i"), c.alias("new"), F.when(i >= window, F.get(own, i - window)).otherwise(-1).alias("old"))))
     zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def step(a: Column, x: Column) -> Column:

@@ -1,0 +1,42 @@
+"""Secret scans of very long runs and of texts with very many matches."""
+
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from driftlode.llm import queries, secrets
+
+SHAPE = "doc_id long, text string"
+
+
+def test_a_run_of_100000_characters(spark):
+    rng = random.Random(5)
+    run = "".join(rng.choice(secrets.LOWER + secrets.UPPER + secrets.DIGIT) for _ in range(100_000))
+    texts = ["see " + run + " end", "ab-" * 40_000 + "x1", "/a" * 50_000, "0123456789abcdef" * 5000 + "g1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SHAPE).repartition(4)
+    began = time.time()
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secrets.find_secrets(docs).collect()}
+    assert time.time() - began < 120
+    assert got[0] == [("entropy_base64", 4, 100_004)]
+    assert not [x for x in got[1] + got[2] if x[0] == "entropy_hex"]
+    assert got[3][0] == ("hex", 0, 80_000)
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"token=abcdef{k}" for k in range(20_000))
+    (row,) = secrets.find_secrets(spark.createDataFrame([(1, text)], SHAPE)).select(F.transform("secrets", lambda s: F.struct(s["start"], s["end"])).alias("s")).collect()
+    at, want = 0, []
+    for part in text.split(" "):
+        want.append((at, at + len(part)))
+        at += len(part) + 1
+    assert [tuple(x) for x in row.s] == want
+
+
+def test_the_registered_query(spark, sf_dir):
+    rows = queries.op2_secrets(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(rows) == docs and all(len(r.base_sha256) == 64 for r in rows)
+    for r in rows:
+        kinds = [x.split(":")[0] for x in r.spans.split(",") if x]
+        assert (kinds.count("assign"), kinds.count("access"), kinds.count("hex")) == (r.n_assign, r.n_access, r.n_hex)

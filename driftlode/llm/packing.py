@@ -7,7 +7,6 @@ and each piece then looks up its place by its rank among the pieces of its lengt
 
 from __future__ import annotations
 
-import os
 import struct
 import unicodedata
 import zlib
@@ -31,7 +30,6 @@ _known: dict[str, _Codes] = {}
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)

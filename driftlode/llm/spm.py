@@ -9,6 +9,7 @@ batches by several threads, decoded again, and compared with what the sentencepi
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHED, LONGEST, BATCH = 200_000, 40, 512
+LETTER = r"[^\W\d_]"
+#: Runs of letters, or of other characters, each with the spaces before it.
+PARTS = re.compile(rf" *{LETTER}+| *(?:[^\w ]|[\d_])+| +")
+WORDS = re.compile(r" *[^ ]+| +")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,8 +99,8 @@ class Model:
                 out += [(-score, at[piece], at[piece[:i]], piece[:i], piece[i:]) for i in range(1, len(piece)) if piece[:i] in at and piece[i:] in at]
         return [(a, b) for *_, a, b in sorted(out)]
 
-    def build(self):
-        """The tokenizer of the tokenizers library."""
+    def build(self, prefix: bool = True):
+        """The tokenizer of the tokenizers library; without ``prefix`` for parts from within a text."""
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
         if self.unigram:
@@ -105,15 +110,24 @@ class Model:
         steps = [normalizers.Precompiled(self.char_map)] if self.char_map else []
         if self.squeeze_spaces:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        steps += ([normalizers.Prepend(SPACE)] if self.dummy_prefix else []) + [normalizers.Replace(" ", SPACE)]
+        steps += ([normalizers.Prepend(SPACE)] if self.dummy_prefix and prefix else []) + [normalizers.Replace(" ", SPACE)]
         made.normalizer = normalizers.Sequence(steps)
         made.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         made.add_tokens([AddedToken(p, normalized=True, special=False) for p, _, kind in self.pieces if kind == USER])
         return made
 
-    def splits(self) -> bool:
-        """Whether no piece has a marker behind another character, so that no merge crosses a word's start."""
-        return not self.unigram and all(SPACE not in p.lstrip(SPACE) for p, _, kind in self.pieces if kind in (NORMAL, USER)) and not any(kind == USER for *_, kind in self.pieces)
+    def parts(self) -> re.Pattern | None:
+        """What cuts a text so that no merge crosses a cut; None if texts are to be encoded whole.
+
+        A merge joins what stands side by side in a piece. So texts may be cut before spaces if no
+        piece has a marker behind another character, and between letters and other characters
+        if no piece has the two side by side.
+        """
+        known = [p.lstrip(SPACE) for p, _, kind in self.pieces if kind in (NORMAL, USER)]
+        if self.unigram or self.char_map or self.squeeze_spaces or any(SPACE in p for p in known) or any(kind == USER for *_, kind in self.pieces):
+            return None
+        mixed = re.compile(rf"{LETTER}[\W\d_]|[\W\d_]{LETTER}")
+        return WORDS if any(mixed.search(p) for p in known) else PARTS
 
 
 @lru_cache(maxsize=2)
@@ -121,7 +135,7 @@ def _loaded(path: str):
     os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of a batch, for each worker
     with open(path, "rb") as f:
         model = Model.read(f.read())
-    return model, model.build()
+    return model, model.build(), model.build(prefix=False)
 
 
 @lru_cache(maxsize=2)
@@ -134,58 +148,43 @@ def _other(path: str):
 class Codec:
     """Encode and decode batches of texts.
 
-    Where no merge crosses a word's start and the normaliser changes nothing but spaces, texts are cut
-    before each run of spaces and words seen before aren't encoded again; else whole texts are.
+    Where no merge crosses certain places (see Model.parts), texts are cut there and parts seen before
+    aren't encoded again; the new ones of a batch are encoded together, by several threads. Else whole texts are.
     """
 
     def __init__(self, path: str):
-        self.model, self.tokenizer = _loaded(path)
-        self.by_word = self.model.splits() and not self.model.char_map and not self.model.squeeze_spaces and self.model.dummy_prefix
-        self.words: dict[str, bytes] = {}
-        marker = self.tokenizer.token_to_id(SPACE)
-        self.edge = {} if marker is None else {"": struct.pack("<I", marker)}  # a last single space is a marker alone
-        self.by_word = self.by_word and bool(self.edge)
+        self.model, self.tokenizer, self.inner = _loaded(path)
+        cut = self.model.parts()
+        self.cut = None if cut is None else cut.findall
+        self.known: dict[str, bytes] = {}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.by_word:
+        if self.cut is None:
             return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [self._cut(t) for t in texts]
-        new = list({w for words in cut for w in words if w and w not in self.words})
-        made = dict(zip(new, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        made |= self.edge
-        get = lambda w: self.words[w] if w in self.words else made[w]
-        out = [b"".join(map(get, words)) for words in cut]
-        if len(self.words) + len(made) > CACHED:
-            self.words.clear()
-        self.words.update((w, c) for w, c in made.items() if len(w) <= LONGEST)
-        return out
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Words without the one space before them, which the marker's prefix puts back; longer runs stay with the word behind them."""
-        if not text:
-            return []
-        parts, out, spaces = text.split(" "), [], 0
-        for k, p in enumerate(parts):
-            if p or k == len(parts) - 1:
-                out.append(" " * spaces + p)
-                spaces = 0
-            else:
-                spaces += 1
+        cut = [self.cut(" " * self.model.dummy_prefix + t) if t else [] for t in texts]
+        if len(self.known) > CACHED:
+            self.known = {}
+        new = list({p for parts in cut for p in parts}.difference(self.known))
+        codes = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.inner.encode_batch_fast(new, add_special_tokens=False)]
+        self.known.update(zip(new, codes, strict=True))
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
         return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of ids. Whole bytes are joined where that gives valid text; else the library decides."""
-        if not self.by_word:
+        if self.cut is None:
             return self._decode(ids)
         out = []
         for x in ids:
             data = b"".join(map(self.bytes_of.__getitem__, struct.unpack(f"<{len(x) // 4}I", x)))
             try:
                 text = data.decode()
-                out.append(text[1:] if text.startswith(" ") else text)
+                out.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
             except UnicodeDecodeError:
                 out += self._decode([x])
         return out

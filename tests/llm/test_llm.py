@@ -340,7 +340,7 @@ def test_sentencepiece_parity(spark):
         ids = sp.encode(t or "")
         assert out[k].ids == struct.pack(f"<{len(ids)}I", *ids) and out[k].parity and out[k].round_trip and out[k].decoded == (t or "")
     whole = spm.Codec(PIECE)
-    whole.by_word = False
+    whole.cut = None
     assert whole.encode([t or "" for t in texts]) == [out[k].ids for k in range(len(texts))]
     assert spm.encode_documents(empty(spark), PIECE).count() == 0
 

@@ -163,7 +163,8 @@ class Codec:
         """Ids as little-endian unsigned 32-bit numbers."""
         if self.cut is None:
             return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [self.cut(" " * self.model.dummy_prefix + t) if t else [] for t in texts]
+        begin = " " * self.model.dummy_prefix
+        cut = [([begin + t] if SPACE in t else self.cut(begin + t)) if t else [] for t in texts]  # a marker in the text joins like a space
         if len(self.known) > CACHED:
             self.known = {}
         new = list({p for parts in cut for p in parts}.difference(self.known))

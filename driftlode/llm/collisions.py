@@ -1,11 +1,11 @@
 """Inverted join over signature coordinates: which items agree on many of them.
 
-A signature is a sketch (a byte of each of many minima) and a prefix of coordinates (each the hash
-of a few minima). Items are posted under the values of the prefix. Lists of up to ``SMALL`` items
-give all their pairs. Longer lists give a star around one item of the list, another one for each
-list; when those links have been confirmed and joined to components, the long lists are compared
-in blocks, but only between different components. A candidate pair goes on if its sketches agree
-often enough; the caller confirms it on the full sets.
+Items are posted under the values of some coordinates of their signatures, and have a sketch (a byte
+of each of many minima). Lists of up to ``SMALL`` items give all their pairs. Longer lists give a star
+around one item of the list, another one for each list; when those links have been confirmed and
+joined to components, the items of a long list that aren't in its largest component are compared
+with the whole list, in blocks. A candidate pair goes on if its sketches agree often enough; the caller
+confirms it on the full sets.
 """
 
 from __future__ import annotations
@@ -17,15 +17,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import drop_files, materialize
+from driftlode.llm.common import Scratch, bit_filter, bits_set
 from driftlode.llm.components import connected_components
 
 SMALL, BLOCK = 24, 512
+PER_BUCKET = 1 << 21  # values that one group looks through
 
 
-def _posted(items: DataFrame) -> DataFrame:
-    """(key, node, n, pivot) for the posting lists of two items or more."""
-    posts = items.select("node", F.explode("coords").alias("key"))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as one array of values and the n + 1 places where its lists begin and end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+
+
+def _dealt(buckets: int):
+    """Values by bucket, as bytes; a value that an item or several have comes once from a batch, with a mark if several have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = np.unique(_flat(batch.column(0))[0], return_counts=True)
+            bucket = ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            values, n, bucket = values[order], n[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+            parts = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[a]) for a, _ in parts], pa.int64()), pa.array([values[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([np.packbits(n[a:b] > 1).tobytes() for a, b in parts], pa.binary())],
+                names=["bucket", "values", "several"],
+            )
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """The values that more than one item has."""
+    values, several = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for v, s in zip(table.column("values").to_pylist(), table.column("several").to_pylist(), strict=True):
+        values.append(np.frombuffer(v, "<i8"))
+        several.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(values[-1])).astype(bool))
+    values, several = np.concatenate(values), np.concatenate(several)
+    order = np.argsort(values, kind="stable")
+    values, several = values[order], several[order]
+    again = np.zeros(len(values), bool)
+    again[1:] = values[1:] == values[:-1]
+    return pa.table({"key": pa.array(np.unique(values[again | several]))})
+
+
+def _hits(bits: np.ndarray):
+    """(key, node) for the values that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, cuts = _flat(batch.column(1))
+            on = bits_set(bits, values.copy())
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(values[on]), pa.array(nodes[on])], names=["key", "node"])
+
+    return run
+
+
+def _posted(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, n, pivot) for the posting lists of two items or more.
+
+    Most values are one item's alone. Which are not is found from the values packed by bucket, so that a
+    row of the shuffle has many of them, and a frequent one once for a batch; only those that others have
+    too become rows.
+    """
+    total = items.agg(F.coalesce(F.sum(F.size("coords")), F.lit(0))).first()[0]
+    buckets = max(8, -(-total // PER_BUCKET))
+    packed = items.select("coords").mapInArrow(_dealt(buckets), "bucket long, values binary, several binary")
+    shared = scratch.keep(packed.groupBy("bucket").applyInArrow(_shared, "key long"), "shared")
+    posts = scratch.keep(items.select("node", "coords").mapInArrow(_hits(bit_filter(shared, "key")), "key long, node long"), "posts")
     # node XOR key orders the nodes differently in every list, and can be undone
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).where("n > 1")
     return posts.join(lists, "key").select("key", "node", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
@@ -58,73 +120,98 @@ def _agree(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_often(least), "a long, b long")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A list column as one array of values and the n + 1 places where its lists begin and end."""
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(key, i, j, left, ...): the rows of each list outside its largest component, in blocks, beside each block of the list."""
+    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("size"))
+    lists = sizes.groupBy("key").agg(F.sum("size").alias("n"), F.max(F.struct("size", F.col("c").alias("major"))).alias("most"))
+    lists = lists.where("n > most.size").select("key", F.col("most.major").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most.size")) / BLOCK).cast("int").alias("odd"))
+    both = rows.join(lists, "key")
+    column = [c for c in rows.columns if c != "key"]
+    own = lambda m, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(m)).cast("int")
+    right = both.select("key", F.explode(F.sequence(F.lit(0), F.col("odd") - 1)).alias("i"), own("all", 1).alias("j"), F.lit(False).alias("left"), *column)
+    left = both.where("c <> major").select("key", own("odd", 2).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("left"), *column)
+    return right.union(left)
+
+
+def _like(least: int):
+    """The nodes of a pair of blocks that agree often enough with one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, group, left = (table.column(c).to_numpy() for c in ("node", "c", "left"))
+        sketch, on = _sketches(table.column("sketch").combine_chunks()), np.zeros(len(node), bool)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        for x in a:
+            own = b[group[b] != group[x]]
+            own = own[(sketch[own] == sketch[x]).sum(axis=1) >= least]
+            on[own] = True
+            on[x] |= len(own) > 0
+        key = table.column("key")[0].as_py()
+        found = np.unique(node[on])
+        return pa.table({"key": pa.array(np.full(len(found), key, np.int64)), "node": pa.array(found)})
+
+    return run
 
 
 def _compared(least: int, percent: int):
     """Links between the items of two blocks; only those that join what wasn't joined before."""
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        node, group, block = (table.column(c).to_numpy().copy() for c in ("node", "c", "block"))
-        out: list[tuple[int, int]] = []
-        if len(np.unique(group)) > 1:
-            sketch = _sketches(table.column("sketch").combine_chunks())
-            values, cuts = _flat(table.column("shingles"))
-            words, values = np.unique(values, return_inverse=True)
-            sizes, mark = np.diff(cuts), np.zeros(len(words), bool)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            for x in left:
-                own = right[(group[right] != group[x]) & ((node[right] > node[x]) | (i != j))]
-                own = own[(sketch[own] == sketch[x]).sum(axis=1) >= least]
-                if not len(own):
-                    continue
-                mark[values[cuts[x] : cuts[x + 1]]] = True
-                common = np.array([np.count_nonzero(mark[values[cuts[y] : cuts[y + 1]]]) for y in own])
-                mark[values[cuts[x] : cuts[x + 1]]] = False
-                for y in own[100 * common >= percent * (sizes[x] + sizes[own] - common)]:
-                    if group[x] != group[y]:
-                        out.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
-                        group[group == group[y]] = group[x]
+        node, group, side = (table.column(c).to_numpy().copy() for c in ("node", "c", "left"))
+        sketch = _sketches(table.column("sketch").combine_chunks())
+        values, cuts = _flat(table.column("shingles"))
+        words, values = np.unique(values, return_inverse=True)
+        sizes, mark, out = np.diff(cuts), np.zeros(len(words), bool), []
+        right = np.flatnonzero(~side)
+        for x in np.flatnonzero(side):
+            own = right[group[right] != group[x]]
+            own = own[(sketch[own] == sketch[x]).sum(axis=1) >= least]
+            if not len(own):
+                continue
+            mark[values[cuts[x] : cuts[x + 1]]] = True
+            common = np.array([np.count_nonzero(mark[values[cuts[y] : cuts[y + 1]]]) for y in own])
+            mark[values[cuts[x] : cuts[x + 1]]] = False
+            for y in own[100 * common >= percent * (sizes[x] + sizes[own] - common)]:
+                if group[x] != group[y]:
+                    out.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
+                    group[group == group[y]] = group[x]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
 
 
-def _rest(posted: DataFrame, items: DataFrame, found: DataFrame, least: int, percent: int, sets: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Links between the components that a long list holds; None if each list lies in one."""
-    long = posted.where(F.col("n") > SMALL).select("key", "node", "n")
-    long = materialize(long.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "long")
-    mixed = long.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    long = materialize(long.join(mixed, "key"), "mixed")
-    nodes = long.select("node").distinct()
-    if nodes.isEmpty():
+def _rest(posted: DataFrame, items: DataFrame, found: DataFrame, least: int, percent: int, sets: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame | None:
+    """Links between the components that a long list holds; None if there are none to look for.
+
+    First only the sketches are compared; the full sets are fetched for the items that have a candidate.
+    """
+    long = posted.where(F.col("n") > SMALL).select("key", "node")
+    long = scratch.keep(long.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "long")
+    split = long.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    long = scratch.keep(long.join(split, "key").join(items.select("node", "sketch"), "node"), "mixed")
+    if long.isEmpty():
+        return None
+    like = scratch.keep(_blocks(long).groupBy("key", "i", "j").applyInArrow(_like(least), "key long, node long").distinct(), "like")
+    if like.isEmpty():
         return None
-    full = materialize(sets(nodes).join(items.select("node", "sketch"), "node"), "sets")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = long.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(full, "node")
-    # every block meets every block of its list, itself included, in a group of its own
-    groups = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("k", "block").alias("i"), F.greatest("k", "block").alias("j"), "block", "node", "c", "sketch", "shingles")
-    return groups.groupBy("key", "i", "j").applyInArrow(_compared(least, percent), "a long, b long")
+    full = scratch.keep(sets(like.select("node").distinct()), "sets")
+    rows = long.join(like, ["key", "node"]).join(full, "node")
+    return _blocks(rows).groupBy("key", "i", "j").applyInArrow(_compared(least, percent), "a long, b long")
 
 
-def linked(items: DataFrame, least: int, percent: int, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked(items: DataFrame, least: int, percent: int, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links of ``items`` (node long, coords array<long>, sketch binary) and their components.
 
     A pair is a candidate if it shares a value of coords and its sketches agree in ``least``
     places. ``confirm`` keeps the pairs (a, b) that are links; ``sets`` gives (node, shingles) for a
     table of nodes, which are compared in place. Returned are confirmed links (a, b) that span the
-    components, and (node, component).
+    components, and (node, component). A node may have several items; it has the links of each of them.
     """
-    posted = materialize(_posted(items), "posted")
-    links = materialize(confirm(_agree(_pairs(posted), items, least)), "links")
+    posted = scratch.keep(_posted(items, scratch), "posted")
+    links = scratch.keep(confirm(_agree(_pairs(posted), items, least)), "links")
     found = connected_components(links)
-    more = _rest(posted, items, found, least, percent, sets)
+    more = _rest(posted, items, found, least, percent, sets, scratch)
     if more is not None:
-        links = links.union(materialize(more, "links"))
+        links = links.union(scratch.keep(more, "links"))
         found = connected_components(links)
-    drop_files(posted)
+    scratch.drop(posted)
     return links, found

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_AT_ONCE = 256
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and the session runs in one process (tests) a temporary folder is made
+    and set; on a cluster an unset folder is an error, as nothing else is known to be shared.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="driftlode-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -46,15 +55,52 @@ def drop_files(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-BITS = 23
+class Scratch:
+    """Materialized tables of one operator, to be deleted together when its result is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete ``tables``, or all that are left."""
+        for df in tables or self.tables:
+            drop_files(df)
+        gone = {id(df) for df in tables or self.tables}
+        self.tables = [df for df in self.tables if id(df) not in gone]
+
+
+def free_name(*frames: DataFrame) -> str:
+    """A column name that no column of ``frames`` has or begins with."""
+    taken = [c.lower() for df in frames for c in df.columns]
+    k = 0
+    while any(c.startswith(f"_own{k}") for c in taken):
+        k += 1
+    return f"_own{k}"
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, few at a time, so that what is made of long texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
-def bit_filter(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """A bitmap of the lowest ``bits`` bits of a column of longs, 2**(bits - 6) words at most.
+MOST_BITS = 26
+
+
+def bit_filter(df: DataFrame, column: str, count: int | None = None) -> np.ndarray:
+    """A bitmap of the lowest bits of a column of longs, 16 bits for each of its ``count`` values, 8 MB at most.
 
     It tells before a shuffle which rows can't be among those of ``df``; those it lets through still
-    have to be joined. Its size is fixed: with very many values it lets more through, not less.
+    have to be joined. With very many values it lets more through, not less.
     """
+    count = df.count() if count is None else count
+    bits = min(max(math.ceil(math.log2(16 * count + 1)), 16), MOST_BITS)
     words = df.selectExpr(f"(`{column}` & {2**bits - 1}) >> 6 as w", f"shiftleft(1L, cast(`{column}` & 63 as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     out = np.zeros(2 ** (bits - 6), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
@@ -65,3 +111,18 @@ def bits_set(filter_: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the int64 ``values`` the bitmap lets through."""
     at = values.view(np.uint64) & np.uint64(len(filter_) * 64 - 1)
     return (filter_[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+HOT_SHARE = 1024
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each of ``keys`` once and in ``count_col`` how many rows have it.
+
+    Keys that more than a 1,024th of all ``total`` rows have are fewer than 1,024; these are broadcast,
+    so that their rows stay where they are. No other key has more rows than that.
+    """
+    most = max(total // HOT_SHARE, 64)
+    hot, cold = table.where(F.col(count_col) > most), table.where(F.col(count_col) <= most)
+    names = hot.select(*keys).limit(HOT_SHARE)  # no more than these can be hot
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(names), keys, "left_anti").join(cold, keys))

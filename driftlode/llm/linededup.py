@@ -3,9 +3,10 @@
 Every line gets a signature of BANDS bands of ROWS minima over its runs of ``width`` characters. One changed
 character touches up to ``width`` runs, so lines want a short width: five, as op9_linededup and the pipeline give. Two
 lines that agree on a band are candidates; at a Jaccard similarity of 0.8 a pair is missed with the
-probability (1 - 0.8**ROWS)**BANDS = 0.0008, at 0.9 with 0.000002. Candidates that agree on LEAST
-of all the minima are checked on the full shingle sets. Of the lines that links join to a component, the first one stays: that of the smallest
-document id, and in this document the first.
+probability (1 - 0.8**ROWS)**BANDS = 0.0007, at 0.9 with 10**-8. Six rows to a band keep apart lines that
+only share the short runs of their language (0.05 to 0.15). Candidates that agree on LEAST of the KEPT minima of
+their sketches are checked on the full shingle sets. Of the lines that links join to a component, the first one stays:
+that of the smallest document id, and in this document the first.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.llm.collisions import linked
-from driftlode.llm.common import bit_filter, bits_set, drop_files, materialize
+from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices
 from driftlode.llm.minhash import mixed
 
-SHINGLE, BANDS, ROWS, LEAST = 10, 10, 3, 14
-SEEN = 100_000
+SHINGLE, BANDS, ROWS = 10, 24, 6
+KEPT, LEAST = 48, 26  # minima of the sketch: 38 agree on average at 0.8 (sd 2.8)
+SEEN, CHUNK = 100_000, 1024
 
 _rng = np.random.default_rng(20240502)
 _MUL = _rng.integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32)
 _PLACE = _rng.integers(0, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,30 +60,49 @@ def shingle_set(line: str, width: int = SHINGLE) -> np.ndarray:
 
 
 def _bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minima (lines x rows of all bands) to a 64-bit value for each line and band, and a byte for each minimum."""
+    """Minima (lines x rows of all bands) to a 64-bit value for each line and band, and a byte for each of the KEPT minima."""
     total = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
     for i in range(ROWS):
         total = mixed(total + low[:, i::ROWS].astype(np.uint64) * _PLACE[16 + i])
-    return total.view(np.int64), mixed(low.astype(np.uint64)).astype(np.uint8)
+    return total.view(np.int64), mixed(low[:, :KEPT].astype(np.uint64)).astype(np.uint8)
 
 
 def minima(text: str, lines: list[str], wanted: list[int], width: int = SHINGLE) -> np.ndarray:
-    """The minima of the lines numbered ``wanted`` of ``text``, whose lines are ``lines``; a row for each."""
+    """The minima of the lines numbered ``wanted`` of ``text``, whose lines are ``lines``; a row for each.
+
+    The hash functions are the multiples of a mixed 32-bit hash by odd numbers. Runs are hashed CHUNK at a
+    time, whatever the length of a line, so that the products stay in the processor's cache.
+    """
     low = np.full((len(wanted), BANDS * ROWS), 2**32 - 1, np.uint32)
     ends = np.cumsum([len(x) + 1 for x in lines]) - 1
     long = [(k, int(ends[i]) - len(lines[i]), int(ends[i]) - width + 1) for k, i in enumerate(wanted) if len(lines[i]) >= width]
     if long:
         hashes = (_rolled(_points(text), width) >> np.uint64(32)).astype(np.uint32)
-        hashes = np.concatenate([hashes, hashes[:1]])
-        for at in range(0, len(long), 64):  # bounded memory for texts of very many lines
-            some = long[at : at + 64]
-            first = some[0][1]
-            cut = np.array([p - first for _, a, b in some for p in (a, b)])
-            own = np.minimum.reduceat(hashes[None, first : some[-1][2] + 1] * _MUL + _ADD, cut, axis=1)[:, ::2]
-            low[[k for k, _, _ in some]] = own.T
+        buffer = np.empty((BANDS * ROWS, CHUNK), np.uint32)
+        part: list[tuple[int, int, int]] = []  # line, begin and end of its runs
+
+        def flush() -> None:
+            runs = np.concatenate([hashes[a:b] for _, a, b in part])
+            out = np.multiply(runs[None], _MUL, out=buffer[:, : len(runs)])
+            own = np.minimum.reduceat(out, np.cumsum([0] + [b - a for _, a, b in part[:-1]]), axis=1)
+            for k, least in zip([p[0] for p in part], own.T, strict=True):
+                np.minimum(low[k], least, out=low[k])
+            part.clear()
+
+        room = CHUNK
+        for k, a, b in long:
+            while a < b:
+                n = min(b - a, room)
+                part.append((k, a, a + n))
+                a, room = a + n, room - n
+                if not room:
+                    flush()
+                    room = CHUNK
+        if part:
+            flush()
     for k, i in enumerate(wanted):
         if len(lines[i]) < width:
-            low[k] = (shingle_set(lines[i], width)[:1].astype(np.uint32) * _MUL[:, 0]) + _ADD[:, 0]
+            low[k] = shingle_set(lines[i], width)[:1].astype(np.uint32) * _MUL[:, 0]
     return low
 
 
@@ -98,16 +118,16 @@ def _keys(lines: list[str]) -> np.ndarray:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, hi, lo) of every line that isn't blank."""
-    for batch in batches:
-        docs, numbers, keys = [], [], [np.zeros((0, 2), np.int64)]
-        for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            lines, own = _lines(value.as_py() if doc is not None else None)
-            docs += [doc] * len(own)
+    """(doc, row, line, hi, lo) of every line that isn't blank."""
+    for batch in slices(batches):
+        counts, numbers, keys = [], [], [np.zeros((0, 2), np.int64)]
+        for doc, value in zip(batch.column(0), batch.column(2), strict=True):
+            lines, own = _lines(value.as_py() if doc.is_valid else None)
+            counts.append(len(own))
             numbers += own
             keys.append(_keys([lines[i] for i in own]))
-        both = np.concatenate(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc", "line", "hi", "lo"])
+        both, at = np.concatenate(keys), pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc", "row", "line", "hi", "lo"])
 
 
 def _signed(repeated: np.ndarray, width: int):
@@ -115,10 +135,10 @@ def _signed(repeated: np.ndarray, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            keys, manys, lows = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)], [np.zeros((0, BANDS * ROWS), np.uint32)]
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py() if doc is not None else None
+        for batch in slices(batches):
+            at, numbers, keys, manys, lows = [], [], [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)], [np.zeros((0, BANDS * ROWS), np.uint32)]
+            for place, (doc, value) in enumerate(zip(batch.column(0), batch.column(2), strict=True)):
+                text = value.as_py() if doc.is_valid else None
                 lines, own = _lines(text)
                 key = _keys([lines[i] for i in own])
                 many = bits_set(repeated, key[:, 1].copy())
@@ -133,14 +153,16 @@ def _signed(repeated: np.ndarray, width: int):
                 if len(seen) > SEEN:
                     seen.clear()
                 if new:
+                    at += [place] * len(new)
+                    numbers += [own[k] for k in new]
                     keys.append(key[new])
                     manys.append(many[new])
                     lows.append(minima(text, lines, [own[k] for k in new], width))
-            both = np.concatenate(keys)
+            both, at = np.concatenate(keys), pa.array(at, pa.int64())
             flat, low = _bands(np.concatenate(lows))
-            sketches = [x.tobytes() for x in low]
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array(sketches, pa.binary())], names=["hi", "lo", "many", "coords", "sketch"])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array([x.tobytes() for x in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "line", "hi", "lo", "many", "coords", "sketch"])
 
     return run
 
@@ -186,50 +208,54 @@ def _shingled(width: int):
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
-    """(doc, removed): for each document that loses lines, their numbers from 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    slim = materialize(rows.mapInArrow(_placed, "doc long, line int, hi long, lo long"), "lines")
-    repeated = materialize(slim.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "repeated")
-    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo"), width), "hi long, lo long, many boolean, coords array<long>, sketch binary")
-    signed = materialize(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
-    # of the lines that several tasks met, one row
-    firsts = materialize(signed.where("many").groupBy("hi", "lo").agg(F.min("uid").alias("uid")), "firsts")
-    items = signed.where("not many").select(F.col("uid").alias("node"), "coords", "sketch").union(signed.where("many").join(firsts.select("uid"), "uid").select("uid", "coords", "sketch"))
-    keyed = signed.where("not many").select("uid", "hi", "lo").union(firsts.select("uid", "hi", "lo"))
+    """(doc, row, removed): for each document that loses lines, their numbers from 0. ``row`` is xxhash64() of the text.
 
-    def texts(ends: DataFrame) -> DataFrame:
-        """(hi, lo, text) for a table of line keys; few of the other lines get as far as the join."""
-        ends = materialize(ends.select("hi", "lo").distinct(), "ends")
-        bits = bit_filter(ends, "lo")
-        there = rows.select("text").mapInArrow(_texts_at(bits), "hi long, lo long, text string")
-        return materialize(there.join(ends, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.first("text").alias("text")), "texts")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        at = materialize(keyed.join(nodes, keyed.uid == nodes.node).select("node", "hi", "lo"), "at")
-        return at.join(texts(at), ["hi", "lo"]).select("node", "text")
+    Rows of one id and different texts are documents of their own, in the order of ``row``; rows that are equal
+    in both are one document, that has its lines once.
+    """
+    scratch = Scratch()
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    slim = scratch.keep(rows.mapInArrow(_placed, "doc long, row long, line int, hi long, lo long"), "lines")
+    place = F.struct("doc", "row", "line")
+    repeated = scratch.keep(slim.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
+    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo"), width), "doc long, row long, line int, hi long, lo long, many boolean, coords array<long>, sketch binary")
+    signed = scratch.keep(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
+    # of the lines that several tasks met, one row
+    firsts = signed.where("many").groupBy("hi", "lo").agg(F.min("uid").alias("uid")).select("uid")
+    firsts = scratch.keep(firsts, "firsts")
+    once = signed.where("not many")
+    items = once.select(F.col("uid").alias("node"), "coords", "sketch").union(signed.where("many").join(firsts, "uid").select("uid", "coords", "sketch"))
+    keyed = signed.select(F.col("uid").alias("node"), "hi", "lo", place.alias("own"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """(node, text) for a table of nodes; few of the other lines get as far as the join."""
+        ends = scratch.keep(keyed.join(nodes, "node").select("node", "hi", "lo"), "ends")
+        there = rows.select("text").mapInArrow(_texts_at(bit_filter(ends, "lo")), "hi long, lo long, text string")
+        return there.join(ends, ["hi", "lo"]).groupBy("hi", "lo", "node").agg(F.first("text").alias("text")).select("node", "text")
 
     def shingles(nodes: DataFrame) -> DataFrame:
-        return sets(nodes).mapInArrow(_shingled(width), "node long, shingles array<long>")
+        return texts(nodes).mapInArrow(_shingled(width), "node long, shingles array<long>")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        full = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        full = materialize(full, "sets")
+        pairs = scratch.keep(pairs, "pairs")
+        full = scratch.keep(texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
         a, b = (full.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("a", "b"))
         both = pairs.join(a, "a").repartition(F.col("b")).join(b, "b")
         return both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(percent, width), "a long, b long")
 
-    _, found = linked(items, LEAST, percent, confirm, shingles)
-    groups = found.join(keyed, found.node == keyed.uid).select("hi", "lo", F.col("component").alias("c"))
-    # lines without a link that occur once stay, whatever else
-    own = F.xxhash64("hi", "lo").bitwiseOR(F.lit(-(2**63)))  # negative, as no component is
-    known = materialize(repeated.join(groups, ["hi", "lo"], "full").select("hi", "lo", F.coalesce("c", own).alias("c")), "known")
-    drop_files(signed)
-    at = materialize(slim.join(known, ["hi", "lo"]).select("doc", "line", "c"), "at")
-    firsts = at.groupBy("c").agg(F.min("doc").alias("first"))
-    kept = at.join(firsts, "c").where("doc = first").groupBy("c", "first").agg(F.min("line").alias("stays"))
-    gone = at.join(kept, "c").where("doc <> first or line <> stays").groupBy("doc").agg(F.collect_set("line").alias("removed"))
-    return materialize(gone, "gone")
+    _, found = linked(items, LEAST, percent, confirm, shingles, scratch)
+    # the lines of a component and where the first of each stands; then where the first of all stands
+    ours = keyed.join(found, "node").select("hi", "lo", F.col("component").alias("c"), "own").join(repeated, ["hi", "lo"], "left")
+    ours = scratch.keep(ours.select("hi", "lo", "c", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("first", "own").alias("first")), "ours")
+    lines = ours.groupBy("c").agg(F.min("first").alias("stays"), F.count("*").alias("lines"))
+    known = join_hot(ours.drop("first"), lines, ["c"], "lines", ours.count()).select("hi", "lo", "n", "stays")
+    known = scratch.keep(known.union(repeated.join(ours, ["hi", "lo"], "left_anti").select("hi", "lo", "n", F.col("first").alias("stays"))), "known")
+    # a line that occurs once and is its component's first has nothing to remove
+    at = join_hot(slim, known, ["hi", "lo"], "n", slim.count()).where(place != F.col("stays"))
+    gone = materialize(at.groupBy("doc", "row").agg(F.collect_set("line").alias("removed")), "gone")
+    scratch.drop()
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, percent: int = 80, count_cols: bool = False, width: int = SHINGLE) -> DataFrame:
@@ -237,18 +263,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at a line feed and are linked if 100 * |A & B| >= percent * |A | B| for their sets
     of runs of ``width`` characters. Blank lines are never compared and stay, as do documents that lose all their lines (their
-    text becomes empty), null texts and rows of a null id. Rows of one id are one document.
+    text becomes empty), null texts and rows of a null id. Rows of one id with different texts are documents of their
+    own; rows that repeat id and text are one document and come back alike, each with the lines that stay.
     ``chars_col`` gets the new length in code points; ``count_cols`` adds n_lines and n_removed. All
     other columns pass; an empty table stays empty.
     """
-    gone = removed_lines(docs, id_col, text_col, percent, width).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
+    own = free_name(docs)
+    doc, row, lost = f"{own}_doc", f"{own}_row", f"{own}_removed"
+    gone = removed_lines(docs, id_col, text_col, percent, width).toDF(doc, row, lost)
     text = F.col(f"`{text_col}`")
     parts = F.split(text, "\n", -1)
-    both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left")
+    # a row of gone has a few numbers: hashing these spares sorting the texts
+    both = docs.join(gone.hint("shuffle_hash"), (F.col(f"`{id_col}`").cast("long") == F.col(doc)) & (F.xxhash64(text.cast("string")) == F.col(row)), "left")
     if count_cols:
-        both = both.withColumns({"n_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long")})
-    new = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    both = both.withColumn(text_col, F.when(F.col("_removed").isNotNull(), new).otherwise(text))
+        both = both.withColumns({"n_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed": F.coalesce(F.size(lost), F.lit(0)).cast("long")})
+    new = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
+    both = both.withColumn(text_col, F.when(F.col(lost).isNotNull(), new).otherwise(text))
     if chars_col:
-        both = both.withColumn(chars_col, F.when(F.col("_removed").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col(f"`{chars_col}`")))
-    return both.drop("_doc", "_removed")
+        both = both.withColumn(chars_col, F.when(F.col(lost).isNotNull(), F.char_length(text).cast("long")).otherwise(F.col(f"`{chars_col}`")))
+    return both.drop(doc, row, lost)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.llm.collisions import linked
-from driftlode.llm.common import bit_filter, bits_set, materialize
+from driftlode.llm.common import Scratch, bit_filter, bits_set, materialize
 
 MINIMA, ROWS, PREFIX, LEAST = 108, 3, 16, 62
 CHUNK = 4096
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = F.size(F.array_intersect("a_set", "b_set"))
         return both.where(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
-    _, found = linked(items, LEAST, percent, confirm, sets)
+    _, found = linked(items, LEAST, percent, confirm, sets, Scratch())
     joined = of.union(items.select("node", "node")).distinct().join(found, "node", "left").select("id", F.coalesce("component", "node").alias("c"))
     out = joined.groupBy("id").agg(F.min("c").alias("c"))
     return signed.select("id", "n_shingles").join(out, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id"), F.coalesce(F.coalesce("c", "id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -194,9 +194,15 @@ class Codec:
         return self.tokenizer.decode_batch([struct.unpack(f"<{len(x) // 4}I", x) for x in ids], skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def _codec(path: str) -> Codec:
+    """The worker's codec: the parts that a task has seen serve the next one."""
+    return Codec(path)
+
+
 def _coded(path: str, keep_ids: bool, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = _codec(path)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)

@@ -48,3 +48,14 @@ def test_stage_keeps_texts_that_came_empty(spark):
     docs = spark.createDataFrame([(1, ONE, "en", "s", len(ONE)), (2, ONE, "en", "s", len(ONE)), (3, "", "en", "s", 0), (4, None, "en", "s", 0)], DOCS)
     got = corpus_pipeline.line_dedup_stage(spark, docs, "")
     assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == {1: ONE, 3: "", 4: None}
+
+
+def test_rows_that_repeat_an_id_lose_no_line(spark):
+    a, b, c = (x * 3 for x in (ONE, FAR, "c line of the second row, under the same id as the first "))
+    rows = [(7, f"{a}\n{b}"), (7, f"{b}\n{c}"), (7, f"{b}\n{c}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as _own0_doc", "6 as _removed", "7 as row")
+    got = linededup.dedup_lines(docs, width=5)
+    assert got.columns == docs.columns
+    texts = sorted(r.text for r in got.collect())
+    assert len(texts) == 3 and len(set(texts)) == 2 and {x for t in texts for x in t.split("\n")} == {a, b, c}
+    assert {(r["_own0_doc"], r["_removed"], r.row) for r in got.collect()} == {(5, 6, 7)}

@@ -1,11 +1,11 @@
 """Inverted join over signature coordinates: which items agree on many of them.
 
 Items are posted under the values of some coordinates of their signatures, and have a sketch (a byte
-of each of many minima). Lists of up to ``SMALL`` items give all their pairs. Longer lists give a star
-around one item of the list, another one for each list; when those links have been confirmed and
-joined to components, the items of a long list that aren't in its largest component are compared
-with the whole list, in blocks. A candidate pair goes on if its sketches agree often enough; the caller
-confirms it on the full sets.
+of each of many minima). A list first gives a star around its smallest item, which is that of most lists of a
+group of copies. When those links have been confirmed and joined to components, only lists that hold several are
+looked at again: up to ``SMALL`` items give all their pairs of different components, and of a longer list the items
+outside its largest component are compared with the whole list, in blocks. A candidate pair goes on if
+its sketches agree often enough; it is a link if the full sets are similar.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import Scratch, bit_filter, bits_set
+from driftlode.llm.common import Scratch, bit_filter, bits_set, slices
 from driftlode.llm.components import connected_components
 
 SMALL, BLOCK = 24, 512
@@ -88,16 +88,8 @@ def _posted(items: DataFrame, scratch: Scratch) -> DataFrame:
     packed = items.select("coords").mapInArrow(_dealt(buckets), "bucket long, values binary, several binary")
     shared = scratch.keep(packed.groupBy("bucket").applyInArrow(_shared, "key long"), "shared")
     posts = scratch.keep(items.select("node", "coords").mapInArrow(_hits(bit_filter(shared, "key")), "key long, node long"), "posts")
-    # node XOR key orders the nodes differently in every list, and can be undone
-    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).where("n > 1")
-    return posts.join(lists, "key").select("key", "node", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
-
-
-def _pairs(posted: DataFrame) -> DataFrame:
-    few, many = posted.where(F.col("n") <= SMALL), posted.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
-    a, b = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
-    stars = many.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    return a.join(b, "key").where("a < b").select("a", "b").union(stars).distinct()
+    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    return posts.join(lists, "key").select("key", "node", "n", "pivot")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -120,6 +112,38 @@ def _agree(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_often(least), "a long, b long")
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _similar(percent: int, shingles: Callable[[list], list[np.ndarray]]):
+    """Pairs of similar full sets. What several pairs of a batch have is made a set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            full = batch.column(2).to_pylist() + batch.column(3).to_pylist()
+            known: dict = {}
+            place = [known.setdefault(x, k) for k, x in enumerate(full)]
+            own = sorted(set(place))
+            sets = dict(zip(own, shingles([full[k] for k in own]), strict=True))
+            keep, n = [], batch.num_rows
+            for x, y in zip((sets[k] for k in place[:n]), (sets[k] for k in place[n:]), strict=True):
+                common = _common(x, y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, shingles: Callable) -> DataFrame:
+    left, right = (full.select(F.col("node").alias(c), F.col("full").alias(f"{c}_full")) for c in ("a", "b"))
+    both = pairs.join(left, "a").repartition(F.col("b")).join(right, "b")
+    return both.select("a", "b", "a_full", "b_full").mapInArrow(_similar(percent, shingles), "a long, b long")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """(key, i, j, left, ...): the rows of each list outside its largest component, in blocks, beside each block of the list."""
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("size"))
@@ -152,26 +176,21 @@ def _like(least: int):
     return run
 
 
-def _compared(least: int, percent: int):
+def _compared(least: int, percent: int, shingles: Callable[[list], list[np.ndarray]]):
     """Links between the items of two blocks; only those that join what wasn't joined before."""
 
     def run(table: pa.Table) -> pa.Table:
         node, group, side = (table.column(c).to_numpy().copy() for c in ("node", "c", "left"))
-        sketch = _sketches(table.column("sketch").combine_chunks())
-        values, cuts = _flat(table.column("shingles"))
-        words, values = np.unique(values, return_inverse=True)
-        sizes, mark, out = np.diff(cuts), np.zeros(len(words), bool), []
+        sketch, out = _sketches(table.column("sketch").combine_chunks()), []
+        sets = shingles(table.column("full").to_pylist())
         right = np.flatnonzero(~side)
         for x in np.flatnonzero(side):
             own = right[group[right] != group[x]]
-            own = own[(sketch[own] == sketch[x]).sum(axis=1) >= least]
-            if not len(own):
-                continue
-            mark[values[cuts[x] : cuts[x + 1]]] = True
-            common = np.array([np.count_nonzero(mark[values[cuts[y] : cuts[y + 1]]]) for y in own])
-            mark[values[cuts[x] : cuts[x + 1]]] = False
-            for y in own[100 * common >= percent * (sizes[x] + sizes[own] - common)]:
-                if group[x] != group[y]:
+            for y in own[(sketch[own] == sketch[x]).sum(axis=1) >= least]:
+                if group[x] == group[y]:
+                    continue
+                common = _common(sets[x], sets[y])
+                if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
                     out.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
                     group[group == group[y]] = group[x]
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
@@ -179,39 +198,37 @@ def _compared(least: int, percent: int):
     return run
 
 
-def _rest(posted: DataFrame, items: DataFrame, found: DataFrame, least: int, percent: int, sets: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame | None:
-    """Links between the components that a long list holds; None if there are none to look for.
-
-    First only the sketches are compared; the full sets are fetched for the items that have a candidate.
-    """
-    long = posted.where(F.col("n") > SMALL).select("key", "node")
-    long = scratch.keep(long.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "long")
-    split = long.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    long = scratch.keep(long.join(split, "key").join(items.select("node", "sketch"), "node"), "mixed")
-    if long.isEmpty():
-        return None
-    like = scratch.keep(_blocks(long).groupBy("key", "i", "j").applyInArrow(_like(least), "key long, node long").distinct(), "like")
-    if like.isEmpty():
-        return None
-    full = scratch.keep(sets(like.select("node").distinct()), "sets")
-    rows = long.join(like, ["key", "node"]).join(full, "node")
-    return _blocks(rows).groupBy("key", "i", "j").applyInArrow(_compared(least, percent), "a long, b long")
-
-
-def linked(items: DataFrame, least: int, percent: int, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Links of ``items`` (node long, coords array<long>, sketch binary) and their components.
+def linked(items: DataFrame, least: int, percent: int, fetch: Callable[[DataFrame], DataFrame], shingles: Callable[[list], list[np.ndarray]], scratch: Scratch) -> DataFrame:
+    """(node, component) for the ``items`` (node long, coords array<long>, sketch binary) that have links.
 
     A pair is a candidate if it shares a value of coords and its sketches agree in ``least``
-    places. ``confirm`` keeps the pairs (a, b) that are links; ``sets`` gives (node, shingles) for a
-    table of nodes, which are compared in place. Returned are confirmed links (a, b) that span the
-    components, and (node, component). A node may have several items; it has the links of each of them.
+    places. ``fetch`` gives (node, full) for a table of nodes, and ``shingles`` makes of a list of such full
+    values sorted arrays of distinct values; a link is a candidate of a Jaccard similarity of ``percent`` or more.
+    A node may have several items; it has the links of each of them.
     """
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
     posted = scratch.keep(_posted(items, scratch), "posted")
-    links = scratch.keep(confirm(_agree(_pairs(posted), items, least)), "links")
-    found = connected_components(links)
-    more = _rest(posted, items, found, least, percent, sets, scratch)
-    if more is not None:
-        links = links.union(scratch.keep(more, "links"))
-        found = connected_components(links)
+    stars = posted.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = scratch.keep(_agree(stars, items, least), "pairs")
+    full = scratch.keep(fetch(ends(pairs).distinct()), "full")
+    links = scratch.keep(_confirmed(pairs, full, percent, shingles), "links")
+    scratch.drop(full)
+    found = scratch.keep(connected_components(links), "found")
+    # lists that hold several components
+    rows = scratch.keep(posted.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "rows")
+    split = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    rows = scratch.keep(rows.join(split, "key"), "mixed")
     scratch.drop(posted)
-    return links, found
+    few = rows.where(F.col("n") <= SMALL)
+    a, b = (few.select("key", F.col("node").alias(x), F.col("c").alias(f"{x}_c")) for x in ("a", "b"))
+    pairs = scratch.keep(_agree(a.join(b, "key").where("a < b and a_c <> b_c").select("a", "b").distinct(), items, least), "pairs")
+    long = scratch.keep(rows.where(F.col("n") > SMALL).select("key", "node", "c").join(items.select("node", "sketch"), "node"), "long")
+    # first the sketches are compared; the full sets are fetched for the items that have a candidate
+    like = scratch.keep(_blocks(long).groupBy("key", "i", "j").applyInArrow(_like(least), "key long, node long").distinct(), "like")
+    wanted = scratch.keep(ends(pairs).union(like.select("node")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return found
+    full = scratch.keep(fetch(wanted), "full")
+    rest = _blocks(long.join(like, ["key", "node"]).join(full, "node")).groupBy("key", "i", "j").applyInArrow(_compared(least, percent, shingles), "a long, b long")
+    more = scratch.keep(_confirmed(pairs, full, percent, shingles).union(rest), "links")
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -124,5 +124,4 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count_col: str,
     """
     most = max(total // HOT_SHARE, 64)
     hot, cold = table.where(F.col(count_col) > most), table.where(F.col(count_col) <= most)
-    names = hot.select(*keys).limit(HOT_SHARE)  # no more than these can be hot
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(names), keys, "left_anti").join(cold, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))

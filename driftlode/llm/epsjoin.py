@@ -1,10 +1,13 @@
 """Near-duplicate embeddings by an epsilon grid order join.
 
-Unit vectors with a cosine of c lie sqrt(2 - 2c) = eps apart. They are sorted by the cells of a grid
-of that width on the leading principal axes. The order is cut into blocks, and blocks whose boxes
-on these axes are further apart than eps are never joined. Within a pair of blocks the sorted
-intervals are halved again and again, and halves that are provably distant are skipped; what is left
-is compared in double precision.
+Unit vectors with a cosine of c lie sqrt(2 - 2c) = eps apart. They are sorted by the cells of a grid of
+half that width on the leading principal axes. The order is cut into parts and these into blocks; blocks
+whose boxes on BOX axes are further apart than eps are never joined. Two parts meet in one task, which gets only
+the blocks that have a partner there, each once. There the sorted intervals are halved again and again, and
+halves that are provably distant are skipped; what is left is compared in double precision.
+
+How much is skipped depends on the vectors: where they lie in clusters most of it, where their spread is the same in
+all of many directions little, as no box of such vectors is far from another.
 """
 
 from __future__ import annotations
@@ -17,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import drop_files, materialize
+from driftlode.llm.common import Scratch, join_hot, materialize, slices
 from driftlode.llm.components import connected_components
 
-AXES, BLOCK, LEAF = 6, 2048, 128
+AXES, BOX, MET, BLOCK, LEAF = 6, 16, 3, 512, 128  # axes of the order, of the boxes, and of the join of boxes
+PART_BYTES = 1 << 22  # of the vectors of a part
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, digest and the vector's bytes (doubles); nulls where nothing can be linked."""
-    for batch in batches:
+    for batch in slices(batches, 4096):
         digests, data = [], []
         for v in batch.column(1).to_pylist():
             x = None if v is None or None in v else np.array(v, "<f8")
@@ -59,7 +63,7 @@ def _moments(dim: int):
 def _located(dim: int, mean: np.ndarray, axes: np.ndarray, eps: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.floor((_units(batch.column(2).to_pylist(), dim) - mean) @ axes / eps).astype(np.int32)
+            cells = np.floor((_units(batch.column(2).to_pylist(), dim) - mean) @ axes[:, :AXES] / (eps / 2)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(AXES))], names=["node", "n", "v", *(f"c{k}" for k in range(AXES))])
 
     return run
@@ -94,21 +98,25 @@ def _distant(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
 
 
 def _joined(dim: int, mean: np.ndarray, axes: np.ndarray, eps: float, cosine: float):
+    """The links of two parts: (kind, x, y), where kind is 0 for a node and its links, 1 for an edge, 2 for pairs compared and skipped."""
+
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        rows = {r["block"]: r for r in table.select(["block", "nodes", "copies", "units"]).to_pylist()}
-        part = [rows[k] for k in ((i,) if i == j else (i, j))]
-        node, copies = (np.concatenate([np.frombuffer(p[c], "<i8") for p in part]) for c in ("nodes", "copies"))
-        u = np.concatenate([np.frombuffer(p["units"], "<f8").reshape(-1, dim) for p in part])
+        rows = sorted(table.select(["block", "nodes", "copies", "units", "mates"]).to_pylist(), key=lambda r: r["block"])
+        node, copies = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("nodes", "copies"))
+        u = np.concatenate([np.frombuffer(r["units"], "<f8").reshape(-1, dim) for r in rows])
         y = (u - mean) @ axes
-        cut = len(part[0]["nodes"]) // 8
-        links, group, edges = np.zeros(len(node), np.int64), np.arange(len(node)), []
+        cuts = np.cumsum([0] + [len(r["nodes"]) // 8 for r in rows])
+        span = {r["block"]: (int(a), int(b)) for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)}
+        links, group, edges, done = np.zeros(len(node), np.int64), np.arange(len(node)), [], [0, 0]
 
         def join(a: int, b: int, c: int, d: int) -> None:
             """Intervals [a, b) and [c, d); the same one, or the first before the second."""
+            n = (b - a) * (b - a - 1) // 2 if a == c else (b - a) * (d - c)
             if _distant(y[a:b], y[c:d], eps):
+                done[1] += n
                 return
             if b - a <= LEAF and d - c <= LEAF:
+                done[0] += n
                 near = u[a:b] @ u[c:d].T >= cosine
                 if a == c:
                     near = np.triu(near, 1)
@@ -132,58 +140,79 @@ def _joined(dim: int, mean: np.ndarray, axes: np.ndarray, eps: float, cosine: fl
                 join(a, b, c, n)
                 join(a, b, n, d)
 
-        join(0, cut, 0, cut) if i == j else join(0, cut, cut, len(node))
+        for r in rows:
+            for mate in r["mates"] or []:
+                join(*span[r["block"]], *span[mate])
         on = np.flatnonzero(links)
-        x = np.concatenate([node[on], np.array([e[0] for e in edges], np.int64)])
-        z = np.concatenate([links[on], np.array([e[1] for e in edges], np.int64)])
-        return pa.table({"edge": pa.array(np.arange(len(x)) >= len(on)), "x": pa.array(x), "y": pa.array(z)})
+        x = np.concatenate([node[on], np.array([e[0] for e in edges], np.int64), done[:1]])
+        z = np.concatenate([links[on], np.array([e[1] for e in edges], np.int64), done[1:]])
+        return pa.table({"kind": pa.array(np.repeat(np.arange(3, dtype=np.int32), [len(on), len(edges), 1])), "x": pa.array(x), "y": pa.array(z)})
 
     return run
 
 
-def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
+def _meeting(blocks: DataFrame, eps: float) -> DataFrame:
+    """(a, b, part_a, part_b): the pairs of blocks, a <= b, whose boxes are within eps. Boxes meet by the cells of their first MET axes."""
+    box = blocks.select("block", "part", "low", "high")
+    cell = lambda c, k: F.floor(F.get(c, F.lit(k)) / eps)
+
+    def spread(name: str, margin: int) -> DataFrame:
+        out = box.select(F.col("block").alias(name), F.col("part").alias(f"part_{name}"), F.col("low").alias(f"{name}l"), F.col("high").alias(f"{name}h"))
+        for k in range(MET):
+            out = out.withColumn(f"cell{k}", F.explode(F.sequence(cell(f"{name}l", k) - margin, cell(f"{name}h", k) + margin)))
+        return out
+
+    gap = F.aggregate(F.zip_with(F.zip_with("al", "bh", lambda x, y: x - y), F.zip_with("bl", "ah", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
+    met = spread("a", 1).join(spread("b", 0), [f"cell{k}" for k in range(MET)]).where("a <= b").where(gap <= eps * eps)
+    return met.select("a", "b", "part_a", "part_b").distinct()
+
+
+def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, told: dict | None = None) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors of a cosine >= ``cosine`` are linked. Null, empty and zero vectors and those with null or
     non-finite components have no link. Vectors of different lengths are compared as if padded with
     zeros. Equal vectors are joined first and counted with their number of copies. Rows of a null id come
     back with a null component and kept; rows that repeat an id each count as a vector. An empty table
-    gives an empty result.
+    gives an empty result. ``told`` gets the numbers of distinct vectors and of pairs of them compared.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    usable = materialize(rows.mapInArrow(_usable, "id long, digest binary, v binary"), "vectors")
+    scratch = Scratch()
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
+    usable = scratch.keep(rows.mapInArrow(_usable, "id long, digest binary, v binary"), "vectors")
     good = usable.where("id is not null and digest is not null")
-    same = materialize(good.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n")), "same")
-    size = good.agg(F.max(F.octet_length("v")), F.count("*")).first()
+    same = good.groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"))
+    same = scratch.keep(same.withColumn("node", F.monotonically_increasing_id()), "same")
+    size = same.agg(F.max(F.octet_length("v")), F.count("*"), F.sum("n")).first()
     if not size[1]:
-        return usable.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return vectors.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(f"`{id_col}`").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     dim, eps = size[0] // 8, float(np.sqrt(2 - 2 * cosine)) + 1e-7
-    own = good.join(same.withColumnRenamed("node", "id"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "n", "v")
-    own = materialize(own, "own")
+    own = same.select("node", "n", "v")
     sums = np.zeros(dim * dim + dim + 1)
     for k, x in own.select("v").mapInArrow(_moments(dim), "k long, x double").groupBy("k").agg(F.sum("x")).collect():  # as many as the squared dimension
         sums[k] = x
     mean = sums[dim * dim : -1] / sums[-1]
-    axes = np.linalg.eigh(sums[: dim * dim].reshape(dim, dim) / sums[-1] - np.outer(mean, mean))[1][:, ::-1][:, :AXES]
-    axes = np.pad(axes, ((0, 0), (0, AXES - axes.shape[1])))
+    axes = np.linalg.eigh(sums[: dim * dim].reshape(dim, dim) / sums[-1] - np.outer(mean, mean))[1][:, ::-1][:, :BOX]
+    axes = np.pad(axes, ((0, 0), (0, BOX - axes.shape[1])))
     cells = [f"c{k}" for k in range(AXES)]
     located = own.mapInArrow(_located(dim, mean, axes, eps), "node long, n long, v binary, " + ", ".join(f"{c} int" for c in cells))
-    ordered = located.repartitionByRange(max(1, -(-int(sums[-1]) // BLOCK)), *cells, "node").sortWithinPartitions(*cells, "node")
+    ordered = located.repartitionByRange(max(1, -(-size[1] * dim * 8 // PART_BYTES)), *cells, "node").sortWithinPartitions(*cells, "node")
     blocks = ordered.mapInArrow(_blocked(dim, mean, axes), "nodes binary, copies binary, units binary, low array<double>, high array<double>")
-    blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    # blocks meet where their intervals on the first axis share a cell, or lie in neighbouring ones
-    box = blocks.select("block", "low", "high").withColumn("first", F.floor(F.col("low")[0] / eps)).withColumn("last", F.floor(F.col("high")[0] / eps))
-    left = box.select(F.col("block").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
-    right = box.select(F.col("block").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), F.explode(F.sequence("first", "last")).alias("cell"))
-    gap = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(AXES - 1)), lambda k: F.greatest(F.get("al", k) - F.get("bh", k), F.get("bl", k) - F.get("ah", k), F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    pairs = left.join(right, "cell").where("a <= b").select("a", "b", "al", "ah", "bl", "bh").where(gap <= eps * eps).select("a", "b").distinct()
-    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    met = ends.join(blocks.select("block", "nodes", "copies", "units"), "block").groupBy("a", "b").applyInArrow(_joined(dim, mean, axes, eps, cosine), "edge boolean, x long, y long")
-    met = materialize(met, "met")
-    found = connected_components(met.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    links = met.where("not edge").groupBy(F.col("x").alias("node")).agg(F.sum("y").alias("links"))
-    told = materialize(same.join(links, "node", "left").join(found, "node", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")), "told")
-    drop_files(blocks)
-    out = usable.select("id", "digest").join(told, "digest", "left")
-    c = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"))
+    blocks = scratch.keep(blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "blocks")
+    pairs = scratch.keep(_meeting(blocks, eps), "pairs")
+    lead = pairs.groupBy("part_a", "part_b", F.col("a").alias("block")).agg(F.collect_list("b").alias("mates"))  # the blocks of one part at most
+    other = pairs.select("part_a", "part_b", F.col("b").alias("block"), F.lit(None).cast("array<long>").alias("mates"))
+    ends = lead.union(other).groupBy("part_a", "part_b", "block").agg(F.max("mates").alias("mates"))
+    met = ends.join(blocks.select("block", "nodes", "copies", "units"), "block").groupBy("part_a", "part_b").applyInArrow(_joined(dim, mean, axes, eps, cosine), "kind int, x long, y long")
+    met = scratch.keep(met, "met")
+    if told is not None:
+        told |= {"vectors": size[1], "compared": met.where("kind = 2").agg(F.sum("x")).first()[0]}
+    found = connected_components(met.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = met.where("kind = 0").groupBy(F.col("x").alias("node")).agg(F.sum("y").alias("links"))
+    ours = same.join(links, "node", "left").join(found, "node", "left").select("digest", "low", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
+    ours = scratch.keep(ours, "ours")
+    labels = ours.groupBy("c").agg(F.min("low").alias("label"), F.count("*").alias("size"))
+    ours = scratch.keep(join_hot(ours.drop("low"), labels, ["c"], "size", size[1]).select("digest", "n", "n_links", F.col("label").alias("c")), "labelled")
+    linked = join_hot(good.select("id", "digest"), ours, ["digest"], "n", size[2]).select("id", "n_links", "c")
+    out = materialize(linked.union(usable.where("id is null or digest is null").select("id", F.lit(0).cast("long"), "id")), "links")
+    scratch.drop()
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))

@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact check, union-find.
 
-Every line gets a signature of BANDS bands of ROWS minima over its runs of ``width`` characters. One changed
-character touches up to ``width`` runs, so lines want a short width: five, as op9_linededup and the pipeline give. Two
+Every line gets a signature of BANDS bands of ROWS minima over its runs of ``width`` characters: by one permutation,
+the least hash in each of that many bins, where an empty bin takes that of another one. One changed character touches up to ``width`` runs, so lines want a short width: five, as op9_linededup and the pipeline give. Two
 lines that agree on a band are candidates; at a Jaccard similarity of 0.8 a pair is missed with the
 probability (1 - 0.8**ROWS)**BANDS = 0.0007, at 0.9 with 10**-8. Six rows to a band keep apart lines that
-only share the short runs of their language (0.05 to 0.15). Candidates that agree on LEAST of the KEPT minima of
+only share the short runs of their language (mostly under 0.15). Candidates that agree on LEAST of the KEPT minima of
 their sketches are checked on the full shingle sets. Of the lines that links join to a component, the first one stays:
 that of the smallest document id, and in this document the first.
 """
@@ -24,12 +24,15 @@ from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_
 from driftlode.llm.minhash import mixed
 
 SHINGLE, BANDS, ROWS = 10, 24, 6
+BINS = BANDS * ROWS
 KEPT, LEAST = 48, 26  # minima of the sketch: 38 agree on average at 0.8 (sd 2.8)
-SEEN, CHUNK = 100_000, 1024
+SEEN, CHUNK, PROBES = 100_000, 1 << 18, 12
+VALUE = np.uint64(2**40 - 1)
+EMPTY = np.uint64(2**63)
 
 _rng = np.random.default_rng(20240502)
-_MUL = _rng.integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLACE = _rng.integers(0, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BORROW = np.array([_rng.permutation(BINS) for _ in range(PROBES)])
 
 
 def _points(text: str) -> np.ndarray:
@@ -37,73 +40,91 @@ def _points(text: str) -> np.ndarray:
 
 
 def _rolled(points: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """A hash of each run of ``width`` code points, from those of runs of 1, 2, 4, ... that add up to it."""
+    """A hash of each run of ``width`` code points: their sum with a random odd factor for each place, mixed."""
     n = max(len(points) - width + 1, 0)
-    if not n:
-        return np.zeros(0, np.uint64)
-    total, at, run = np.zeros(n, np.uint64), 0, points
-    for k in range(width.bit_length()):
-        size = 1 << k
-        if width & size:
-            total = mixed(total) * _PLACE[8 + k] + run[at : at + n]
-            at += size
-        if 2 * size <= width:
-            run = (mixed(run[:-size]) if k else run[:-size]) * _PLACE[k] + run[size:]
+    total = np.zeros(n, np.uint64)
+    for k in range(width if n else 0):
+        total += points[k : k + n] * (_PLACE[k % 256] + np.uint64(2 * (k // 256)))
     return mixed(total)
 
 
+def _whole(line: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64)
+
+
 def shingle_set(line: str, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` characters; a shorter line is one shingle."""
-    if len(line) < width:
-        return np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))], np.uint64)
-    return np.unique(_rolled(_points(line), width))
+    return _whole(line) if len(line) < width else np.unique(_rolled(_points(line), width))
 
 
 def _bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minima (lines x rows of all bands) to a 64-bit value for each line and band, and a byte for each of the KEPT minima."""
+    """Minima (lines x BINS) to a 64-bit value for each line and band, and a byte for each of the KEPT minima."""
     total = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
     for i in range(ROWS):
-        total = mixed(total + low[:, i::ROWS].astype(np.uint64) * _PLACE[16 + i])
-    return total.view(np.int64), mixed(low[:, :KEPT].astype(np.uint64)).astype(np.uint8)
-
-
-def minima(text: str, lines: list[str], wanted: list[int], width: int = SHINGLE) -> np.ndarray:
-    """The minima of the lines numbered ``wanted`` of ``text``, whose lines are ``lines``; a row for each.
-
-    The hash functions are the multiples of a mixed 32-bit hash by odd numbers. Runs are hashed CHUNK at a
-    time, whatever the length of a line, so that the products stay in the processor's cache.
-    """
-    low = np.full((len(wanted), BANDS * ROWS), 2**32 - 1, np.uint32)
-    ends = np.cumsum([len(x) + 1 for x in lines]) - 1
-    long = [(k, int(ends[i]) - len(lines[i]), int(ends[i]) - width + 1) for k, i in enumerate(wanted) if len(lines[i]) >= width]
-    if long:
-        hashes = (_rolled(_points(text), width) >> np.uint64(32)).astype(np.uint32)
-        buffer = np.empty((BANDS * ROWS, CHUNK), np.uint32)
-        part: list[tuple[int, int, int]] = []  # line, begin and end of its runs
-
-        def flush() -> None:
-            runs = np.concatenate([hashes[a:b] for _, a, b in part])
-            out = np.multiply(runs[None], _MUL, out=buffer[:, : len(runs)])
-            own = np.minimum.reduceat(out, np.cumsum([0] + [b - a for _, a, b in part[:-1]]), axis=1)
-            for k, least in zip([p[0] for p in part], own.T, strict=True):
-                np.minimum(low[k], least, out=low[k])
-            part.clear()
-
-        room = CHUNK
-        for k, a, b in long:
-            while a < b:
-                n = min(b - a, room)
-                part.append((k, a, a + n))
-                a, room = a + n, room - n
-                if not room:
-                    flush()
-                    room = CHUNK
-        if part:
-            flush()
-    for k, i in enumerate(wanted):
-        if len(lines[i]) < width:
-            low[k] = shingle_set(lines[i], width)[:1].astype(np.uint32) * _MUL[:, 0]
-    return low
+        total = mixed(total + low[:, i::ROWS] * _PLACE[16 + i])
+    return total.view(np.int64), mixed(low[:, :KEPT]).astype(np.uint8)
+
+
+def _filled(low: np.ndarray) -> np.ndarray:
+    """Minima without empty bins: each takes the value of the first bin in its own row of _BORROW that isn't empty, else of the next such bin."""
+    out, flat = low.copy(), low.reshape(-1)
+    row, at = np.nonzero(low == EMPTY)
+    for place in _BORROW:
+        value = flat[row * BINS + place[at]]
+        good = value != EMPTY
+        out[row[good], at[good]] = value[good]
+        row, at = row[~good], at[~good]
+        if not len(row):
+            return out
+    for r in np.unique(row):
+        full, mine = np.flatnonzero(low[r] != EMPTY), at[row == r]
+        out[r, mine] = low[r, full[np.searchsorted(full, mine) % len(full)]]
+    return out
+
+
+def minima(lines: list[str], width: int = SHINGLE) -> np.ndarray:
+    """The minima of ``lines``; a row of BINS for each. CHUNK characters are hashed together, whatever the length of a line."""
+    low = np.full((len(lines), BINS), EMPTY, np.uint64)
+    flat, part, held = low.reshape(-1), [], 0
+
+    def put(rows: np.ndarray, hashes: np.ndarray) -> None:
+        at = rows * BINS + ((hashes >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
+        np.minimum.at(flat, at, hashes & VALUE)
+
+    def flush() -> None:
+        sizes = np.array([len(p) for _, p in part])
+        runs, starts = sizes - width + 1, np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        put(np.repeat([r for r, _ in part], runs), _rolled(_points("\n".join(p for _, p in part)), width)[at])
+        part.clear()
+
+    for row, line in enumerate(lines):
+        if len(line) < width:
+            put(np.array([row]), _whole(line))
+        for at in range(0, len(line) - width + 1, CHUNK):
+            piece = line[at : at + CHUNK + width - 1]
+            part.append((row, piece))
+            held += len(piece)
+            if held >= CHUNK:
+                flush()
+                held = 0
+    if part:
+        flush()
+    return _filled(low)
+
+
+def shingle_sets(lines: list[str], width: int) -> list[np.ndarray]:
+    """shingle_set() of each line; short ones are hashed together."""
+    out: list = [None] * len(lines)
+    short = [k for k, x in enumerate(lines) if width <= len(x) <= 4096]
+    if short:
+        hashes, at = _rolled(_points("\n".join(lines[k] for k in short)), width), 0
+        for k in short:
+            own = hashes[at : at + len(lines[k]) - width + 1]
+            own = np.sort(own)
+            out[k] = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            at += len(lines[k]) + 1
+    return [shingle_set(lines[k], width) if x is None else x for k, x in enumerate(out)]
 
 
 def _lines(text: str | None) -> tuple[list[str], list[int]]:
@@ -136,7 +157,7 @@ def _signed(repeated: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in slices(batches):
-            at, numbers, keys, manys, lows = [], [], [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)], [np.zeros((0, BANDS * ROWS), np.uint32)]
+            at, numbers, wanted, keys, manys = [], [], [], [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
             for place, (doc, value) in enumerate(zip(batch.column(0), batch.column(2), strict=True)):
                 text = value.as_py() if doc.is_valid else None
                 lines, own = _lines(text)
@@ -157,9 +178,9 @@ def _signed(repeated: np.ndarray, width: int):
                     numbers += [own[k] for k in new]
                     keys.append(key[new])
                     manys.append(many[new])
-                    lows.append(minima(text, lines, [own[k] for k in new], width))
+                    wanted += [lines[own[k]] for k in new]
             both, at = np.concatenate(keys), pa.array(at, pa.int64())
-            flat, low = _bands(np.concatenate(lows))
+            flat, low = _bands(minima(wanted, width))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
             columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array([x.tobytes() for x in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "line", "hi", "lo", "many", "coords", "sketch"])
@@ -180,33 +201,6 @@ def _texts_at(bits: np.ndarray):
     return run
 
 
-def _runs(line: str, width: int) -> set[str]:
-    return {line[i : i + width] for i in range(max(len(line) - width + 1, 1))}
-
-
-def _similar(percent: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, sets = [], {}
-            for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = (sets.get(s) or sets.setdefault(s, _runs(s, width)) for s in pair)
-                common = len(x & y)
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                if len(sets) > 1000:
-                    sets.clear()
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _shingled(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, width).view(np.int64) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    return run
-
-
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """(doc, row, removed): for each document that loses lines, their numbers from 0. ``row`` is xxhash64() of the text.
 
@@ -224,27 +218,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # of the lines that several tasks met, one row
     firsts = signed.where("many").groupBy("hi", "lo").agg(F.min("uid").alias("uid")).select("uid")
     firsts = scratch.keep(firsts, "firsts")
-    once = signed.where("not many")
-    items = once.select(F.col("uid").alias("node"), "coords", "sketch").union(signed.where("many").join(firsts, "uid").select("uid", "coords", "sketch"))
+    again = scratch.keep(signed.where("many").join(firsts, "uid").select("uid", "coords", "sketch"), "again")
+    items = signed.where("not many").select("uid", "coords", "sketch").union(again).withColumnRenamed("uid", "node")
     keyed = signed.select(F.col("uid").alias("node"), "hi", "lo", place.alias("own"))
 
     def texts(nodes: DataFrame) -> DataFrame:
-        """(node, text) for a table of nodes; few of the other lines get as far as the join."""
+        """(node, full), the texts of a table of nodes; few of the other lines get as far as the join."""
         ends = scratch.keep(keyed.join(nodes, "node").select("node", "hi", "lo"), "ends")
         there = rows.select("text").mapInArrow(_texts_at(bit_filter(ends, "lo")), "hi long, lo long, text string")
-        return there.join(ends, ["hi", "lo"]).groupBy("hi", "lo", "node").agg(F.first("text").alias("text")).select("node", "text")
-
-    def shingles(nodes: DataFrame) -> DataFrame:
-        return texts(nodes).mapInArrow(_shingled(width), "node long, shingles array<long>")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs, "pairs")
-        full = scratch.keep(texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-        a, b = (full.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("a", "b"))
-        both = pairs.join(a, "a").repartition(F.col("b")).join(b, "b")
-        return both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(percent, width), "a long, b long")
+        return there.join(ends, ["hi", "lo"]).groupBy("hi", "lo", "node").agg(F.first("text").alias("full")).select("node", "full")
 
-    _, found = linked(items, LEAST, percent, confirm, shingles, scratch)
+    found = linked(items, LEAST, percent, texts, lambda lines: shingle_sets(lines, width), scratch)
     # the lines of a component and where the first of each stands; then where the first of all stands
     ours = keyed.join(found, "node").select("hi", "lo", F.col("component").alias("c"), "own").join(repeated, ["hi", "lo"], "left")
     ours = scratch.keep(ours.select("hi", "lo", "c", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("first", "own").alias("first")), "ours")

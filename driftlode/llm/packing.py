@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import materialize
+from driftlode.llm.common import materialize, slices
 
 CAPACITY, END_ID = 4096, 1
 CACHED, LONGEST = 150_000, 32
@@ -92,7 +92,7 @@ def encoded(path: str, text: str | None) -> bytes:
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoded(path, text.as_py()) + end
@@ -112,7 +112,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Tokenize and cut: id, piece, start, length, ids_crc32 and, if asked for, ids (binary, 4 bytes each).
 
     A document is its ids and ``end_id`` after them; null and empty texts are the end id alone. Only
-    documents over ``capacity`` are cut, into pieces of that many tokens and a shorter last one.
+    documents over ``capacity`` are cut, into pieces of that many tokens and a shorter last one. Repeated rows
+    and those of a null id are documents too, other columns aren't read, an empty table has no pieces.
     """
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, keep_ids), "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
@@ -238,6 +239,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
-    """Tokenize, cut and pack ``docs``: one row per piece with its place, gapless from offset 0."""
+    """Tokenize, cut and pack ``docs``: one row per piece with its place, gapless from offset 0.
+
+    Null and empty texts are an end id; rows that repeat and those of a null id get places of their own; an
+    empty table gives an empty result.
+    """
     packed = pack(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, keep_ids), capacity)
     return packed.withColumnRenamed("id", id_col)

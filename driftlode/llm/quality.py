@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import materialize
+from driftlode.llm.common import free_name, materialize
 
 SAMPLE, STEPS, L2 = 8000, 25, 1e-2
 SITE_WEIGHT = 0.25
@@ -73,9 +73,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     With no label, or labels of one kind, every document scores even odds.
     """
-    some = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(id_col, F.col("quality").alias("_y")).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    mark = free_name(docs, labels)
+    some = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(id_col, F.col("quality").alias(mark)).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     told = F.pandas_udf(_listed, "array<double>")
-    got = docs.join(F.broadcast(some), id_col).select(id_col, told(F.col(f"`{text_col}`").cast("string")).alias("x"), "_y").collect()  # `sample` short rows at most
+    got = docs.join(F.broadcast(some), id_col).select(id_col, told(F.col(f"`{text_col}`").cast("string")).alias("x"), mark).collect()  # `sample` short rows at most
     got.sort(key=lambda r: r[0])
     y = np.array([r[2] for r in got], float)
     if not len(y) or y.min() == y.max():

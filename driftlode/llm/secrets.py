@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlode.llm.common import free_name
+
 # The base patterns, in order of rank. The third is the least length of the match's
 # group 2 (assign) or of the whole match.
 BASE = (
@@ -139,7 +141,7 @@ def joined(spans: Column) -> Column:
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every found secret replaced by ``mask``; overlapping finds give one mask.
 
-    Null texts stay null, texts without finds stay as they are, all rows and columns stay.
+    Null texts stay null, texts without finds stay as they are, all rows and columns stay; an empty table stays empty.
     """
     text = F.col(f"`{text_col}`")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -152,4 +154,5 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> D
     def close(a: Column) -> Column:
         return F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text)))
 
-    return find_secrets(docs, text_col, "_secrets").withColumn(text_col, F.when(F.size("_secrets") > 0, F.aggregate(F.col("_secrets"), zero, step, close)).otherwise(text)).drop("_secrets")
+    own = free_name(docs)
+    return find_secrets(docs, text_col, own).withColumn(text_col, F.when(F.size(own) > 0, F.aggregate(F.col(own), zero, step, close)).otherwise(text)).drop(own)

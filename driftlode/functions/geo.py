@@ -55,6 +55,17 @@ def ring_centroid(ring: Column) -> Column:
     return F.struct(moment("x").alias("x"), moment("y").alias("y"))
 
 
+def vertices(rings: Column) -> Column:
+    """The vertices of all exterior rings (array of rings), each closed: its first vertex comes twice."""
+    return F.flatten(F.transform(rings, close_ring))
+
+
+def require_wgs84(crs: Column) -> Column:
+    """EPSG:4326 (or null, taken for it); an error for any other system, as nothing here reprojects."""
+    known = crs.isNull() | F.upper(crs).isin("EPSG:4326", "OGC:CRS84")
+    return F.when(known, F.lit("EPSG:4326")).otherwise(F.raise_error(F.concat(F.lit("coordinates in "), crs, F.lit(" aren't supported"))).cast("string"))
+
+
 def close_ring(ring: Column) -> Column:
     """The ring with its first vertex repeated at the end, if it isn't yet."""
     return F.when((F.size(ring) > 0) & (F.element_at(ring, 1) != F.element_at(ring, -1)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)

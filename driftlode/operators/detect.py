@@ -25,19 +25,32 @@ def gate_features(blobs: DataFrame) -> DataFrame:
     return blobs.select("blob_id", "area_km2", F.coalesce("elongation_ratio", F.lit(10.0)).alias("elongation_ratio"), "mean_backscatter_db", "texture_std_db", "texture_local_variance", "vh_vv_ratio_db", F.coalesce("wind", F.lit(-1.0)).alias("wind"))
 
 
-def nearest_wind(points: DataFrame, records: DataFrame, scene_time: Column, cutoff: float = 1.0) -> DataFrame:
+def nearest_wind(points: DataFrame, records: DataFrame, scene_time: Column, cutoff: float = 1.0, parts: int = 24) -> DataFrame:
     """For each point (id, lat, lon) the wind of the nearest record within ``cutoff`` degrees.
 
     Records of the scene's own time come before all others; of equals the first (by seq) wins; null if
-    it has no value. Cells of a degree and their neighbours make it an equi-join.
+    it has no value. First cells of a ``parts``-th of the cut-off are compared: one that holds points needs the records of
+    those cells only that may be nearer than the farthest place of the best cell. Then points meet these
+    records in an equi-join on the cell.
     """
-    cell = lambda c: F.floor(F.col(c) / cutoff).cast("int")
-    around = records.select("seq", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "wind", F.col("ts").alias("r_ts"), F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)).alias("ci"), cell("lon").alias("cj0"))
-    around = around.select("*", F.explode(F.sequence(F.col("cj0") - 1, F.col("cj0") + 1)).alias("cj")).drop("cj0")
-    near = points.withColumns({"ci": cell("lat"), "cj": cell("lon")}).join(around, ["ci", "cj"])
+    size = cutoff / parts
+    cell = lambda c: F.floor(F.col(c) / size).cast("int")
+    ours = F.when(F.col("r_ts").eqNullSafe(scene_time), 1000.0).otherwise(0.0)
+    known = records.select("seq", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "wind", F.col("ts").alias("r_ts"), cell("lat").alias("ri"), cell("lon").alias("rj")).withColumn("ours", ours)
+    at = points.withColumns({"pi": cell("lat"), "pj": cell("lon")})
+    # how near and how far a place of one cell may be from one of another
+    reach = F.sequence(F.lit(-parts - 1), F.lit(parts + 1))
+    near = at.select("pi", "pj").distinct().withColumn("di", F.explode(reach)).withColumn("dj", F.explode(reach)).withColumns({"ri": F.col("pi") + F.col("di"), "rj": F.col("pj") + F.col("dj")})
+    gap = lambda k: F.greatest(F.abs(F.col(k)) - 1, F.lit(0)) * size
+    far = lambda k: (F.abs(F.col(k)) + 1) * size
+    cells = near.join(known.select("ri", "rj", "ours").distinct(), ["ri", "rj"])
+    cells = cells.withColumns({"least": F.hypot(gap("di"), gap("dj")), "most": F.hypot(far("di"), far("dj"))}).where(F.col("least") <= cutoff)
+    bound = cells.where(F.col("most") <= cutoff).groupBy("pi", "pj").agg(F.min(F.col("most") - F.col("ours")).alias("bound"))
+    kept = cells.join(bound, ["pi", "pj"], "left").where(F.col("bound").isNull() | (F.col("least") - F.col("ours") <= F.col("bound") + 1e-9))
+    there = kept.select("pi", "pj", "ri", "rj", "ours").join(known, ["ri", "rj", "ours"])
     d = F.sqrt(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2))
-    near = near.withColumn("d", d).where(F.col("d") <= cutoff).withColumn("rank", F.col("d") - F.when(F.col("r_ts").eqNullSafe(scene_time), 1000.0).otherwise(0.0))
-    best = near.groupBy("id").agg(F.min(F.struct("rank", "seq", "wind")).alias("b")).select("id", F.col("b.wind").alias("wind"), F.col("b.seq").alias("record"))
+    both = at.join(there, ["pi", "pj"]).withColumn("d", d).where(F.col("d") <= cutoff)
+    best = both.groupBy("id").agg(F.min(F.struct((F.col("d") - F.col("ours")).alias("rank"), "seq", "wind")).alias("b")).select("id", F.col("b.wind").alias("wind"), F.col("b.seq").alias("record"))
     return points.select("id").join(best, "id", "left")
 
 

@@ -134,8 +134,21 @@ def inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return hit
 
 
+def opened(ring: np.ndarray) -> np.ndarray:
+    """The ring without a last vertex that repeats the first."""
+    return ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+
+
+def centroid(ring: np.ndarray) -> np.ndarray:
+    """Planar centroid (lon, lat) of a ring; the mean of the vertices if it has no area."""
+    p = ring - ring[0]
+    q = np.roll(p, -1, axis=0)
+    cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
+    return ring[0] + ((p + q) * cross[:, None]).sum(axis=0) / (3 * cross.sum()) if abs(cross.sum()) > 1e-18 else ring.mean(axis=0)
+
+
 def seed_polygon(ring: np.ndarray, n: int, rng: np.random.Generator):
-    """Uniform points in a lon/lat ring by rejection; what 200 rounds don't find is jittered about the centre."""
+    """Uniform points in a lon/lat ring by rejection; what 200 rounds don't find is jittered about the centroid."""
     got = np.empty((0, 2))
     low, high = ring.min(axis=0), ring.max(axis=0)
     for _ in range(200):
@@ -144,7 +157,7 @@ def seed_polygon(ring: np.ndarray, n: int, rng: np.random.Generator):
         tried = rng.uniform(low, high, (max(4 * (n - len(got)), 64), 2))
         got = np.vstack([got, tried[inside(tried[:, 0], tried[:, 1], ring)]])[:n]
     if len(got) < n:
-        got = np.vstack([got, ring.mean(axis=0) + rng.normal(0, 1e-4, (n - len(got), 2))])
+        got = np.vstack([got, centroid(ring) + rng.normal(0, 1e-4, (n - len(got), 2))])
     return got[:, 1], got[:, 0]
 
 
@@ -164,16 +177,21 @@ def hull_area_km2(lat: np.ndarray, lon: np.ndarray) -> float:
 MEMBER_SCHEMA = "detection long, seq long, hour double, alpha double, lat double, lon double, offset_km double, sim_area_km2 double, sim_elongation double, weight double"
 
 
-def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float | None, current, wind, cfg: Config) -> pd.DataFrame:
-    """Members of the backward ensemble of one detection.
+def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float | None, current, wind, cfg: Config, centre: tuple[float, float] | None = None) -> pd.DataFrame:
+    """Members of the backward ensemble of one detection. Its ring may be closed or not; an area that isn't positive is an error.
+
+    ``centre``: the detection's own (lon, lat), from which offsets are measured; the ring's centroid unless given.
 
     One backward pass for each windage gives the clouds of all hours. A disk released at each cloud's
     centre and run forward again tells how well its place, size and shape agree with what was seen.
     Random numbers depend on the seed, the detection and the member, not on the order of the work.
     """
-    rng = np.random.default_rng([cfg.seed, zlib.crc32(str(detection).encode())])
+    rng, ring = np.random.default_rng([cfg.seed, zlib.crc32(str(detection).encode())]), opened(ring)
+    seen_area = polygon_area_km2(ring[:, 0], ring[:, 1]) if area_km2 is None else area_km2
+    if not seen_area > 0:
+        raise ValueError(f"detection {detection} has no area")
+    at_lon, at_lat = centroid(ring) if centre is None else centre
     lat0, lon0 = seed_polygon(ring, cfg.particles_back, rng)
-    seen_area = area_km2 if area_km2 else polygon_area_km2(ring[:, 0], ring[:, 1])
     seen_elong = elongation(np.append(ring[:, 1], ring[0, 1]), np.append(ring[:, 0], ring[0, 0]))
     hours, rows = hour_grid(cfg.min_hours, cfg.max_hours, cfg.hour_step), []
     for a, alpha in enumerate(windage_grid(cfg.windage, cfg.windage_jitter, cfg.windage_count)):
@@ -184,7 +202,7 @@ def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float |
         moved = together(disks, hours, t, cfg.dt, alpha, current, wind, cfg.integrator)
         for h, (lat, lon), (p, q) in zip(hours, centres, moved, strict=True):
             area, elong = hull_area_km2(p, q), elongation(p, q)
-            off = float(geodesic(p.mean(), q.mean(), ring[:, 1].mean(), ring[:, 0].mean())[0]) / 1000
+            off = float(geodesic(p.mean(), q.mean(), at_lat, at_lon)[0]) / 1000
             d2 = (off / cfg.sigma_km) ** 2 + (math.log(max(area, 1e-6) / max(seen_area, 1e-6)) / cfg.sigma_area) ** 2 + (math.log(max(elong, 1e-3) / max(seen_elong, 1e-3)) / cfg.sigma_elong) ** 2
             rows.append((detection, len(rows), float(h), float(alpha), lat, lon, off, area, elong, math.exp(-0.5 * d2)))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
@@ -196,7 +214,7 @@ def spread(table: DataFrame, key: str) -> DataFrame:
 
 
 def backtrack(detections: DataFrame, current, wind=None, cfg: Config | None = None) -> DataFrame:
-    """Members for all detections (detection, ring array<struct<x,y>>, t, area_km2), one group for each."""
+    """Members for all detections (detection, ring array<struct<x,y>>, t, area_km2 and, if there, lat and lon), one group for each."""
     cfg, wind = cfg or Config(), wind or Constant()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +222,8 @@ def backtrack(detections: DataFrame, current, wind=None, cfg: Config | None = No
         ring = np.array([(p["x"], p["y"]) for p in r.ring], float)
         area = None if pd.isna(r.area_km2) else float(r.area_km2)
         use = replace(cfg, seed_radius_km=release_radius_km(area)) if area else cfg
-        return backtrack_one(int(r.detection), ring, float(r.t), area, current, wind, use)
+        centre = (float(r.lon), float(r.lat)) if "lat" in pdf and not (pd.isna(r.lat) or pd.isna(r.lon)) else None
+        return backtrack_one(int(r.detection), ring, float(r.t), area, current, wind, use, centre)
 
     return spread(detections, "detection").groupBy("detection").applyInPandas(run, MEMBER_SCHEMA)
 

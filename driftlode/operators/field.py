@@ -123,16 +123,41 @@ class Gridded:
         y, z = (lat - self.lat0) / self.step, (lon - self.lon0) / self.step
         if self.hold:
             y, z = np.clip(y, 0, ni - 1), np.clip(z, 0, nj - 1)
-        i, j = np.clip(np.floor(y), 0, ni - 2).astype(int), np.clip(np.floor(z), 0, nj - 2).astype(int)
+        i, j = np.clip(np.floor(y), 0, max(ni - 2, 0)).astype(int), np.clip(np.floor(z), 0, max(nj - 2, 0)).astype(int)
         wy, wz = y - i, z - j
 
         def at(f: np.ndarray) -> np.ndarray:
             g = f[k] if nt == 1 else (1 - w) * f[k] + w * f[k + 1]
-            return (1 - wy) * ((1 - wz) * g[i, j] + wz * g[i, j + 1]) + wy * ((1 - wz) * g[i + 1, j] + wz * g[i + 1, j + 1])
+            down, right = np.minimum(i + 1, ni - 1), np.minimum(j + 1, nj - 1)
+            return (1 - wy) * ((1 - wz) * g[i, j] + wz * g[i, right]) + wy * ((1 - wz) * g[down, j] + wz * g[down, right])
 
         return at(self.u), at(self.v)
 
 
+MAX_VALUES = 5_000_000
+
+
+def pack(table: DataFrame, hold: bool = True) -> Gridded:
+    """A table (t, lat, lon, u, v) of a regular grid as a field; axes may come in any order, null and NaN count as still.
+
+    A field goes to every task, so one of over MAX_VALUES values is an error, as are places that lack and axes that aren't regular.
+    """
+    slim = table.select(*[F.col(c).cast("double") for c in ("t", "lat", "lon")], clean(F.col("u").cast("double")).alias("u"), clean(F.col("v").cast("double")).alias("v"))
+    got = slim.limit(MAX_VALUES + 1).toPandas()
+    if len(got) > MAX_VALUES:
+        raise ValueError(f"a field of over {MAX_VALUES} values")
+    axes = [np.unique(got[c]) for c in ("t", "lat", "lon")]
+    if not len(got) or len(got) != np.prod([len(a) for a in axes]):
+        raise ValueError("the table is no full grid")
+    steps = [np.diff(a) for a in axes]
+    if any(len(s) and not np.allclose(s, s[0], rtol=1e-6) for s in steps) or len(steps[1]) and len(steps[2]) and not np.isclose(steps[1][0], steps[2][0], rtol=1e-6):
+        raise ValueError("the grid isn't regular")
+    got = got.sort_values(["t", "lat", "lon"])
+    u, v = (got[c].to_numpy().reshape([len(a) for a in axes]) for c in ("u", "v"))
+    step = [float(s[0]) if len(s) else 1.0 for s in steps]
+    return Gridded(float(axes[0][0]), step[0], float(axes[1][0]), float(axes[2][0]), step[1] if len(steps[1]) else step[2], u, v, hold)
+
+
 def grid_points(min_lat: float, min_lon: float, max_lat: float, max_lon: float, side: int) -> list[tuple[float, float]]:
     """side x side points over a box, for one batched request."""
     return [(float(a), float(b)) for a in np.linspace(min_lat, max_lat, side) for b in np.linspace(min_lon, max_lon, side)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlode.functions.geo import haversine_km
+from driftlode.functions.times import iso_text
 
 SIGMA_KM, SIGMA_AREA, SIGMA_ELONG, MASS, BIN = 8.0, 0.6, 0.5, 0.80, 0.05
 
@@ -31,18 +32,40 @@ def means(members: DataFrame) -> DataFrame:
     return members.groupBy("detection").agg(mean("lat").alias("lat"), mean("lon").alias("lon"), mean("hour").alias("hour"), F.coalesce(1 / F.nullif(F.sum(F.col("p") * F.col("p")), F.lit(0.0)), F.lit(0.0)).alias("ess"), F.count("*").alias("n"))
 
 
-def weighted_quantile(members: DataFrame, q: float, out: str) -> DataFrame:
-    """The first hour (in order of hour, then alpha) at which the cumulative share is q or more."""
+def weighted_quantiles(members: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """For each name the first hour (in order of hour, then alpha) at which the cumulative share is that of ``wanted`` or more; one window for all."""
     order = Window.partitionBy("detection").orderBy("hour", "alpha", "seq").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("detection")
     cum = members.withColumn("_c", F.sum("p").over(order) / F.sum("p").over(whole))
-    return cum.groupBy("detection").agg(F.coalesce(F.min(F.when(F.col("_c") >= q, F.col("hour"))), F.max("hour")).alias(out))
+    return cum.groupBy("detection").agg(*[F.coalesce(F.min(F.when(F.col("_c") >= q, F.col("hour"))), F.max("hour")).alias(name) for name, q in wanted.items()])
+
+
+def weighted_quantile(members: DataFrame, q: float, out: str) -> DataFrame:
+    return weighted_quantiles(members, {out: q})
 
 
 def release_window(members: DataFrame, mass: float = MASS) -> DataFrame:
     """Credible hours before the detection; the larger hour is the earlier time."""
-    low, high = (1 - mass) / 2, 1 - (1 - mass) / 2
-    return weighted_quantile(members, low, "min_hour").join(weighted_quantile(members, high, "max_hour"), "detection")
+    return weighted_quantiles(members, {"min_hour": (1 - mass) / 2, "max_hour": 1 - (1 - mass) / 2})
+
+
+def result(members: DataFrame, detections: DataFrame, size: float | None = BIN, mass: float = MASS) -> DataFrame:
+    """One document for each detection (detection, t): origin grid, likeliest origin, release window, radius, counts.
+
+    ``members`` have p. Times are ISO texts; cells come in order of their share; a ``size`` of none gives the members themselves.
+    """
+    iso = lambda hour: iso_text(F.col("t") - hour * 3600)
+    grid = origin_grid(members, size) if size else raw_grid(members)
+    cell = F.struct((-F.col("p")).alias("order"), "lat", "lon", iso(F.col("hour")).alias("time_estimate"), F.col("p").alias("probability"))
+    cells = grid.join(detections.select("detection", "t"), "detection").groupBy("detection").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    top = map_estimate(members).select("detection", F.struct("lat", "lon", "hour", "p").alias("top"))
+    both = cells.join(means(members).select("detection", "ess", "n"), "detection").join(uncertainty_radius(members), "detection").join(release_window(members, mass), "detection").join(top, "detection").join(detections.select("detection", "t"), "detection")
+    return both.select(
+        "detection", F.transform("cells", lambda c: c.dropFields("order")).alias("origin_probability_grid"),
+        F.struct(F.round("top.lat", 5).alias("lat"), F.round("top.lon", 5).alias("lon"), iso(F.col("top.hour")).alias("time_estimate"), F.round("top.p", 6).alias("probability")).alias("most_likely_origin"),
+        F.array(iso(F.col("max_hour")), iso(F.col("min_hour"))).alias("release_time_window"), F.round("radius_km", 3).alias("uncertainty_radius_km"),
+        F.col("n").alias("n_ensemble_members"), F.round("ess", 2).alias("effective_sample_size"),
+    )
 
 
 def uncertainty_radius(members: DataFrame) -> DataFrame:

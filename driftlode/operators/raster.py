@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlode.functions.geo import elongation
+from driftlode.functions.geo import in_ring, polygon_area_km2, simplify
 from driftlode.operators.linking import kept, smallest_reachable
 
 TILE = 256
@@ -30,46 +30,69 @@ def to_byte(db: Column, low: float = -30.0, high: float = 0.0) -> Column:
     return F.rint(255 * (F.least(F.greatest(db, F.lit(low)), F.lit(high)) - low) / (high - low)).cast("smallint")
 
 
-def _reflected(pos: Column, n: Column) -> Column:
-    """Index of the pixel that stands at ``pos`` when edges are reflected (d c b a | a b c d)."""
-    return F.when(pos < 0, -pos - 1).when(pos >= n, 2 * n - 1 - pos).otherwise(pos)
+STRIP = 256
 
 
-def box_sums(pixels: DataFrame, value: str, size: int, out: str, height: int, width: int) -> DataFrame:
-    """``pixels`` with the mean of ``value`` in a size x size window; one pass along rows, one along columns.
+def box_means(pixels: DataFrame, values: dict[str, Column], size: int, height: int | None = None, width: int | None = None) -> DataFrame:
+    """``pixels`` with, under each name of ``values``, the mean of that expression in a size x size window; edges are reflected.
 
-    Each pass sends a pixel to the windows it lies in, reflected ones included, and sums them.
+    One pass along columns and one along rows, each a shuffle and a window frame. Lines are cut into strips of STRIP
+    pixels, to which the pixels within half a window are sent too; so no task needs a whole line. Sizes come
+    from the columns scene_height and scene_width of a pixel's scene, or are the same for all scenes.
     """
+    if size % 2 == 0:
+        raise ValueError("the window must be odd")
     half = size // 2
+    sides = {"row": F.lit(height) if height is not None else F.col("scene_height"), "col": F.lit(width) if width is not None else F.col("scene_width")}
+
+    def along(df: DataFrame, axis: str, other: str) -> DataFrame:
+        at, n = F.col(axis).cast("int"), sides[axis].cast("int")
+        # the places at which a pixel stands: its own, and those of its images beyond the edges
+        images = F.array(at, F.when(at < half, -at - 1), F.when(at >= n - half, 2 * n - 1 - at))
+        places = df.withColumn("_p", F.explode(F.filter(images, lambda x: x.isNotNull())))
+        strips = F.array_distinct(F.array(F.floor((F.col("_p") - half) / STRIP), F.floor((F.col("_p") + half) / STRIP)))
+        near = Window.partitionBy("scene_id", other, "_s").orderBy("_p").rangeBetween(-half, half)
+        sums = places.withColumn("_s", F.explode(strips)).withColumns({c: F.sum(c).over(near) / size for c in values})
+        return sums.where((F.col("_p") == at) & (F.floor(F.col("_p") / STRIP) == F.col("_s"))).drop("_p", "_s")
+
+    return along(along(pixels.withColumns(values), "col", "row"), "row", "col")
+
 
-    def spread(df: DataFrame, axis: str, n: int, name: str) -> DataFrame:
-        # a pixel counts in the window of target c for every offset whose reflected place it is
-        outside = F.concat(F.col("_at"), F.filter(F.transform(F.sequence(F.lit(1), F.lit(half)), lambda k: F.when(F.col(axis) == k - 1, -k)), lambda x: x.isNotNull()), F.filter(F.transform(F.sequence(F.lit(1), F.lit(half)), lambda k: F.when(F.col(axis) == n - k, n - 1 + k)), lambda x: x.isNotNull()))
-        at = df.withColumn("_at", F.array(F.col(axis))).withColumn("_at", outside).withColumn("_p", F.explode("_at"))
-        to = at.withColumn("_t", F.explode(F.sequence(F.col("_p") - half, F.col("_p") + half))).where((F.col("_t") >= 0) & (F.col("_t") < n))
-        other = "col" if axis == "row" else "row"
-        return to.groupBy("scene_id", F.col("_t").alias(axis), other).agg((F.sum(name) / size).alias(name))
+def box_sums(pixels: DataFrame, value: str, size: int, out: str, height: int | None = None, width: int | None = None) -> DataFrame:
+    """box_means() of one column."""
+    return box_means(pixels, {out: F.col(value)}, size, height, width)
 
-    means = spread(spread(pixels.select("scene_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).alias(out)), "col", width, out), "row", height, out)
-    return pixels.join(means, ["scene_id", "row", "col"])
 
+def _moments(value: str) -> dict[str, Column]:
+    return {"_m": F.col(value), "_m2": F.col(value) * F.col(value)}
 
-def lee_filter(pixels: DataFrame, value: str, out: str, height: int, width: int, size: int = 7, noise: float = 0.25) -> DataFrame:
+
+def lee_filter(pixels: DataFrame, value: str, out: str, height: int | None = None, width: int | None = None, size: int = 7, noise: float = 0.25) -> DataFrame:
     """Speckle filter in linear power: mean + w * (x - mean), w in [0, 1] from the local variance."""
-    if size % 2 == 0:
-        raise ValueError("the window must be odd")
-    both = box_sums(pixels.withColumn("_sq", F.col(value) * F.col(value)), value, size, "_m", height, width)
-    both = box_sums(both, "_sq", size, "_m2", height, width)
+    both = box_means(pixels, _moments(value), size, height, width)
     var = F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0))
     floor = noise * F.col("_m") * F.col("_m")
     w = F.when(var > 0, F.least(F.greatest((var - floor) / F.when(var > 0, var).otherwise(1.0), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return both.withColumn(out, F.col("_m") + w * (F.col(value) - F.col("_m"))).drop("_sq", "_m", "_m2")
+    return both.withColumn(out, F.col("_m") + w * (F.col(value) - F.col("_m"))).drop("_m", "_m2")
+
 
+def local_variance(pixels: DataFrame, value: str, out: str, height: int | None = None, width: int | None = None, size: int = 5) -> DataFrame:
+    both = box_means(pixels, _moments(value), size, height, width)
+    return both.withColumn(out, F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0))).drop("_m", "_m2")
 
-def local_variance(pixels: DataFrame, value: str, out: str, height: int, width: int, size: int = 5) -> DataFrame:
-    both = box_sums(pixels.withColumn("_sq", F.col(value) * F.col(value)), value, size, "_m", height, width)
-    both = box_sums(both, "_sq", size, "_m2", height, width)
-    return both.withColumn(out, F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0))).drop("_sq", "_m", "_m2")
+
+def water_mask(pixels: DataFrame, polygons: DataFrame, out: str = "water", cell: int = 256) -> DataFrame:
+    """``pixels`` with ``out``: whether no polygon (scene_id, ring array<struct<x,y>> in columns and rows) of land holds it.
+
+    Pixels and polygons meet by cells of ``cell`` x ``cell`` pixels that a polygon's box touches; without polygons all is water.
+    """
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
+    land = polygons.where(F.size("ring") > 2).select("scene_id", "ring", span(x).alias("_x"), y.alias("_ys")).select("scene_id", "ring", "_x", span(F.col("_ys")).alias("_y"))
+    at = pixels.withColumns({"_x": F.floor(F.col("col") / cell), "_y": F.floor(F.col("row") / cell)})
+    met = at.join(land, ["scene_id", "_x", "_y"]).where(in_ring(F.col("col"), F.col("row"), F.col("ring"))).select("scene_id", "row", "col").distinct()
+    hit = met.withColumn("_land", F.lit(True))
+    return pixels.join(hit, ["scene_id", "row", "col"], "left").withColumn(out, F.col("_land").isNull()).drop("_land")
 
 
 def land_masked(prob: Column, water: Column) -> Column:
@@ -182,18 +205,72 @@ def components(pixels: DataFrame, mask: str, min_pixels: int = 30, tile: int = T
     return parts.withColumn("node", part).join(labels, "node").select("scene_id", "row", "col", "label")
 
 
-def blob_features(pixels: DataFrame) -> DataFrame:
-    """By scene and label: size, box with a pixel around it, centroid, backscatter, texture, ratio, confidence.
+def blob_features(pixels: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
+    """By scene and label: size, box, centroid, backscatter, texture, ratio, confidence.
 
-    pixels: scene_id, label, row, col, vv_db, vh_db, local_var, prob.
+    pixels: scene_id, label, row, col, vv_db, vh_db, local_var, prob. With the scene's size the box of a pixel more on
+    each side, within the scene, comes too: box_top, box_bottom, box_left, box_right, all inside it.
     """
     raw = pixels.groupBy("scene_id", "label").agg(
         F.count("*").alias("pixel_count"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("row", "col") for f in (F.min, F.max)],
         F.avg("row").alias("mean_row"), F.avg("col").alias("mean_col"), F.avg("vv_db").alias("mean_backscatter_db"), F.stddev_pop("vv_db").alias("texture_std_db"),
         F.avg("local_var").alias("texture_local_variance"), F.avg(F.col("vh_db") - F.col("vv_db")).alias("vh_vv_ratio_db"), F.avg("prob").alias("confidence"),
-        F.var_pop("row").alias("_vr"), F.var_pop("col").alias("_vc"), F.covar_pop("row", "col").alias("_cov"),
+        ellipse_elongation(F.var_pop("row"), F.var_pop("col"), F.covar_pop("row", "col")).alias("elongation_ratio"),
     )
-    return raw
+    if height is None or width is None:
+        return raw
+    low, high = (lambda c: F.greatest(F.col(c) - 1, F.lit(0))), (lambda c, n: F.least(F.col(c) + 1, F.lit(n - 1)))
+    return raw.withColumns({"box_top": low("min_row"), "box_bottom": high("max_row", height), "box_left": low("min_col"), "box_right": high("max_col", width)})
+
+
+def boundary_edges(labelled: DataFrame) -> DataFrame:
+    """(scene_id, label, x, y, to_x, to_y): the sides of pixels that have another label, or none, on the other side.
+
+    A side points so that the pixel is at its right hand. That between two pixels of a label comes twice,
+    and so goes; what is left grows with a blob's outline, not with its area.
+    """
+    x, y = F.col("col").cast("int"), F.col("row").cast("int")
+    side = lambda a, b, c, d: F.struct((x + a).alias("x"), (y + b).alias("y"), (x + c).alias("to_x"), (y + d).alias("to_y"))
+    sides = labelled.select("scene_id", "label", F.explode(F.array(side(0, 0, 1, 0), side(1, 0, 1, 1), side(1, 1, 0, 1), side(0, 1, 0, 0))).alias("e"))
+    ends = [F.struct(F.col(f"e.{a}x").alias("x"), F.col(f"e.{a}y").alias("y")) for a in ("", "to_")]
+    once = sides.groupBy("scene_id", "label", F.least(*ends).alias("low"), F.greatest(*ends).alias("high")).agg(F.count("*").alias("n"), F.first("e").alias("e")).where("n = 1")
+    return once.select("scene_id", "label", "e.*")
+
+
+OUTLINE_SCHEMA = "scene_id long, label long, ring array<struct<x:double,y:double>>, vertices int, rings int, lat double, lon double, area_km2 double"
+
+
+def detections_from_blobs(labelled: DataFrame, top: float, left: float, lat_step: float, lon_step: float, most: int = 40, fraction: float = 0.012) -> DataFrame:
+    """Blobs as detections: outline ring in lon (x) and lat (y), centroid, area in km2 without the holes.
+
+    ``labelled``: scene_id, label, row, col. A pixel's corner (col, row) lies at latitude top - row * lat_step and longitude
+    left + col * lon_step (EPSG:4326). The longest outline is simplified to ``most`` vertices at most; centroid and
+    area are those of all pixels as they are. Each blob's outline is one group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = [np.array(r, float) for r in outline_of(pdf[["x", "y", "to_x", "to_y"]].to_numpy())]
+        lonlat = [np.column_stack([left + r[:, 0] * lon_step, top - r[:, 1] * lat_step]) for r in rings]
+        parts = [_planar(r) for r in lonlat]  # holes run the other way, and so count against
+        whole = sum(p[0] for p in parts)
+        lon, lat = (sum(p[0] * p[k] for p in parts) / whole for k in (1, 2))
+        signs = [np.sign(p[0]) * np.sign(whole) for p in parts]
+        area = sum(k * polygon_area_km2(r[:, 0], r[:, 1]) for k, r in zip(signs, lonlat, strict=True))
+        ring = simplify(lonlat[int(np.argmax([abs(p[0]) for p in parts]))], most, fraction)
+        points = [{"x": float(a), "y": float(b)} for a, b in ring]
+        return pd.DataFrame([(pdf.scene_id.iloc[0], pdf.label.iloc[0], points, len(points), len(rings), lat, lon, area)], columns=[c.split()[0] for c in OUTLINE_SCHEMA.replace("struct<x:double,y:double>", "").split(", ")])
+
+    edges = boundary_edges(labelled).select(F.col("scene_id").cast("long").alias("scene_id"), F.col("label").cast("long").alias("label"), "x", "y", "to_x", "to_y")
+    return edges.groupBy("scene_id", "label").applyInPandas(run, OUTLINE_SCHEMA)
+
+
+def _planar(ring: np.ndarray) -> tuple[float, float, float]:
+    """Signed area and centroid (x, y) of a ring, computed about its first vertex."""
+    x, y = (ring - ring[0]).T
+    nx, ny = np.roll(x, -1), np.roll(y, -1)
+    cross = x * ny - nx * y
+    area = cross.sum() / 2
+    return float(area), float(ring[0, 0] + ((x + nx) * cross).sum() / (6 * area)), float(ring[0, 1] + ((y + ny) * cross).sum() / (6 * area))
 
 
 def ellipse_elongation(var_row: Column, var_col: Column, cov: Column) -> Column:
@@ -203,6 +280,12 @@ def ellipse_elongation(var_row: Column, var_col: Column, cov: Column) -> Column:
     return F.when(minor < 1e-6, F.when(major > 1e-6, F.lit(None)).otherwise(1.0)).otherwise(major / F.when(minor < 1e-6, 1.0).otherwise(minor))
 
 
+def primary_uv(mask_pixels: DataFrame, mask: str, height: int, width: int) -> DataFrame:
+    """By scene, the centroid of the largest component of the opened mask as shares of the width (u) and height (v)."""
+    labelled = components(open_mask(mask_pixels, mask), mask, 1)
+    return primary_component(labelled, 1).select("scene_id", (F.col("mean_col") / (width - 1)).alias("u"), (F.col("mean_row") / (height - 1)).alias("v"))
+
+
 def primary_component(labelled: DataFrame, min_pixels: int = 60) -> DataFrame:
     """The largest component of each scene if it has ``min_pixels``, the first on a tie."""
     sizes = labelled.groupBy("scene_id", "label").agg(F.count("*").alias("n"), F.avg("row").alias("mean_row"), F.avg("col").alias("mean_col"))
@@ -210,32 +293,36 @@ def primary_component(labelled: DataFrame, min_pixels: int = 60) -> DataFrame:
 
 
 def outline(rows: np.ndarray, cols: np.ndarray) -> list[list[tuple[int, int]]]:
-    """The boundary rings of a set of pixels as corner points (col, row); holes are rings of their own.
-
-    Each ring keeps the pixels at its right hand; where two pixels touch in a corner the rings part.
-    """
-    on = set(zip(rows.tolist(), cols.tolist(), strict=True))
-    ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    """The boundary rings of a set of pixels as corner points (col, row); holes are rings of their own."""
+    on, edges = set(zip(rows.tolist(), cols.tolist(), strict=True)), []
     for r, c in sorted(on):
         for inside, a, b in (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)), ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r))):
             if inside not in on:
-                ahead.setdefault(a, []).append(b)
-    rings = []
-    while ahead:
-        start = min(ahead)
-        ring, at, came = [start], start, (0, 0)
-        while True:
-            ways = ahead[at]
-            # at a corner where four edges meet, turn right to stay with the same pixel
-            k = max(range(len(ways)), key=lambda i: came[0] * (ways[i][1] - at[1]) - came[1] * (ways[i][0] - at[0]))
-            to = ways.pop(k)
-            if not ways:
-                del ahead[at]
-            came, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == start:
-                break
-            ring.append(at)
-        rings.append(ring)
+                edges.append((*a, *b))
+    return outline_of(np.array(edges, int).reshape(-1, 4))
+
+
+def outline_of(edges: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The rings that directed edges (x, y, to x, to y) make, each pixel at their right hand; where two pixels touch in a corner the rings part."""
+    ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b, c, d in edges.tolist():
+        ahead.setdefault((a, b), []).append((c, d))
+    rings, starts = [], iter(sorted(ahead))
+    for start in starts:
+        while start in ahead:
+            ring, at, came = [start], start, (0, 0)
+            while True:
+                ways = ahead[at]
+                # at a corner where four edges meet, turn right to stay with the same pixel
+                k = max(range(len(ways)), key=lambda i: came[0] * (ways[i][1] - at[1]) - came[1] * (ways[i][0] - at[0]))
+                to = ways.pop(k)
+                if not ways:
+                    del ahead[at]
+                came, at = (to[0] - at[0], to[1] - at[1]), to
+                if at == start:
+                    break
+                ring.append(at)
+            rings.append(ring)
     return rings
 
 
@@ -278,4 +365,6 @@ def segment(tiles_df: DataFrame, model, schema: str) -> DataFrame:
     return tiles_df.mapInPandas(run, schema)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n != "elongation"]
+__all__ = [
+    "binarize", "blob_features", "boundary_edges", "box_means", "box_sums", "calibrate", "class_balance", "components", "detections_from_blobs", "ellipse_elongation", "extreme_3x3", "label_mask", "land_masked", "lee_filter", "local_variance", "mask_scores", "open_close", "open_mask", "outline", "outline_of", "primary_component", "primary_uv", "segment", "stitch", "tile_starts", "tiles", "to_byte", "to_db", "variants", "water_mask",
+]

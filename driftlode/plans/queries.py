@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlode.functions import geo
+from driftlode.functions import geo, style
+from driftlode.functions.times import iso_epoch
 from driftlode.operators import correlate, detect, drift, field, posterior, raster
 from driftlode.plans.views import raster_size, sql, view
 from driftlode.sources import catalog
@@ -228,18 +229,17 @@ def local_variance(s, d):
     return raster.local_variance(px, "db", "x", *raster_size(s, d)).select("row", "col", r("x").alias("var_5"))
 
 
-@query("select distinct n_nationkey, unnest(list_concat(range(0, cast(greatest(300 + n_nationkey * 97 - 256, 0) as bigint) + 1, 224), [cast(greatest(300 + n_nationkey * 97 - 256, 0) as bigint)])) as start from nation")
+@query(f"with {sql('scene')} select distinct scene_id, unnest(list_concat(range(0, cast(greatest(300 + k * 97 - 256, 0) as bigint) + 1, 224), [cast(greatest(300 + k * 97 - 256, 0) as bigint)])) as start from scene")
 def tile_starts(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet")
-    return n.select("n_nationkey", F.explode(raster.tile_starts((300 + F.col("n_nationkey") * 97).cast("int"))).alias("start")).withColumn("start", F.col("start").cast("long"))
+    return view(s, d, "scene").select("scene_id", F.explode(raster.tile_starts((300 + F.col("k") * 97).cast("int"))).alias("start")).withColumn("start", F.col("start").cast("long"))
 
 
-TILED = "sc as (select n_nationkey as scene_id, 60 + n_nationkey * 7 as height, 50 + n_nationkey * 11 as width from nation), ro as (select distinct scene_id, height, width, unnest(list_concat(range(0, greatest(height - 64, 0) + 1, 56), [greatest(height - 64, 0)])) as row_off from sc), ti as (select distinct scene_id, height, width, row_off, unnest(list_concat(range(0, greatest(width - 64, 0) + 1, 56), [greatest(width - 64, 0)])) as col_off from ro)"
+TILED = sql("scene") + ", sc as (select scene_id, 60 + k * 7 as height, 50 + k * 11 as width from scene), ro as (select distinct scene_id, height, width, unnest(list_concat(range(0, greatest(height - 64, 0) + 1, 56), [greatest(height - 64, 0)])) as row_off from sc), ti as (select distinct scene_id, height, width, row_off, unnest(list_concat(range(0, greatest(width - 64, 0) + 1, 56), [greatest(width - 64, 0)])) as col_off from ro)"
 
 
 @query(f"with {TILED} select scene_id, row_off, col_off, least(64, height - row_off) as valid_h, least(64, width - col_off) as valid_w from ti")
 def tile_scene(s, d):
-    sc = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("scene_id"), (60 + F.col("n_nationkey") * 7).alias("height"), (50 + F.col("n_nationkey") * 11).alias("width"))
+    sc = view(s, d, "scene").select("scene_id", (60 + F.col("k") * 7).alias("height"), (50 + F.col("k") * 11).alias("width"))
     return raster.tiles(sc, 64, 56).select("scene_id", *[F.col(c).cast("long").alias(c) for c in ("row_off", "col_off", "valid_h", "valid_w")])
 
 
@@ -301,12 +301,40 @@ def components(s, d):
 FEATURES = "count(*) as pixel_count, cast(min(row) as bigint) as min_row, cast(max(row) as bigint) as max_row, cast(min(col) as bigint) as min_col, cast(max(col) as bigint) as max_col, round(avg(row), 6) as mean_row, round(avg(col), 6) as mean_col, round(avg(10 * log10(vv)), 6) as mean_backscatter_db, round(stddev_pop(10 * log10(vv)), 6) as texture_std_db, round(avg(10 * log10(vh) - 10 * log10(vv)), 6) as vh_vv_ratio_db, round(avg(abs(v)), 6) as confidence"
 
 
-@query(f"{LABELLED} select label, {FEATURES} from lab join raster using (row, col) group by 1")
+@query(
+    f"""{LABELLED}, {window_sql("10 * log10(greatest(s.vv, 1e-6))", 5, "b")}
+select label, {FEATURES}, round(avg(greatest(m2 - m * m, 0e0)), 5) as texture_local_variance
+from lab join raster using (row, col) join b using (row, col) group by 1"""
+)
 def blob_features(s, d):
-    px = view(s, d, "raster").select("scene_id", "row", "col", raster.to_db(F.col("vv")).alias("vv_db"), raster.to_db(F.col("vh")).alias("vh_db"), F.abs("v").alias("prob"), F.lit(0.0).alias("local_var"))
+    px = view(s, d, "raster").select("scene_id", "row", "col", raster.to_db(F.col("vv")).alias("vv_db"), raster.to_db(F.col("vh")).alias("vh_db"), F.abs("v").alias("prob"))
+    px = raster.local_variance(px, "vv_db", "local_var", *raster_size(s, d))
     f = raster.blob_features(labelled(s, d).join(px, ["scene_id", "row", "col"]))
     whole = [F.col(c).cast("long").alias(c) for c in ("pixel_count", "min_row", "max_row", "min_col", "max_col")]
-    return f.select("label", *whole, *[r(c).alias(c) for c in ("mean_row", "mean_col", "mean_backscatter_db", "texture_std_db", "vh_vv_ratio_db", "confidence")])
+    means = [r(c).alias(c) for c in ("mean_row", "mean_col", "mean_backscatter_db", "texture_std_db", "vh_vv_ratio_db", "confidence")]
+    return f.select("label", *whole, *means, r("texture_local_variance", 5).alias("texture_local_variance"))
+
+
+def slicks(s, d) -> DataFrame:
+    """The mosaic's blobs as detections in degrees."""
+    return raster.detections_from_blobs(labelled(s, d), 28.5, -89.3, 0.00213179, 0.00257173)
+
+
+@query(
+    f"""{LABELLED} select label, count(*) as pixel_count, round(28.5e0 - 0.00213179e0 * (avg(row) + 0.5e0), 6) as lat, round(-89.3e0 + 0.00257173e0 * (avg(col) + 0.5e0), 6) as lon
+from lab group by 1"""
+)
+def slick_centroids(s, d):
+    sizes = labelled(s, d).groupBy("label").agg(F.count("*").alias("pixel_count"))
+    return slicks(s, d).join(sizes, "label").select("label", "pixel_count", r("lat").alias("lat"), r("lon").alias("lon"))
+
+
+@query()
+def slick_origin(s, d):
+    """From the raster to the origin: the mosaic's largest blob, its outline, the backward ensemble and its result."""
+    top = raster.primary_component(labelled(s, d), 6).select("scene_id", "label")
+    found = slicks(s, d).join(top, ["scene_id", "label"]).select(F.col("label").alias("detection"), "ring", "lat", "lon", F.lit(START).alias("t"), "area_km2")
+    return posterior.result(posterior.normalised(drift.backtrack(found, GYRE)), found)
 
 
 @query(f"{LABELLED}, q as (select label, var_pop(row) as a, var_pop(col) as b, covar_pop(row, col) as c from lab group by 1), e as (select label, 4 * sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 0e0)) as big, 4 * sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0e0)) as small from q) select label, round(case when small < 1e-6 then case when big > 1e-6 then null else 1e0 end else big / small end, 5) as elongation from e")
@@ -360,16 +388,16 @@ def wind_nearest(s, d):
     return detect.nearest_wind(points, view(s, d, "wind_rec"), F.lit("scene")).select("id", "record", r("wind").alias("wind"))
 
 
-RECT = "(28e0 + (n_nationkey % 5) * 0.1e0)"
+RECT = "(28e0 + (scene_id % 5) * 0.1e0)"
 
 
-@query(f"select n_nationkey, 5 as vertices, round(-89.4e0 - 0.5e0, 6) as min_lon, round({RECT} - 0.5e0, 6) as min_lat, round(-89.1e0 + 0.5e0, 6) as max_lon, round({RECT} + 0.2e0 + 0.5e0, 6) as max_lat, round({RECT} + 0.1e0, 6) as c_lat, round(-89.25e0, 6) as c_lon from nation")
+@query(f"with {sql('scene')} select scene_id, 5 as vertices, round(-89.4e0 - 0.5e0, 6) as min_lon, round({RECT} - 0.5e0, 6) as min_lat, round(-89.1e0 + 0.5e0, 6) as max_lon, round({RECT} + 0.2e0 + 0.5e0, 6) as max_lat, round({RECT} + 0.1e0, 6) as c_lat, round(-89.25e0, 6) as c_lon from scene")
 def polygon_box_ring(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet").withColumn("b", 28.0 + (F.col("n_nationkey") % 5) * 0.1)
+    n = view(s, d, "scene").withColumn("b", 28.0 + (F.col("scene_id") % 5) * 0.1)
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), (F.col("b") + y).alias("y"))
     n = n.withColumn("ring", F.array(corner(-89.4, 0.0), corner(-89.1, 0.0), corner(-89.1, 0.2), corner(-89.4, 0.2)))
     n = n.withColumns({"box": geo.bbox(F.col("ring"), 0.5), "c": geo.ring_centroid(F.col("ring"))})
-    return n.select("n_nationkey", F.size(geo.close_ring(F.col("ring"))).alias("vertices"), *[r(f"box.{c}").alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")], r("c.y").alias("c_lat"), r("c.x").alias("c_lon"))
+    return n.select("scene_id", F.size(geo.close_ring(F.col("ring"))).alias("vertices"), *[r(f"box.{c}").alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")], r("c.y").alias("c_lat"), r("c.x").alias("c_lon"))
 
 
 @query(f"{PIXELS} select row, col, round(28.5e0 - row / 159e0 * (28.5e0 - 28.2e0), 6) as lat, round(-89.3e0 + col / 199e0 * (-89.0e0 + 89.3e0), 6) as lon from raster")
@@ -432,11 +460,10 @@ def gyre_field(s, d):
     return view(s, d, "fix").select("seq", r(u).alias("u"), r(v).alias("v"))
 
 
-@query("select n_nationkey, unnest(list_transform(range(0, 24), lambda k: 1e0 + 2e0 * k)) as hour, round(greatest(least(sqrt((1e0 + n_nationkey * 40) / pi()), 25e0), 0.3e0), 6) as release_radius_km from nation")
+@query(f"with {sql('scene')} select scene_id, unnest(list_transform(range(0, 24), lambda i: 1e0 + 2e0 * i)) as hour, round(greatest(least(sqrt((1e0 + k * 40) / pi()), 25e0), 0.3e0), 6) as release_radius_km from scene")
 def hypothesis_grid(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet")
     hours = F.transform(F.sequence(F.lit(0), F.lit(len(drift.hour_grid(1, 48, 2)) - 1)), lambda k: 1.0 + 2.0 * k)
-    return n.select("n_nationkey", F.explode(hours).alias("hour"), r(drift.release_radius_km(1.0 + F.col("n_nationkey") * 40)).alias("release_radius_km"))
+    return view(s, d, "scene").select("scene_id", F.explode(hours).alias("hour"), r(drift.release_radius_km(1.0 + F.col("k") * 40)).alias("release_radius_km"))
 
 
 @query(f"with recursive p as (select s_suppkey as id, 28e0 + (s_suppkey % 40) / 1e2 as lat, -89.4e0 + (s_suppkey % 30) / 1e2 as lon, 1704067200e0 as t, 0 as k from supplier), e as (select * from p union all select id, lat + 300e0 * {gyre_sql('lat', 'lon', '(t + k * 300e0)')[1]} / 111320e0, lon + 300e0 * {gyre_sql('lat', 'lon', '(t + k * 300e0)')[0]} / (111320e0 * cos(radians(lat))), t, k + 1 from e where k < 48) select id, round(lat, 6) as lat, round(lon, 6) as lon from e where k = 48")
@@ -445,13 +472,13 @@ def euler_track(s, d):
     return drift.euler_track(p, GYRE, 48, 300.0).select("id", r("lat").alias("lat"), r("lon").alias("lon"))
 
 
-@query(f"with {MEMBERS}, c as (select *, avg(lat) over (partition by detection) as ml, avg(lon) over (partition by detection) as mo from mp), q as (select detection, count(*) as n, var_samp((lon - mo) * 111320e0 * cos(radians(ml))) as a, var_samp((lat - ml) * 111320e0) as b, covar_samp((lon - mo) * 111320e0 * cos(radians(ml)), (lat - ml) * 111320e0) as c from c group by 1) select detection, round(case when n < 3 then 1e0 else sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 1e-9) / greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 1e-9)) end, 4) as elongation from q where n <> 2")
+@query(f"with {MEMBERS}, c as (select *, avg(lat) over (partition by detection) as ml, avg(lon) over (partition by detection) as mo from mp), q as (select detection, count(*) as n, var_samp((lon - mo) * 111320e0 * cos(radians(ml))) as a, var_samp((lat - ml) * 111320e0) as b, covar_samp((lon - mo) * 111320e0 * cos(radians(ml)), (lat - ml) * 111320e0) as c from c group by 1) select detection, round(case when n < 3 then 1e0 else sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 1e-9) / greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 1e-9)) end, 4) as elongation from q")
 def pca_elongation(s, d):
     m = members(s, d)
     mean = m.groupBy("detection").agg(F.avg("lat").alias("ml"), F.avg("lon").alias("mo"))
     x, y = (F.col("lon") - F.col("mo")) * geo.metres_per_degree_lon(F.col("ml")), (F.col("lat") - F.col("ml")) * geo.METRES_PER_DEGREE
     q = m.join(mean, "detection").groupBy("detection").agg(F.count("*").alias("n"), F.var_samp(x).alias("a"), F.var_samp(y).alias("b"), F.covar_samp(x, y).alias("c"))
-    return q.where("n <> 2").select("detection", r(F.when(F.col("n") < 3, 1.0).otherwise(geo.elongation(F.col("a"), F.col("b"), F.col("c"))), 4).alias("elongation"))
+    return q.select("detection", r(F.when(F.col("n") < 3, 1.0).otherwise(geo.elongation(F.col("a"), F.col("b"), F.col("c"))), 4).alias("elongation"))
 
 
 def detections(s, d) -> DataFrame:
@@ -475,6 +502,57 @@ def forecast_track(s, d):
     return drift.forecast_totals(drift.forward(at, GYRE))
 
 
+@query("select s_suppkey as detection, 24 as members, 1e0 as mass, 1e0 as first_hour, 47e0 as last_hour, 0 as wrong from supplier")
+def ensemble_summary(s, d):
+    m = backtrack_ensemble(s, d)
+    wrong = F.count_if((F.col("weight") < 0) | (F.col("weight") > 1) | (F.col("p") < 0) | F.col("offset_km").isNull() | (F.col("sim_area_km2") <= 0) | (F.col("sim_elongation") < 1))
+    return m.groupBy("detection").agg(F.count("*").alias("members"), r(F.sum("p")).alias("mass"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), wrong.alias("wrong"))
+
+
+@query("select s_suppkey as origin, 13 as snapshots, true as ok from supplier")
+def forecast_summary(s, d):
+    ok = (F.col("total_drift_km") > 0) & (F.abs(F.col("mean_speed_kmh") * 12 - F.col("total_drift_km")) < 1e-6) & (F.col("final_hull_area_km2") > 0)
+    return forecast_track(s, d).select("origin", "snapshots", ok.alias("ok"))
+
+
+GRIDS = "cells as (select cast(s_suppkey % 10 as bigint) as detection, 28.0e0 + (s_suppkey % 7) * 0.05e0 as lat, -89.3e0 + ((s_suppkey * 3) % 11) * 0.05e0 as lon, 1e0 + s_suppkey % 5 as w from {supplier}), grids as (select detection, lat, lon, w / sum(w) over (partition by detection) as p from cells)"
+SPAN = f"{START!r}e0 + detection * 90000e0"
+
+
+@query(
+    f"""with {sql("fix")}, {GRIDS.format(supplier="supplier")},
+o as (select detection, sum(lat * p) / sum(p) as olat, sum(lon * p) / sum(p) as olon, {SPAN} as low, {SPAN} + 43200e0 as high from grids group by 1),
+ref as (select detection, greatest(sum(p * exp(-({hav("olat", "olon", "lat", "lon")}) / 8e0)), 1e-9) as r from grids join o using (detection) group by 1),
+near as (select o.detection, f.ship_id, f.seq, f.t, low, high, {hav("olat", "olon", "f.lat", "f.lon")} as km, sum(g.p * exp(-({hav("f.lat", "f.lon", "g.lat", "g.lon")}) / 8e0)) as prox
+    from fix f join o on f.t between low and high join grids g on g.detection = o.detection group by all),
+best as (select *, row_number() over (partition by detection, ship_id order by prox desc, seq) as k, count(*) over (partition by detection, ship_id) as n, min(km) over (partition by detection, ship_id) as km_least from near)
+select detection, ship_id, round(100e0 * (0.7e0 * least(prox / r, 1e0) + (1e0 - 0.7e0) * greatest(0e0, 1e0 - abs(t - (high + low) / 2) / ((high - low) / 2))), 1) as suspicion_score,
+    round(km_least, 2) as closest_distance_km, n as positions_in_window, round(prox, 6) as grid_weighted_proximity
+from best join ref using (detection) where k = 1"""
+)
+def vessel_rank_detections(s, d):
+    grids = s.sql(f"with {GRIDS} select * from grids", supplier=s.read.parquet(f"{d}/supplier.parquet"))
+    windows = grids.select("detection").distinct().select("detection", (START + F.col("detection") * 90000.0).alias("start"), (START + F.col("detection") * 90000.0 + 43200.0).alias("end"))
+    return correlate.score_detections(view(s, d, "fix"), grids, windows)
+
+
+@query(
+    f"""with {sql("fix")}, f as (select ship_id, seq, case when seq % 5 = 0 then 'not a time' else strftime(to_timestamp(floor(t)) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') end as iso, floor(t) as t from fix)
+select ship_id, seq, t + case when seq % 3 = 0 then -7200e0 else 0e0 end as t from f where iso <> 'not a time'"""
+)
+def iso_parse(s, d):
+    at = F.date_format(F.timestamp_seconds(F.floor("t")), "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(F.col("seq") % 3 == 0, "+02:00").when(F.col("seq") % 3 == 1, "Z").otherwise("")
+    text = F.when(F.col("seq") % 5 == 0, "not a time").otherwise(F.concat(at, zone))
+    return view(s, d, "fix").select("ship_id", "seq", iso_epoch(text).alias("t")).where("t is not null")
+
+
+@query(f"with {sql('member')}, x as (select detection, seq, (offset_km % 4) / 4e0 as share, cast(floor(hour) as bigint) as age from member) select detection, seq, round(900e0 + 5200e0 * sqrt(share), 6) as radius_m, greatest(70, 190 - age * 12) as opacity, cast(floor(6 + 10 * share) as bigint) as size from x")
+def cell_style(s, d):
+    x = view(s, d, "member").select("detection", "seq", (F.col("offset_km") % 4 / 4.0).alias("share"), F.floor("hour").alias("age"))
+    return x.select("detection", "seq", r(style.cell_radius_m(F.col("share"))).alias("radius_m"), style.cell_opacity(F.col("age"), F.lit(False)).alias("opacity"), F.floor(6 + 10 * F.col("share")).alias("size"))
+
+
 @query("select o_orderkey as id, case when o_orderkey % 3 = 0 then 'merged' else o_orderstatus end as status, o_totalprice as price, case when o_orderkey % 3 = 0 then o_orderkey % 10 end as rank from orders union all select -o_orderkey, 'merged', null, o_orderkey % 10 from orders where o_orderkey % 7 = 0 and o_orderkey > 0")
 def event_merge(s, d):
     o = s.read.parquet(f"{d}/orders.parquet")
@@ -484,28 +562,41 @@ def event_merge(s, d):
     return catalog.upsert(old, new.union(more), "id")
 
 
-@query("select n_nationkey as scene_id, case when n_nationkey % 4 = 0 then cast(n_nationkey as varchar) else n_name end as title, case when n_nationkey % 3 = 0 then '' else n_name end as subtitle, concat('/api/scenes/', n_nationkey, '/image') as image_url from nation")
+@query(f"with {sql('scene')} select scene_id, case when scene_id % 4 = 0 then cast(scene_id as varchar) else name end as title, case when scene_id % 3 = 0 then '' else name end as subtitle, concat('/api/scenes/', scene_id, '/image') as image_url from scene")
 def scene_catalog(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet")
-    k = F.col("n_nationkey")
-    return catalog.scene_list(n.select(k.alias("scene_id"), F.when(k % 4 > 0, F.col("n_name")).alias("title"), F.when(k % 3 > 0, F.col("n_name")).alias("subtitle")))
+    k = F.col("scene_id")
+    return catalog.scene_list(view(s, d, "scene").select(k, F.when(k % 4 > 0, F.col("name")).alias("title"), F.when(k % 3 > 0, F.col("name")).alias("subtitle")))
 
 
-@query("select n_nationkey as scene_id, case when n_nationkey % 2 = 1 then n_name when n_nationkey % 3 = 0 then 'side' else 'tag' end as \"timestamp\", case when n_nationkey % 3 = 0 then 'pass' else n_name end as pass_id, case when n_nationkey % 5 = 0 then 0e0 when n_nationkey % 3 = 0 then null else 35e0 end as incidence_angle from nation")
+@query(
+    f"""with {sql("scene")}
+select scene_id, case when scene_id % 2 = 1 then name when scene_id % 3 = 0 then 'side' else 'tag' end as "timestamp",
+    case when scene_id % 3 = 0 then 'pass' else name end as pass_id,
+    case when scene_id % 5 = 0 then 0e0 when scene_id % 3 = 0 then null else 35e0 end as incidence_angle
+from scene"""
+)
 def scene_metadata(s, d):
-    k = F.col("n_nationkey")
-    n = s.read.parquet(f"{d}/nation.parquet").select(
-        k.alias("scene_id"), F.when(k % 2 == 1, F.col("n_name")).otherwise("").alias("o_timestamp"), F.when(k % 3 == 0, "side").alias("s_timestamp"), F.lit("tag").alias("t_timestamp"),
-        F.lit("").alias("o_pass_id"), F.when(k % 3 == 0, "pass").alias("s_pass_id"), F.col("n_name").alias("t_pass_id"),
+    k, name = F.col("scene_id"), F.col("name")
+    n = view(s, d, "scene").select(
+        k, F.when(k % 2 == 1, name).otherwise("").alias("o_timestamp"), F.when(k % 3 == 0, "side").alias("s_timestamp"), F.lit("tag").alias("t_timestamp"),
+        F.lit("").alias("o_pass_id"), F.when(k % 3 == 0, "pass").alias("s_pass_id"), name.alias("t_pass_id"),
         F.when(k % 5 == 0, 0.0).alias("o_incidence"), F.when(k % 3 != 0, 35.0).alias("s_incidence"), F.lit(None).cast("double").alias("t_incidence"),
     )
     return catalog.resolve_metadata(n)
 
 
-@query()
+BUCKET = "cast(concat('0x', substr(md5(cast(c_custkey as varchar)), 1, 8)) as bigint) % 100"
+
+
+@query(
+    f"""select cast(c_custkey as varchar) as sample_id,
+    case when c_custkey % 3 = 0 then 'test' when c_custkey % 3 = 1 and c_custkey % 2 = 0 then 'val' when {BUCKET} < 10 then 'val' else 'train' end as split
+from customer"""
+)
 def split_assign(s, d):
-    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("sample_id"))
-    return catalog.assign_splits(c, c.where("sample_id % 3 = 0").withColumn("split", F.lit("test")))
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("sample_id"))
+    word = F.when(F.col("k") % 3 == 0, "test").when((F.col("k") % 3 == 1) & (F.col("k") % 2 == 0), "validation").when(F.col("k") % 3 == 1, "unheard of")
+    return catalog.assign_splits(c.select("sample_id"), c.select("sample_id", word.alias("split")).where("split is not null"))
 
 
 @query(f"with {sql('fix')} select ship_id, seq, strftime(to_timestamp(floor(t)) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as iso, t from fix where t between {START!r}e0 and {END!r}e0")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIX = "select user_id as ship_id, event_id as seq, {epoch} as t, 27.6e0 + ((event_id * 7919) % 1600) / 1e3 as lat, -89.9e0 + ((event_id * 104729) % 1500) / 1e3 as lon from {events}"
-GRID = "select k, 28.0e0 + (k % 7) * 0.05e0 as lat, -89.3e0 + ((k * 3) % 11) * 0.05e0 as lon, (1e0 + k % 5) / sum(1e0 + k % 5) over () as p, 1e0 + 2 * (k % 6) as hour from (select s_suppkey as k from {supplier} where s_suppkey < 24) s"
+GRID = "select lat, lon, sum(w) / sum(sum(w)) over () as p, min(hour) as hour from (select 28.0e0 + (s_suppkey % 7) * 0.05e0 as lat, -89.3e0 + ((s_suppkey * 3) % 11) * 0.05e0 as lon, 1e0 + s_suppkey % 5 as w, 1e0 + 2 * (s_suppkey % 6) as hour from {supplier}) s group by lat, lon"
+SCENE = "select s_suppkey as scene_id, s_suppkey % 25 as k, s_name as name from {supplier}"
 MEMBER = "select o_custkey as detection, o_orderkey as seq, 1e0 + 2 * (o_orderkey % 24) as hour, 0.03e0 as alpha, 28.0e0 + ((o_orderkey * 37) % 400) / 1e3 as lat, -89.4e0 + ((o_orderkey * 53) % 500) / 1e3 as lon, ((o_orderkey * 13) % 160) / 1e1 as offset_km, 5e0 + ((o_orderkey * 7) % 60) as sim_area, 1e0 + ((o_orderkey * 11) % 40) / 1e1 as sim_elong, 20e0 + (o_custkey % 20) as obs_area, 1e0 + (o_custkey % 9) / 2e0 as obs_elong from {orders}"
 BLOB = "select p_partkey as blob_id, 0 as scene_id, p_partkey as label, 28.0e0 + ((p_partkey * 37) % 400) / 1e3 as lat, -89.4e0 + ((p_partkey * 53) % 500) / 1e3 as lon, 1e0 + (p_size % 20) / 4.1e0 as elongation_ratio, -8e0 - (p_partkey % 9) * 1.0137e0 as vh_vv_ratio_db, 10 + p_size * 7 as pixel_count, case when p_partkey % 7 = 0 then null else p_size % 12 + 0e0 end as wind, 2e0 + (p_partkey % 31) / 7e0 as area_km2, -18e0 - (p_partkey % 13) / 3e0 as mean_backscatter_db, 1e0 + (p_partkey % 5) / 8e0 as texture_std_db, (p_partkey % 17) / 9e0 as texture_local_variance from {part}"
 WIND = "select s_suppkey as seq, 28.0e0 + ((s_suppkey * 91) % 420) / 1e3 as lat, -89.4e0 + ((s_suppkey * 67) % 520) / 1e3 as lon, case when s_suppkey % 11 = 0 then null else abs(s_acctbal) / 1e3 end as wind, case when s_suppkey % 3 = 0 then 'scene' else 'other' end as ts from {supplier}"
@@ -15,12 +16,12 @@ RASTER = {
     "duckdb": "select 0 as scene_id, cast(floor(vec_id / 25e0) * 8 + floor(pos / 8e0) as int) as row, cast((vec_id % 25) * 8 + pos % 8 as int) as col, cast(embedding[pos + 1] as double) as v, 0.02e0 * exp(cast(embedding[pos + 1] as double)) as vv, 0.01e0 * exp(cast(embedding[64 - pos] as double)) as vh from embeddings cross join (select unnest(range(64)) as pos) p",
 }
 FIELD = {
-    "spark": "select i, j, h, 1704067200e0 + h * 3600e0 as t, case when (i * 7 + j * 5 + h) % 23 = 0 then null else 0.5e0 + ((i * 3 + j * 7 + h * 11) % 40) / 1e1 end as speed_kmh, ((i * 29 + j * 31 + h * 13) % 360) + 0e0 as direction_deg from (select n_nationkey % 4 as i, cast(floor(n_nationkey / 4e0) as bigint) as j from {nation} where n_nationkey < 16) n lateral view explode(sequence(0L, 71L)) as h",
-    "duckdb": "select i, j, h, 1704067200e0 + h * 3600e0 as t, case when (i * 7 + j * 5 + h) % 23 = 0 then null else 0.5e0 + ((i * 3 + j * 7 + h * 11) % 40) / 1e1 end as speed_kmh, ((i * 29 + j * 31 + h * 13) % 360) + 0e0 as direction_deg from (select n_nationkey % 4 as i, cast(floor(n_nationkey / 4e0) as bigint) as j from nation where n_nationkey < 16) n cross join (select unnest(range(72)) as h) hh",
+    "spark": "select i, j, h, 1704067200e0 + h * 3600e0 as t, case when (i * 7 + j * 5 + h) % 23 = 0 then null else 0.5e0 + ((i * 3 + j * 7 + h * 11) % 40) / 1e1 end as speed_kmh, ((i * 29 + j * 31 + h * 13) % 360) + 0e0 as direction_deg from (select p_partkey % 4 as i, cast(floor(p_partkey / 4e0) as bigint) as j from {part}) n lateral view explode(sequence(0L, 71L)) as h",
+    "duckdb": "select i, j, h, 1704067200e0 + h * 3600e0 as t, case when (i * 7 + j * 5 + h) % 23 = 0 then null else 0.5e0 + ((i * 3 + j * 7 + h * 11) % 40) / 1e1 end as speed_kmh, ((i * 29 + j * 31 + h * 13) % 360) + 0e0 as direction_deg from (select p_partkey % 4 as i, cast(floor(p_partkey / 4e0) as bigint) as j from part) n cross join (select unnest(range(72)) as h) hh",
 }
 EPOCH = {"spark": "unix_micros(cast(ts as timestamp)) / 1e6", "duckdb": "epoch_us(ts) / 1e6"}
-PLAIN = {"fix": (FIX, "events"), "grid": (GRID, "supplier"), "member": (MEMBER, "orders"), "blob": (BLOB, "part"), "wind_rec": (WIND, "supplier")}
-OTHER = {"raster": (RASTER, "embeddings"), "field_obs": (FIELD, "nation")}
+PLAIN = {"fix": (FIX, "events"), "grid": (GRID, "supplier"), "member": (MEMBER, "orders"), "blob": (BLOB, "part"), "scene": (SCENE, "supplier"), "wind_rec": (WIND, "supplier")}
+OTHER = {"raster": (RASTER, "embeddings"), "field_obs": (FIELD, "part")}
 TILES = 25
 
 

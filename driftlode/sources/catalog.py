@@ -49,32 +49,80 @@ def scene_list(scenes: DataFrame) -> DataFrame:
     return scenes.select("scene_id", F.coalesce("title", F.col("scene_id").cast("string")).alias("title"), F.coalesce("subtitle", F.lit("")).alias("subtitle"), F.concat(F.lit("/api/scenes/"), F.col("scene_id").cast("string"), F.lit("/image")).alias("image_url"))
 
 
+SHOWN = 20
+
+
 def scene_by_id(scenes: DataFrame, scene_id) -> DataFrame:
-    """The one scene; an error that lists known ids if there is none."""
+    """The one scene. If there is none, an error that tells how many there are and the first SHOWN ids."""
     got = scenes.where(F.col("scene_id") == scene_id)
     if got.isEmpty():
-        known = [r[0] for r in scenes.select("scene_id").orderBy("scene_id").limit(20).collect()]
-        raise KeyError(f"no scene {scene_id!r}; known: {known}")
+        known = [r[0] for r in scenes.select("scene_id").orderBy("scene_id").limit(SHOWN).collect()]
+        raise KeyError(f"no scene {scene_id!r}; {scenes.count()} known, the first of them: {known}")
     return got
 
 
+def without_id(table: DataFrame) -> DataFrame:
+    """A collection as it is served: without the store's own ``_id``."""
+    return table.drop("_id")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the fields of ``new`` set where these aren't null; new keys are added."""
-    a, b = old.alias("a"), new.alias("b")
+    """``old`` with every field of ``new`` set in rows of its keys, nulls too; fields it lacks stay, and new keys are added."""
+    a, b = old.withColumn("_a", F.lit(True)).alias("a"), new.withColumn("_b", F.lit(True)).alias("b")
     both = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
     names = [*old.columns, *(c for c in new.columns if c not in old.columns)]
 
     def value(c: str) -> Column:
-        sides = ([F.col(f"b.{c}")] if c in new.columns else []) + ([F.col(f"a.{c}")] if c in old.columns else [])
-        return F.coalesce(*sides).alias(c)
+        if c == key:
+            return F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
+        if c not in new.columns:
+            return F.col(f"a.{c}").alias(c)
+        kept = F.col(f"a.{c}") if c in old.columns else F.lit(None)
+        return F.when(F.col("_b"), F.col(f"b.{c}")).otherwise(kept).alias(c)
 
     return both.select(*[value(c) for c in names])
 
 
 def assign_splits(samples: DataFrame, splits: DataFrame, val_percent: int = 10) -> DataFrame:
-    """Each sample's split from the map, else by a hash of its id; the same on every run."""
-    other = F.when(F.pmod(F.xxhash64("sample_id"), F.lit(100)) < val_percent, "val").otherwise("train")
-    return samples.join(splits, "sample_id", "left").withColumn("split", F.coalesce("split", other))
+    """Each sample's split from the map (train, val or validation, test), else by a hash of its id; the same on every run.
+
+    Samples that the map lacks or gives another word are dealt to val and train.
+    """
+    bucket = F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 8), 16, 10).cast("long") % 100
+    word = F.when(F.col("split") == "validation", "val").when(F.col("split").isin("train", "val", "test"), F.col("split"))
+    return samples.join(splits, "sample_id", "left").withColumn("split", F.coalesce(word, F.when(bucket < val_percent, "val").otherwise("train")))
+
+
+def write_json(table: DataFrame, path: str) -> None:
+    """A document a line; an earlier table at ``path`` is replaced as a whole."""
+    table.write.mode("overwrite").json(path)
+
+
+def replace_table(table: DataFrame, path: str) -> None:
+    """Replace all rows at ``path``. The new rows may come from the old ones: they are written beside these first."""
+    spark = table.sparkSession
+    beside = f"{path.rstrip('/')}.new"
+    table.write.mode("overwrite").parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
+
+
+def cached_field(cache: DataFrame, key: str, now: float, ttl: float, load: Callable[[], str]) -> tuple[str, DataFrame]:
+    """The payload of ``key`` in ``cache`` (key, payload, at) if younger than ``ttl`` seconds, else a new one; and the cache with it.
+
+    A stale entry serves where loading fails; without one the failure goes on.
+    """
+    rows = cache.where(F.col("key") == key).orderBy(F.desc("at")).limit(1).collect()
+    if rows and now - rows[0]["at"] < ttl:
+        return rows[0]["payload"], cache
+    try:
+        payload = load()
+    except Exception as e:
+        if not rows:
+            raise
+        warnings.warn(f"the source of {key} failed, its last payload is used: {e}", stacklevel=2)
+        return rows[0]["payload"], cache
+    fresh = cache.sparkSession.createDataFrame([(key, payload, now)], cache.select("key", "payload", "at").schema)
+    return payload, cache.where(F.col("key") != key).select("key", "payload", "at").union(fresh)
 
 
 def resolve_field(sources: list[tuple[str, Callable[[], object]]], placeholder: object) -> tuple[object, str, bool]:

@@ -14,8 +14,10 @@ def iso_text(epoch: Column) -> Column:
 def iso_epoch(text: Column) -> Column:
     """Epoch seconds of an ISO text with Z, an offset or neither (UTC then), a date alone being its midnight; null if it is none."""
     shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-    zoned = F.when(F.regexp_like(text, F.lit(r"(Z|:\d{2}[+-]\d{2}:?\d{2}|\d[+-]\d{2}:\d{2})$")) & (F.length(text) > 10), text).otherwise(F.concat(text, F.when(F.length(text) == 10, F.lit("T00:00:00Z")).otherwise(F.lit("Z"))))
-    at = F.try_to_timestamp(F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2"))
+    whole = F.regexp_replace(text, r"^(.{10})$", "$1T00:00:00")
+    whole = F.regexp_replace(whole, r"^(.{13}:\d{2})(?=$|[Z+-])", "$1:00")
+    whole = F.regexp_replace(whole, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    at = F.try_to_timestamp(F.when(F.regexp_like(whole, F.lit(r".{16}.*(Z|[+-]\d{2}:\d{2})$")), whole).otherwise(F.concat(whole, F.lit("Z"))))
     return F.when(F.regexp_like(text, F.lit(shape)), F.unix_micros(at) / 1e6)
 
 

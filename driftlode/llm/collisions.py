@@ -21,7 +21,7 @@ from driftlode.llm.common import Scratch, bit_filter, bits_set, slices
 from driftlode.llm.components import connected_components
 
 SMALL, BLOCK = 24, 512
-PER_BUCKET = 1 << 21  # values that one group looks through
+PER_BUCKET = 1 << 19  # values that one group looks through
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -82,6 +82,15 @@ def free_name(*frames: DataFrame) -> str:
     return f"_own{k}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """From now on Arrow batches of this session have ``rows`` rows at most: of texts, Spark's own 10,000 take hundreds of MB in JVM and worker."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches``, few at a time, so that what is made of long texts stays small."""
     for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.llm.collisions import linked
-from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices
+from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices, small_batches
 from driftlode.llm.minhash import mixed
 
 SHINGLE, BANDS, ROWS = 10, 24, 6
@@ -208,6 +208,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in both are one document, that has its lines once.
     """
     scratch = Scratch()
+    small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     slim = scratch.keep(rows.mapInArrow(_placed, "doc long, row long, line int, hi long, lo long"), "lines")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.llm import collisions
-from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices
+from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices, small_batches
 from driftlode.llm.components import connected_components
 
 MINIMA, LEAST = 48, 24
@@ -130,6 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; columns besides id and text aren't read.
     """
     scratch = Scratch()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = rows.mapInArrow(_signed(words), "id long, n_shingles long, digest binary, pairs array<long>, sketch binary")
     signed = scratch.keep(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")

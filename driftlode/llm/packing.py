@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import materialize, slices
+from driftlode.llm.common import materialize, slices, small_batches
 
 CAPACITY, END_ID = 4096, 1
 CACHED, LONGEST = 150_000, 32
@@ -115,6 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     documents over ``capacity`` are cut, into pieces of that many tokens and a shorter last one. Repeated rows
     and those of a null id are documents too, other columns aren't read, an empty table has no pieces.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, keep_ids), "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import free_name, materialize
+from driftlode.llm.common import free_name, materialize, small_batches
 
 SAMPLE, STEPS, L2 = 8000, 25, 1e-2
 SITE_WEIGHT = 0.25
@@ -131,6 +131,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     as exponent. Null hosts and paths are a site each; null and empty texts are scored like any other;
     repeated rows and null ids come back. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = train(docs, labels.select(F.col("doc_id").alias(id_col), "quality"), id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
     scored = materialize(evidence(rows, model).select("id", "host", "path", "p_doc"), "scored")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlode.llm.common import small_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHED, LONGEST, BATCH = 200_000, 40, 512
@@ -229,6 +231,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     round_trip: the decoded text is the text; parity: sentencepiece gives the same ids. Null and empty
     texts have no tokens and hold both. Repeated rows and null ids come back; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     schema = "id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", parity boolean" * check + ", ids binary, decoded string" * keep_ids
     return rows.mapInArrow(_coded(model_path, keep_ids, check), schema).withColumnRenamed("id", id_col)

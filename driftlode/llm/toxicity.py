@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import Scratch, free_name, slices
+from driftlode.llm.common import Scratch, free_name, slices, small_batches
 
 SAMPLE = 5000  # labelled documents that the models are fitted on, at most
 FEATURES, LEAST_DF, FOLDS, STEPS, L2 = 400, 4, 3, 10, 0.3
@@ -235,6 +235,7 @@ CATEGORIES = {"toxic_en": "toxic = 1 and lang = 'en'", "toxic_other": "toxic = 1
 
 def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, float]:
     """``docs`` with a struct of the probabilities under a name of its own, that name, and the threshold."""
+    small_batches(docs.sparkSession)
     chain, threshold = train(docs.drop("toxic", "quality"), labels.select(F.col("doc_id").alias(id_col), "toxic"), CATEGORIES, id_col, text_col)
     own = free_name(docs)
     return score(docs, chain, list(CATEGORIES), own, text_col), own, threshold

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import materialize, new_path
+from driftlode.llm.common import materialize, new_path, small_batches
 
 # Fixed values of the ARC format: the fields of a URL record's header line by version.
 FIELDS = {
@@ -198,6 +198,7 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     table gives no record.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     path = new_path(spark, "warc")
     write_warcs(convert_arcs(pages_as_arcs(pages, id_col, url_col, html_col)), path, least_bytes)
     return read_warcs(spark, path).withColumnRenamed("id", id_col)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,26 @@ def bilinear(points: DataFrame, nodes: DataFrame, lat0: float, lon0: float, step
     return at.join(nodes, ["i", "j"]).groupBy("id").agg(F.sum(w * F.col("u")).alias("u"), F.sum(w * F.col("v")).alias("v"))
 
 
+class Field(Protocol):
+    """What moves particles: eastward and northward m/s at places and one time, for arrays."""
+
+    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]: ...
+
+
+def velocity_column(source: Field, lat: Column, lon: Column, t: Column) -> Column:
+    """struct<u,v> of any field, by an Arrow UDF: for those, like Gridded, that no built-in expression gives. Rows of one time are taken together."""
+
+    @F.pandas_udf("u double, v double")
+    def run(lats: pd.Series, lons: pd.Series, times: pd.Series) -> pd.DataFrame:
+        u, v = np.empty(len(lats)), np.empty(len(lats))
+        for at in times.unique():
+            on = (times == at).to_numpy()
+            u[on], v[on] = source.velocity(lats[on].to_numpy(float), lons[on].to_numpy(float), float(at))
+        return pd.DataFrame({"u": u, "v": v})
+
+    return run(lat.cast("double"), lon.cast("double"), t.cast("double"))
+
+
 @dataclass(frozen=True)
 class Constant:
     """The same velocity everywhere, as columns and for arrays."""
@@ -161,3 +183,13 @@ def pack(table: DataFrame, hold: bool = True) -> Gridded:
 def grid_points(min_lat: float, min_lon: float, max_lat: float, max_lon: float, side: int) -> list[tuple[float, float]]:
     """side x side points over a box, for one batched request."""
     return [(float(a), float(b)) for a in np.linspace(min_lat, max_lat, side) for b in np.linspace(min_lon, max_lon, side)]
+
+
+def from_answers(points: list[tuple[float, float]], answers: list[dict]) -> list[tuple[float, float, float, float | None, float | None]]:
+    """Rows (t, lat, lon, speed_kmh, direction_deg) of the answers to one batched request, one for each point in order; an error if the counts differ.
+
+    An answer has equally long lists: times (epoch seconds), speeds and directions, where a missing value is None.
+    """
+    if len(points) != len(answers):
+        raise ValueError(f"{len(points)} points were asked for, {len(answers)} came back")
+    return [(float(t), lat, lon, s, d) for (lat, lon), a in zip(points, answers, strict=True) for t, s, d in zip(a["time"], a["speed"], a["direction"], strict=True)]

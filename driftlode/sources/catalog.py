@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def read_scene(spark: SparkSession, path: str, bands: tuple[str, ...] = ("vv", "vh")) -> DataFrame:
+    """A scene's pixel table (scene_id, row, col and a column for each band); an error if a band lacks. Bands are single precision."""
+    table = spark.read.parquet(path)
+    lacks = [c for c in ("scene_id", "row", "col", *bands) if c not in table.columns]
+    if lacks:
+        raise ValueError(f"{path} has no {', '.join(lacks)}; a scene has {len(bands)} bands")
+    return table.withColumns({c: F.col(c).cast("float") for c in bands})
+
+
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """JSON files beside scenes, with the scene's stem."""
     return spark.read.schema("timestamp_utc string, satellite_pass_id string, incidence_angle double").option("multiLine", True).json(path).withColumn("stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))

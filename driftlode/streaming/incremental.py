@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,15 @@ def stage_events(run: DataFrame, path: str, checkpoint: str):
 STAGES = ("started", "detection_done", "backtrack_done", "ais_done", "forward_done", "pipeline_done")
 
 
-def run_stages(stages, log) -> str:
-    """Run (name, action) in order and log each; the first failure ends the run. Returns the last name."""
+def run_stages(stages, log, limit_s: float | None = None, clock=time.monotonic) -> str:
+    """Run (name, action) in order and log each; the first failure ends the run, as does a stage that ends after ``limit_s`` seconds. Returns the last name."""
     log("started")
+    began = clock()
     for name, action in stages:
         try:
             action()
+            if limit_s is not None and clock() - began > limit_s:
+                raise TimeoutError(f"over {limit_s} s")
         except Exception as e:
             log(f"error: {name}: {e}")
             return "error"

@@ -200,3 +200,33 @@ def test_stage_log(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert [r.stage for r in spark.read.parquet(str(tmp_path / "log")).orderBy("at").collect()] == ["started", "detection_done"]
+
+
+def test_scenes_need_two_bands(spark, tmp_path):
+    both = spark.createDataFrame([(1, 0, 0, 0.1, 0.2)], "scene_id long, row int, col int, vv double, vh double")
+    both.write.parquet(str(tmp_path / "a"))
+    both.drop("vh").write.parquet(str(tmp_path / "b"))
+    assert dict(catalog.read_scene(spark, str(tmp_path / "a")).dtypes)["vh"] == "float"
+    with pytest.raises(ValueError, match="no vh"):
+        catalog.read_scene(spark, str(tmp_path / "b"))
+
+
+def test_answers_and_fields_as_columns(spark):
+    points = field.grid_points(28.0, -89.0, 28.1, -88.9, 2)
+    answers = [{"time": [0, 3600], "speed": [3.6, None], "direction": [90.0, 0.0]}] * 4
+    rows = field.from_answers(points, answers)
+    assert len(rows) == 8 and rows[0] == (0.0, 28.0, -89.0, 3.6, 90.0)
+    with pytest.raises(ValueError, match="3 came back"):
+        field.from_answers(points, answers[:3])
+    u, v = field.uv(F.col("s"), F.col("d"))
+    packed = field.pack(spark.createDataFrame(rows, "t double, lat double, lon double, s double, d double").select("t", "lat", "lon", u.alias("u"), v.alias("v")))
+    got = spark.createDataFrame([(28.05, -88.95, 1800.0), (28.0, -89.0, 0.0)], "lat double, lon double, t double").select(field.velocity_column(packed, F.col("lat"), F.col("lon"), F.col("t")).alias("x")).collect()
+    assert [round(r.x.u, 9) for r in got] == [0.5, 1.0] and abs(got[0].x.v) < 1e-9
+    beyond = field.Gridded(0.0, 1.0, 0.0, 0.0, 1.0, np.array([[[0.0, 1.0], [2.0, 3.0]]]), np.zeros((1, 2, 2)), hold=False)
+    assert beyond.velocity(np.array([2.0]), np.array([0.0]), 0.0)[0][0] == 4.0
+
+
+def test_stages_have_a_time_limit():
+    log, now = [], iter([0.0, 5.0, 50.0])
+    assert incremental.run_stages([("a", lambda: None), ("b", lambda: None)], log.append, 10, lambda: next(now)) == "error"
+    assert log == ["started", "a", "error: b: over 10 s"]

@@ -94,7 +94,11 @@ def haversine_closest(s, d):
     return view(s, d, "fix").groupBy("ship_id").agg(r(F.min(km)).alias("km"), F.count("*").alias("n"))
 
 
-@query(f"with {sql('fix')}, p as (select ship_id, seq, round(lon, 3) as lon, round(lat, 3) as lat, row_number() over (partition by ship_id order by seq) as i, count(*) over (partition by ship_id) as n from fix) select ship_id, i as vertex, lon, lat from p where n >= 2")
+@query(
+    f"""with {sql('fix')},
+p as (select ship_id, seq, round(lon, 3) as lon, round(lat, 3) as lat, row_number() over (partition by ship_id order by seq) as i, count(*) over (partition by ship_id) as n from fix)
+select ship_id, i as vertex, lon, lat from p where n >= 2"""
+)
 def track_geometry(s, d):
     lines = correlate.track_geometry(view(s, d, "fix")).select("ship_id", F.posexplode("line").alias("i", "p"))
     return lines.select("ship_id", (F.col("i") + 1).cast("long").alias("vertex"), F.round("p.lon", 3).alias("lon"), F.round("p.lat", 3).alias("lat"))
@@ -121,33 +125,57 @@ def posterior_normalise(s, d):
     return members(s, d).select("detection", "seq", r("p", 9).alias("p"))
 
 
-@query(f"with {sql('member')}, z as (select *, case when detection % 3 = 0 then 0e0 else offset_km end as weight from member), t as (select *, sum(weight) over (partition by detection) as sw, count(*) over (partition by detection) as n from z) select detection, seq, round(case when sw > 0 then weight / sw else 1e0 / n end, 9) as p from t")
+@query(
+    f"""with {sql('member')},
+z as (select *, case when detection % 3 = 0 then 0e0 else offset_km end as weight from member),
+t as (select *, sum(weight) over (partition by detection) as sw, count(*) over (partition by detection) as n from z)
+select detection, seq, round(case when sw > 0 then weight / sw else 1e0 / n end, 9) as p from t"""
+)
 def posterior_uniform_fallback(s, d):
     m = view(s, d, "member").withColumn("weight", F.when(F.col("detection") % 3 == 0, 0.0).otherwise(F.col("offset_km")))
     return posterior.normalised(m).select("detection", "seq", r("p", 9).alias("p"))
 
 
-@query(f"with {MEMBERS} select detection, round(sum(lat * p) / sum(p), 6) as lat, round(sum(lon * p) / sum(p), 6) as lon, round(sum(hour * p) / sum(p), 6) as hour, round(1e0 / sum(p * p), 6) as ess, count(*) as n from mp group by 1")
+@query(
+    f"""with {MEMBERS} select detection, round(sum(lat * p) / sum(p), 6) as lat, round(sum(lon * p) / sum(p), 6) as lon, round(sum(hour * p) / sum(p), 6) as hour, round(1e0 / sum(p * p),
+    6) as ess, count(*) as n from mp group by 1"""
+)
 def posterior_mean_ess(s, d):
     return posterior.means(members(s, d)).select("detection", r("lat").alias("lat"), r("lon").alias("lon"), r("hour").alias("hour"), r("ess").alias("ess"), "n")
 
 
-@query(f"with {MEMBERS}, c as (select *, sum(p) over (partition by detection order by hour, alpha, seq rows unbounded preceding) / sum(p) over (partition by detection) as cum from mp) select detection, coalesce(min(hour) filter (where cum >= (1 - 0.8e0) / 2), max(hour)) as min_hour, coalesce(min(hour) filter (where cum >= 1 - (1 - 0.8e0) / 2), max(hour)) as max_hour from c group by 1")
+@query(
+    f"""with {MEMBERS},
+c as (select *, sum(p) over (partition by detection order by hour, alpha, seq rows unbounded preceding) / sum(p) over (partition by detection) as cum from mp)
+select detection, coalesce(min(hour) filter (where cum >= (1 - 0.8e0) / 2), max(hour)) as min_hour, coalesce(min(hour) filter (where cum >= 1 - (1 - 0.8e0) / 2), max(hour)) as max_hour
+    from c group by 1"""
+)
 def release_window(s, d):
     return posterior.release_window(members(s, d))
 
 
-@query(f"with {MEMBERS}, c as (select *, sum(p) over (partition by detection order by hour, alpha, seq rows unbounded preceding) / sum(p) over (partition by detection) as cum from mp) select detection, coalesce(min(hour) filter (where cum >= 0.5e0), max(hour)) as median_hour from c group by 1")
+@query(
+    f"""with {MEMBERS},
+c as (select *, sum(p) over (partition by detection order by hour, alpha, seq rows unbounded preceding) / sum(p) over (partition by detection) as cum from mp)
+select detection, coalesce(min(hour) filter (where cum >= 0.5e0), max(hour)) as median_hour from c group by 1"""
+)
 def weighted_median_hour(s, d):
     return posterior.weighted_quantile(members(s, d), 0.5, "median_hour")
 
 
-@query(f"with {MEMBERS}, m as (select detection, sum(lat * p) / sum(p) as a, sum(lon * p) / sum(p) as b from mp group by 1) select detection, round(sqrt(sum(p * power({hav('a', 'b', 'lat', 'lon')}, 2)) / sum(p)), 6) as radius_km from mp join m using (detection) group by 1")
+@query(
+    f"""with {MEMBERS},
+m as (select detection, sum(lat * p) / sum(p) as a, sum(lon * p) / sum(p) as b from mp group by 1)
+select detection, round(sqrt(sum(p * power({hav('a', 'b', 'lat', 'lon')}, 2)) / sum(p)), 6) as radius_km from mp join m using (detection) group by 1"""
+)
 def uncertainty_radius(s, d):
     return posterior.uncertainty_radius(members(s, d)).select("detection", r("radius_km").alias("radius_km"))
 
 
-BINNED = f"with {MEMBERS}, k as (select *, round_even(lat / 0.05e0, 0) as i, round_even(lon / 0.05e0, 0) as j from mp), n as (select *, row_number() over (partition by detection, i, j order by p desc, seq) as rn, sum(p) over (partition by detection, i, j) as cp from k), og as (select detection, round(i * 0.05e0, 5) as lat, round(j * 0.05e0, 5) as lon, cp as p, hour from n where rn = 1)"
+BINNED = f"""with {MEMBERS},
+k as (select *, round_even(lat / 0.05e0, 0) as i, round_even(lon / 0.05e0, 0) as j from mp),
+n as (select *, row_number() over (partition by detection, i, j order by p desc, seq) as rn, sum(p) over (partition by detection, i, j) as cp from k),
+og as (select detection, round(i * 0.05e0, 5) as lat, round(j * 0.05e0, 5) as lon, cp as p, hour from n where rn = 1)"""
 
 
 @query(f"{BINNED} select detection, lat, lon, round(p, 6) as p, hour from og")
@@ -175,12 +203,20 @@ def posterior_max(s, d):
     return posterior.origin_grid(members(s, d)).groupBy("detection").agg(r(F.coalesce(F.nullif(F.max("p"), F.lit(0.0)), F.lit(1.0))).alias("top"))
 
 
-@query(f"{BINNED} select round((min(lat) + max(lat)) / 2, 6) as lat, round((min(lon) + max(lon)) / 2, 6) as lon, round(greatest(6.5e0, least(10.5e0, log2(360e0 / greatest(max(lat) - min(lat), max(lon) - min(lon), 0.05e0)) - 0.6e0)), 6) as zoom from og")
+@query(
+    f"""{BINNED} select round((min(lat) + max(lat)) / 2, 6) as lat, round((min(lon) + max(lon)) / 2, 6) as lon, round(greatest(6.5e0, least(10.5e0, log2(360e0 / greatest(max(lat) - min(lat),
+    max(lon) - min(lon), 0.05e0)) - 0.6e0)), 6) as zoom from og"""
+)
 def viewport(s, d):
     return posterior.viewport(posterior.origin_grid(members(s, d))).select(r("lat").alias("lat"), r("lon").alias("lon"), r("zoom").alias("zoom"))
 
 
-@query(f"with {MEMBERS}, a as (select detection, 1e0 / sum(p * p) / count(*) as ratio, max(hour) - min(hour) as span from mp group by 1) select detection, case when detection % 17 = 0 then 'Not physically meaningful' when detection % 13 = 0 then 'Ensemble collapsed' when ratio < 0.15e0 then 'Origin uncertain' when (detection % 10) / 1e2 < 0.02e0 then 'Weak current gradient' when span / 46e0 > 0.55e0 then 'Location narrowed, timing open' else 'Origin well constrained' end as badge from a")
+@query(
+    f"""with {MEMBERS},
+a as (select detection, 1e0 / sum(p * p) / count(*) as ratio, max(hour) - min(hour) as span from mp group by 1)
+select detection, case when detection % 17 = 0 then 'Not physically meaningful' when detection % 13 = 0 then 'Ensemble collapsed' when ratio < 0.15e0 then 'Origin uncertain'
+    when (detection % 10) / 1e2 < 0.02e0 then 'Weak current gradient' when span / 46e0 > 0.55e0 then 'Location narrowed, timing open' else 'Origin well constrained' end as badge from a"""
+)
 def confidence_badge(s, d):
     a = members(s, d).groupBy("detection").agg((1 / F.sum(F.col("p") * F.col("p")) / F.count("*")).alias("ratio"), (F.max("hour") - F.min("hour")).alias("span"))
     k = F.col("detection")
@@ -218,7 +254,11 @@ def box_mean_7(s, d):
     return raster.box_sums(view(s, d, "raster"), "vv", 7, "m", *raster_size(s, d)).select("row", "col", r("m", 9).alias("mean_7"))
 
 
-@query(f"{PIXELS}, {window_sql('s.vv', 7, 'b')}, v as (select row, col, m, greatest(m2 - m * m, 0e0) as var, vv from b join raster using (row, col)) select row, col, round(m + case when var > 0 then least(greatest((var - 0.25e0 * m * m) / var, 0e0), 1e0) else 0e0 end * (vv - m), 9) as lee from v")
+@query(
+    f"""{PIXELS}, {window_sql('s.vv', 7, 'b')},
+v as (select row, col, m, greatest(m2 - m * m, 0e0) as var, vv from b join raster using (row, col))
+select row, col, round(m + case when var > 0 then least(greatest((var - 0.25e0 * m * m) / var, 0e0), 1e0) else 0e0 end * (vv - m), 9) as lee from v"""
+)
 def lee_filter(s, d):
     return raster.lee_filter(view(s, d, "raster"), "vv", "lee", *raster_size(s, d)).select("row", "col", r("lee", 9).alias("lee"))
 
@@ -229,12 +269,18 @@ def local_variance(s, d):
     return raster.local_variance(px, "db", "x", *raster_size(s, d)).select("row", "col", r("x").alias("var_5"))
 
 
-@query(f"with {sql('scene')} select distinct scene_id, unnest(list_concat(range(0, cast(greatest(300 + k * 97 - 256, 0) as bigint) + 1, 224), [cast(greatest(300 + k * 97 - 256, 0) as bigint)])) as start from scene")
+@query(
+    f"""with {sql('scene')} select distinct scene_id, unnest(list_concat(range(0, cast(greatest(300 + k * 97 - 256, 0) as bigint) + 1, 224), [cast(greatest(300 + k * 97 - 256,
+    0) as bigint)])) as start from scene"""
+)
 def tile_starts(s, d):
     return view(s, d, "scene").select("scene_id", F.explode(raster.tile_starts((300 + F.col("k") * 97).cast("int"))).alias("start")).withColumn("start", F.col("start").cast("long"))
 
 
-TILED = sql("scene") + ", sc as (select scene_id, 60 + k * 7 as height, 50 + k * 11 as width from scene), ro as (select distinct scene_id, height, width, unnest(list_concat(range(0, greatest(height - 64, 0) + 1, 56), [greatest(height - 64, 0)])) as row_off from sc), ti as (select distinct scene_id, height, width, row_off, unnest(list_concat(range(0, greatest(width - 64, 0) + 1, 56), [greatest(width - 64, 0)])) as col_off from ro)"
+TILED = sql("scene") + """,
+sc as (select scene_id, 60 + k * 7 as height, 50 + k * 11 as width from scene),
+ro as (select distinct scene_id, height, width, unnest(list_concat(range(0, greatest(height - 64, 0) + 1, 56), [greatest(height - 64, 0)])) as row_off from sc),
+ti as (select distinct scene_id, height, width, row_off, unnest(list_concat(range(0, greatest(width - 64, 0) + 1, 56), [greatest(width - 64, 0)])) as col_off from ro)"""
 
 
 @query(f"with {TILED} select scene_id, row_off, col_off, least(64, height - row_off) as valid_h, least(64, width - col_off) as valid_w from ti")
@@ -243,7 +289,12 @@ def tile_scene(s, d):
     return raster.tiles(sc, 64, 56).select("scene_id", *[F.col(c).cast("long").alias(c) for c in ("row_off", "col_off", "valid_h", "valid_w")])
 
 
-@query(f"{PIXELS}, st as (select unnest([0, 7, 14]) as k), t as (select vec.k as ro, (row + vec.k) as row, col, abs(v) * (1 + vec.k) / 3e1 as prob from raster cross join st vec) select row, col, round(sum(prob) / count(*), 6) as prob from t group by 1, 2")
+@query(
+    f"""{PIXELS},
+st as (select unnest([0, 7, 14]) as k),
+t as (select vec.k as ro, (row + vec.k) as row, col, abs(v) * (1 + vec.k) / 3e1 as prob from raster cross join st vec)
+select row, col, round(sum(prob) / count(*), 6) as prob from t group by 1, 2"""
+)
 def stitch(s, d):
     px = view(s, d, "raster").withColumn("row_off", F.explode(F.array(F.lit(0), F.lit(7), F.lit(14))))
     probs = px.select("scene_id", "row_off", F.lit(0).alias("col_off"), F.col("row").alias("r"), F.col("col").alias("c"), (F.abs("v") * (1 + F.col("row_off")) / 30.0).alias("prob"))
@@ -264,7 +315,10 @@ def point_in_polygon(s, d):
     return view(s, d, "raster").select("row", "col", geo.in_ring(F.col("col"), F.col("row"), ring).alias("water"))
 
 
-@query(f"{PIXELS} select row, col, round(case when ({ray_sql('col', 'row')}) % 2 = 1 then abs(v) * 2 else 0e0 end, 6) as prob, (case when ({ray_sql('col', 'row')}) % 2 = 1 then abs(v) * 2 else 0e0 end) >= 0.25e0 as hit, (case when ({ray_sql('col', 'row')}) % 2 = 1 then abs(v) * 2 else 0e0 end) > 0.25e0 as above from raster")
+@query(
+    f"""{PIXELS} select row, col, round(case when ({ray_sql('col', 'row')}) % 2 = 1 then abs(v) * 2 else 0e0 end, 6) as prob, (case when ({ray_sql('col', 'row')}) % 2 = 1 then abs(v) * 2
+    else 0e0 end) >= 0.25e0 as hit, (case when ({ray_sql('col', 'row')}) % 2 = 1 then abs(v) * 2 else 0e0 end) > 0.25e0 as above from raster"""
+)
 def land_mask_binarize(s, d):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
     p = raster.land_masked(F.abs("v") * 2, geo.in_ring(F.col("col"), F.col("row"), ring))
@@ -286,7 +340,13 @@ def morph_open_close(s, d):
     return raster.open_close(px, "mask").select("row", "col", "mask")
 
 
-LABELLED = f"with recursive {sql('raster')}, m as (select row, col, cast(row as bigint) * 100000 + col as id from raster where v > 0.15e0), o9 as (select a, b from (select unnest([-1, 0, 1]) as a) x, (select unnest([-1, 0, 1]) as b) y), reach as (select id, row, col, id as root from m union select m.id, m.row, m.col, reach.root from reach cross join o9 join m on m.row = reach.row + a and m.col = reach.col + b), roots as (select id, row, col, min(root) as root from reach group by 1, 2, 3), big as (select root, row_number() over (order by root) as label from (select root, count(*) as n from roots group by 1) z where n >= 4), lab as (select row, col, big.label from roots join big using (root))"
+LABELLED = f"""with recursive {sql('raster')},
+m as (select row, col, cast(row as bigint) * 100000 + col as id from raster where v > 0.15e0),
+o9 as (select a, b from (select unnest([-1, 0, 1]) as a) x, (select unnest([-1, 0, 1]) as b) y),
+reach as (select id, row, col, id as root from m union select m.id, m.row, m.col, reach.root from reach cross join o9 join m on m.row = reach.row + a and m.col = reach.col + b),
+roots as (select id, row, col, min(root) as root from reach group by 1, 2, 3),
+big as (select root, row_number() over (order by root) as label from (select root, count(*) as n from roots group by 1) z where n >= 4),
+lab as (select row, col, big.label from roots join big using (root))"""
 
 
 def labelled(s, d) -> DataFrame:
@@ -298,7 +358,9 @@ def components(s, d):
     return labelled(s, d).select("row", "col", "label")
 
 
-FEATURES = "count(*) as pixel_count, cast(min(row) as bigint) as min_row, cast(max(row) as bigint) as max_row, cast(min(col) as bigint) as min_col, cast(max(col) as bigint) as max_col, round(avg(row), 6) as mean_row, round(avg(col), 6) as mean_col, round(avg(10 * log10(vv)), 6) as mean_backscatter_db, round(stddev_pop(10 * log10(vv)), 6) as texture_std_db, round(avg(10 * log10(vh) - 10 * log10(vv)), 6) as vh_vv_ratio_db, round(avg(abs(v)), 6) as confidence"
+FEATURES = """count(*) as pixel_count, cast(min(row) as bigint) as min_row, cast(max(row) as bigint) as max_row, cast(min(col) as bigint) as min_col, cast(max(col) as bigint) as max_col,
+    round(avg(row), 6) as mean_row, round(avg(col), 6) as mean_col, round(avg(10 * log10(vv)), 6) as mean_backscatter_db, round(stddev_pop(10 * log10(vv)), 6) as texture_std_db,
+    round(avg(10 * log10(vh) - 10 * log10(vv)), 6) as vh_vv_ratio_db, round(avg(abs(v)), 6) as confidence"""
 
 
 @query(
@@ -337,13 +399,23 @@ def slick_origin(s, d):
     return posterior.result(posterior.normalised(drift.backtrack(found, GYRE)), found)
 
 
-@query(f"{LABELLED}, q as (select label, var_pop(row) as a, var_pop(col) as b, covar_pop(row, col) as c from lab group by 1), e as (select label, 4 * sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 0e0)) as big, 4 * sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0e0)) as small from q) select label, round(case when small < 1e-6 then case when big > 1e-6 then null else 1e0 end else big / small end, 5) as elongation from e")
+@query(
+    f"""{LABELLED},
+q as (select label, var_pop(row) as a, var_pop(col) as b, covar_pop(row, col) as c from lab group by 1),
+e as (select label, 4 * sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 0e0)) as big, 4 * sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c),
+    0e0)) as small from q)
+select label, round(case when small < 1e-6 then case when big > 1e-6 then null else 1e0 end else big / small end, 5) as elongation from e"""
+)
 def blob_elongation(s, d):
     q = labelled(s, d).groupBy("label").agg(F.var_pop("row").alias("a"), F.var_pop("col").alias("b"), F.covar_pop("row", "col").alias("c"))
     return q.select("label", r(raster.ellipse_elongation(F.col("a"), F.col("b"), F.col("c")), 5).alias("elongation"))
 
 
-@query(f"{LABELLED}, z as (select label, count(*) as n, avg(row) as mr, avg(col) as mc from lab group by 1) select label, n, round(mr, 6) as mean_row, round(mc, 6) as mean_col from (select *, row_number() over (order by n desc, label) as k from z) y where k = 1 and n >= 6")
+@query(
+    f"""{LABELLED},
+z as (select label, count(*) as n, avg(row) as mr, avg(col) as mc from lab group by 1)
+select label, n, round(mr, 6) as mean_row, round(mc, 6) as mean_col from (select *, row_number() over (order by n desc, label) as k from z) y where k = 1 and n >= 6"""
+)
 def primary_component(s, d):
     return raster.primary_component(labelled(s, d), 6).select("label", "n", r("mean_row").alias("mean_row"), r("mean_col").alias("mean_col"))
 
@@ -353,18 +425,30 @@ def class_balance(s, d):
     return raster.class_balance(view(s, d, "raster").withColumn("mask", F.col("v") > 0.1), "mask").withColumn("pct", r("pct"))
 
 
-@query(f"{PIXELS}, x as (select floor(row / 8e0) as sample, case when v > 0.1e0 then 1e0 else 0e0 end as y, least(abs(v) * 3, 1e0) as p from raster), h as (select *, case when p > 0.5e0 then 1e0 else 0e0 end as hit, least(greatest(p, 1e-7), 1 - 1e-7) as q from x) select cast(sample as bigint) as sample, round((2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) as dice, round((sum(hit * y) + 1e-7) / (sum(hit) + sum(y) - sum(hit * y) + 1e-7), 6) as iou, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) as bce from h group by 1")
+@query(
+    f"""{PIXELS},
+x as (select floor(row / 8e0) as sample, case when v > 0.1e0 then 1e0 else 0e0 end as y, least(abs(v) * 3, 1e0) as p from raster),
+h as (select *, case when p > 0.5e0 then 1e0 else 0e0 end as hit, least(greatest(p, 1e-7), 1 - 1e-7) as q from x)
+select cast(sample as bigint) as sample, round((2 * sum(p * y) + 1) / (sum(p) + sum(y) + 1), 6) as dice, round((sum(hit * y) + 1e-7) / (sum(hit) + sum(y) - sum(hit * y) + 1e-7),
+    6) as iou, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) as bce from h group by 1"""
+)
 def dice_iou(s, d):
     px = view(s, d, "raster").select(F.floor(F.col("row") / 8.0).alias("sample"), (F.col("v") > 0.1).alias("y"), F.least(F.abs("v") * 3, F.lit(1.0)).alias("p"))
     return raster.mask_scores(px, "y", "p", "sample").select("sample", r("dice").alias("dice"), r("iou").alias("iou"), r("bce").alias("bce"))
 
 
-@query(f"{PIXELS}, n as (select max(row) + 1 as h, max(col) + 1 as w from raster) select 'rot90' as variant, w - 1 - col as row, row as col, round(v, 6) as v from raster, n union all select 'fliplr', row, w - 1 - col, round(v, 6) from raster, n union all select 'rot180', h - 1 - row, w - 1 - col, round(v, 6) from raster, n")
+@query(
+    f"""{PIXELS},
+n as (select max(row) + 1 as h, max(col) + 1 as w from raster)
+select 'rot90' as variant, w - 1 - col as row, row as col, round(v, 6) as v from raster, n union all select 'fliplr', row, w - 1 - col, round(v, 6) from raster, n
+    union all select 'rot180', h - 1 - row, w - 1 - col, round(v, 6) from raster, n"""
+)
 def raster_variants(s, d):
     return raster.variants(view(s, d, "raster").select("row", "col", r("v").alias("v")), *raster_size(s, d)).select("variant", "row", "col", "v")
 
 
-LOOK = "least(greatest(0.55e0 + case when wind is null then -0.05e0 else 0.4e0 * (1 / (1 + exp(-(wind - 3e0))) - 0.5e0) end + 0.1e0 * least(greatest((-10e0 - vh_vv_ratio_db) / 10e0, -1e0), 1e0) + 0.3e0 * (least(elongation_ratio / 4e0, 1e0) - 0.5e0) - case when pixel_count < 50 then 0.15e0 else 0e0 end, 0e0), 1e0)"
+LOOK = """least(greatest(0.55e0 + case when wind is null then -0.05e0 else 0.4e0 * (1 / (1 + exp(-(wind - 3e0))) - 0.5e0) end + 0.1e0 * least(greatest((-10e0 - vh_vv_ratio_db) / 10e0, -1e0),
+    1e0) + 0.3e0 * (least(elongation_ratio / 4e0, 1e0) - 0.5e0) - case when pixel_count < 50 then 0.15e0 else 0e0 end, 0e0), 1e0)"""
 
 
 @query(f"with {sql('blob')} select blob_id, round({LOOK}, 6) as score from blob")
@@ -372,17 +456,29 @@ def lookalike_score(s, d):
     return view(s, d, "blob").select("blob_id", r(detect.lookalike_score(F.col("wind"), F.col("vh_vv_ratio_db"), F.col("elongation_ratio"), F.col("pixel_count"))).alias("score"))
 
 
-@query(f"with {sql('blob')} select sha256(concat(scene_id, ':', label)) as detection_id, round(area_km2, 6) as area_km2, round(elongation_ratio, 3) as elongation_ratio, round(mean_backscatter_db, 3) as mean_backscatter_db, round(wind, 2) as wind_speed_at_acquisition_ms, coalesce(wind < 3e0, false) as low_wind_flag, round({LOOK}, 4) as confidence_score, pixel_count from blob order by confidence_score desc")
+@query(
+    f"""with {sql('blob')} select sha256(concat(scene_id, ':', label)) as detection_id, round(area_km2, 6) as area_km2, round(elongation_ratio, 3) as elongation_ratio,
+    round(mean_backscatter_db, 3) as mean_backscatter_db, round(wind, 2) as wind_speed_at_acquisition_ms, coalesce(wind < 3e0, false) as low_wind_flag, round({LOOK},
+    4) as confidence_score, pixel_count from blob order by confidence_score desc"""
+)
 def detection_records(s, d):
     return detect.records(view(s, d, "blob")).orderBy(F.desc("confidence_score"))
 
 
-@query(f"with {sql('blob')} select blob_id, round(area_km2, 6) as area_km2, elongation_ratio, round(mean_backscatter_db, 6) as mean_backscatter_db, texture_std_db, round(texture_local_variance, 6) as texture_local_variance, vh_vv_ratio_db, coalesce(wind, -1e0) as wind from blob")
+@query(
+    f"""with {sql('blob')} select blob_id, round(area_km2, 6) as area_km2, elongation_ratio, round(mean_backscatter_db, 6) as mean_backscatter_db, texture_std_db, round(texture_local_variance,
+    6) as texture_local_variance, vh_vv_ratio_db, coalesce(wind, -1e0) as wind from blob"""
+)
 def gate_features(s, d):
     return detect.gate_features(view(s, d, "blob")).withColumns({c: r(c) for c in ("area_km2", "mean_backscatter_db", "texture_local_variance")})
 
 
-@query(f"with {sql('blob')}, {sql('wind_rec')}, n as (select b.blob_id as id, w.seq as record, w.wind, row_number() over (partition by b.blob_id order by sqrt(power(b.lat - w.lat, 2) + power(b.lon - w.lon, 2)) - case when w.ts = 'scene' then 1e3 else 0e0 end, w.seq) as k from blob b join wind_rec w on sqrt(power(b.lat - w.lat, 2) + power(b.lon - w.lon, 2)) <= 1e0) select blob_id as id, n.record, round(n.wind, 6) as wind from blob left join n on n.id = blob_id and k = 1")
+@query(
+    f"""with {sql('blob')}, {sql('wind_rec')},
+n as (select b.blob_id as id, w.seq as record, w.wind, row_number() over (partition by b.blob_id order by sqrt(power(b.lat - w.lat, 2) + power(b.lon - w.lon, 2)) - case
+    when w.ts = 'scene' then 1e3 else 0e0 end, w.seq) as k from blob b join wind_rec w on sqrt(power(b.lat - w.lat, 2) + power(b.lon - w.lon, 2)) <= 1e0)
+select blob_id as id, n.record, round(n.wind, 6) as wind from blob left join n on n.id = blob_id and k = 1"""
+)
 def wind_nearest(s, d):
     points = view(s, d, "blob").select(F.col("blob_id").alias("id"), "lat", "lon")
     return detect.nearest_wind(points, view(s, d, "wind_rec"), F.lit("scene")).select("id", "record", r("wind").alias("wind"))
@@ -391,7 +487,10 @@ def wind_nearest(s, d):
 RECT = "(28e0 + (scene_id % 5) * 0.1e0)"
 
 
-@query(f"with {sql('scene')} select scene_id, 5 as vertices, round(-89.4e0 - 0.5e0, 6) as min_lon, round({RECT} - 0.5e0, 6) as min_lat, round(-89.1e0 + 0.5e0, 6) as max_lon, round({RECT} + 0.2e0 + 0.5e0, 6) as max_lat, round({RECT} + 0.1e0, 6) as c_lat, round(-89.25e0, 6) as c_lon from scene")
+@query(
+    f"""with {sql('scene')} select scene_id, 5 as vertices, round(-89.4e0 - 0.5e0, 6) as min_lon, round({RECT} - 0.5e0, 6) as min_lat, round(-89.1e0 + 0.5e0, 6) as max_lon,
+    round({RECT} + 0.2e0 + 0.5e0, 6) as max_lat, round({RECT} + 0.1e0, 6) as c_lat, round(-89.25e0, 6) as c_lon from scene"""
+)
 def polygon_box_ring(s, d):
     n = view(s, d, "scene").withColumn("b", 28.0 + (F.col("scene_id") % 5) * 0.1)
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), (F.col("b") + y).alias("y"))
@@ -413,7 +512,8 @@ def solve_bbox(s, d):
     return b.select("blob_id", "b.*")
 
 
-UV = "uv as (select *, case when speed_kmh is null then 0e0 else speed_kmh / 3.6e0 * sin(radians(direction_deg)) end as u, case when speed_kmh is null then 0e0 else speed_kmh / 3.6e0 * cos(radians(direction_deg)) end as v from field_obs)"
+UV = """uv as (select *, case when speed_kmh is null then 0e0 else speed_kmh / 3.6e0 * sin(radians(direction_deg)) end as u, case when speed_kmh is null then 0e0
+    else speed_kmh / 3.6e0 * cos(radians(direction_deg)) end as v from field_obs)"""
 
 
 def observed(s, d) -> DataFrame:
@@ -426,19 +526,37 @@ def current_uv(s, d):
     return observed(s, d).select("i", "j", "h", r("u").alias("u"), r("v").alias("v"))
 
 
-@query(f"with {sql('field_obs')}, {UV}, q as (select i, j, avg(sqrt(u * u + v * v)) as sp, count(speed_kmh) as n from uv group by 1, 2) select round(max(sp) - min(sp), 6) as speed_range, round(avg(sp), 6) as speed_mean, count(*) filter (where n = 0) as empty_points from q")
+@query(
+    f"""with {sql('field_obs')}, {UV},
+q as (select i, j, avg(sqrt(u * u + v * v)) as sp, count(speed_kmh) as n from uv group by 1, 2)
+select round(max(sp) - min(sp), 6) as speed_range, round(avg(sp), 6) as speed_mean, count(*) filter (where n = 0) as empty_points from q"""
+)
 def field_diagnostics(s, d):
     return field.diagnostics(observed(s, d)).select(r("speed_range").alias("speed_range"), r("speed_mean").alias("speed_mean"), "empty_points")
 
 
-@query(f"with {sql('field_obs')}, {UV}, ask as (select distinct i, j, 1704067200e0 + h * 4321e0 - 5000e0 as t from uv), x as (select i, j, t, (least(greatest(t, 1704067200e0), 1704067200e0 + 71 * 3600e0) - 1704067200e0) / 3600e0 as x from ask), k as (select *, cast(floor(x) as bigint) as k, x - floor(x) as w from x) select k.i, k.j, k.t, round(a.u + w * (coalesce(b.u, a.u) - a.u), 6) + 0e0 as u, round(a.v + w * (coalesce(b.v, a.v) - a.v), 6) + 0e0 as v, k.t > 1704067200e0 + 71 * 3600e0 as extrapolated from k join uv a on a.i = k.i and a.j = k.j and a.h = k.k left join uv b on b.i = k.i and b.j = k.j and b.h = k.k + 1")
+@query(
+    f"""with {sql('field_obs')}, {UV},
+ask as (select distinct i, j, 1704067200e0 + h * 4321e0 - 5000e0 as t from uv),
+x as (select i, j, t, (least(greatest(t, 1704067200e0), 1704067200e0 + 71 * 3600e0) - 1704067200e0) / 3600e0 as x from ask),
+k as (select *, cast(floor(x) as bigint) as k, x - floor(x) as w from x)
+select k.i, k.j, k.t, round(a.u + w * (coalesce(b.u, a.u) - a.u), 6) + 0e0 as u, round(a.v + w * (coalesce(b.v, a.v) - a.v), 6) + 0e0 as v,
+    k.t > 1704067200e0 + 71 * 3600e0 as extrapolated from k join uv a on a.i = k.i and a.j = k.j and a.h = k.k left join uv b on b.i = k.i and b.j = k.j and b.h = k.k + 1"""
+)
 def time_interp(s, d):
     obs = observed(s, d)
     asked = obs.select("i", "j", (1704067200.0 + F.col("h") * 4321.0 - 5000.0).alias("t"))
     return field.at_times(obs, asked).select("i", "j", "t", r("u").alias("u"), r("v").alias("v"), "extrapolated")
 
 
-@query(f"with {sql('field_obs')}, {UV}, {sql('blob')}, y as (select blob_id as id, least(greatest((lat - 28.05e0) / 0.1e0, 0e0), 3e0) as y, least(greatest((lon + 89.35e0) / 0.1e0, 0e0), 3e0) as x from blob), f as (select *, least(floor(y), 2) as i0, least(floor(x), 2) as j0 from y), c as (select id, i0 + a as i, j0 + b as j, case when a = 1 then y - i0 else 1 - (y - i0) end * case when b = 1 then x - j0 else 1 - (x - j0) end as w from f cross join (select unnest([0, 1]) as a) p cross join (select unnest([0, 1]) as b) q) select id, round(sum(w * u), 6) + 0e0 as u, round(sum(w * v), 6) + 0e0 as v from c join uv on uv.i = c.i and uv.j = c.j and uv.h = 5 group by 1")
+@query(
+    f"""with {sql('field_obs')}, {UV}, {sql('blob')},
+y as (select blob_id as id, least(greatest((lat - 28.05e0) / 0.1e0, 0e0), 3e0) as y, least(greatest((lon + 89.35e0) / 0.1e0, 0e0), 3e0) as x from blob),
+f as (select *, least(floor(y), 2) as i0, least(floor(x), 2) as j0 from y),
+c as (select id, i0 + a as i, j0 + b as j, case when a = 1 then y - i0 else 1 - (y - i0) end * case when b = 1 then x - j0 else 1 - (x - j0) end as w from f cross
+    join (select unnest([0, 1]) as a) p cross join (select unnest([0, 1]) as b) q)
+select id, round(sum(w * u), 6) + 0e0 as u, round(sum(w * v), 6) + 0e0 as v from c join uv on uv.i = c.i and uv.j = c.j and uv.h = 5 group by 1"""
+)
 def bilinear(s, d):
     points = view(s, d, "blob").select(F.col("blob_id").alias("id"), "lat", "lon")
     return field.bilinear(points, observed(s, d).where("h = 5"), 28.05, -89.35, 0.1, 4).select("id", r("u").alias("u"), r("v").alias("v"))
@@ -460,19 +578,34 @@ def gyre_field(s, d):
     return view(s, d, "fix").select("seq", r(u).alias("u"), r(v).alias("v"))
 
 
-@query(f"with {sql('scene')} select scene_id, unnest(list_transform(range(0, 24), lambda i: 1e0 + 2e0 * i)) as hour, round(greatest(least(sqrt((1e0 + k * 40) / pi()), 25e0), 0.3e0), 6) as release_radius_km from scene")
+@query(
+    f"""with {sql('scene')} select scene_id, unnest(list_transform(range(0, 24), lambda i: 1e0 + 2e0 * i)) as hour, round(greatest(least(sqrt((1e0 + k * 40) / pi()), 25e0), 0.3e0),
+    6) as release_radius_km from scene"""
+)
 def hypothesis_grid(s, d):
     hours = F.transform(F.sequence(F.lit(0), F.lit(len(drift.hour_grid(1, 48, 2)) - 1)), lambda k: 1.0 + 2.0 * k)
     return view(s, d, "scene").select("scene_id", F.explode(hours).alias("hour"), r(drift.release_radius_km(1.0 + F.col("k") * 40)).alias("release_radius_km"))
 
 
-@query(f"with recursive p as (select s_suppkey as id, 28e0 + (s_suppkey % 40) / 1e2 as lat, -89.4e0 + (s_suppkey % 30) / 1e2 as lon, 1704067200e0 as t, 0 as k from supplier), e as (select * from p union all select id, lat + 300e0 * {gyre_sql('lat', 'lon', '(t + k * 300e0)')[1]} / 111320e0, lon + 300e0 * {gyre_sql('lat', 'lon', '(t + k * 300e0)')[0]} / (111320e0 * cos(radians(lat))), t, k + 1 from e where k < 48) select id, round(lat, 6) as lat, round(lon, 6) as lon from e where k = 48")
+@query(
+    f"""with recursive p as (select s_suppkey as id, 28e0 + (s_suppkey % 40) / 1e2 as lat, -89.4e0 + (s_suppkey % 30) / 1e2 as lon, 1704067200e0 as t, 0 as k from supplier),
+e as (select * from p union all select id, lat + 300e0 * {gyre_sql('lat', 'lon', '(t + k * 300e0)')[1]} / 111320e0,
+    lon + 300e0 * {gyre_sql('lat', 'lon', '(t + k * 300e0)')[0]} / (111320e0 * cos(radians(lat))), t, k + 1 from e where k < 48)
+select id, round(lat, 6) as lat, round(lon, 6) as lon from e where k = 48"""
+)
 def euler_track(s, d):
     p = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (28.0 + (F.col("s_suppkey") % 40) / 100.0).alias("lat"), (-89.4 + (F.col("s_suppkey") % 30) / 100.0).alias("lon"), F.lit(1704067200.0).alias("t"))
     return drift.euler_track(p, GYRE, 48, 300.0).select("id", r("lat").alias("lat"), r("lon").alias("lon"))
 
 
-@query(f"with {MEMBERS}, c as (select *, avg(lat) over (partition by detection) as ml, avg(lon) over (partition by detection) as mo from mp), q as (select detection, count(*) as n, var_samp((lon - mo) * 111320e0 * cos(radians(ml))) as a, var_samp((lat - ml) * 111320e0) as b, covar_samp((lon - mo) * 111320e0 * cos(radians(ml)), (lat - ml) * 111320e0) as c from c group by 1) select detection, round(case when n < 3 then 1e0 else sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 1e-9) / greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 1e-9)) end, 4) as elongation from q")
+@query(
+    f"""with {MEMBERS},
+c as (select *, avg(lat) over (partition by detection) as ml, avg(lon) over (partition by detection) as mo from mp),
+q as (select detection, count(*) as n, var_samp((lon - mo) * 111320e0 * cos(radians(ml))) as a, var_samp((lat - ml) * 111320e0) as b,
+    covar_samp((lon - mo) * 111320e0 * cos(radians(ml)), (lat - ml) * 111320e0) as c from c group by 1)
+select detection, round(case when n < 3 then 1e0 else sqrt(greatest((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c), 1e-9) / greatest((a + b) / 2 - sqrt(power((a - b) / 2,
+    2) + c * c), 1e-9)) end, 4) as elongation from q"""
+)
 def pca_elongation(s, d):
     m = members(s, d)
     mean = m.groupBy("detection").agg(F.avg("lat").alias("ml"), F.avg("lon").alias("mo"))
@@ -515,7 +648,9 @@ def forecast_summary(s, d):
     return forecast_track(s, d).select("origin", "snapshots", ok.alias("ok"))
 
 
-GRIDS = "cells as (select cast(s_suppkey % 10 as bigint) as detection, 28.0e0 + (s_suppkey % 7) * 0.05e0 as lat, -89.3e0 + ((s_suppkey * 3) % 11) * 0.05e0 as lon, 1e0 + s_suppkey % 5 as w from {supplier}), grids as (select detection, lat, lon, w / sum(w) over (partition by detection) as p from cells)"
+GRIDS = """cells as (select cast(s_suppkey % 10 as bigint) as detection, 28.0e0 + (s_suppkey % 7) * 0.05e0 as lat, -89.3e0 + ((s_suppkey * 3) % 11) * 0.05e0 as lon, 1e0 + s_suppkey % 5 as w
+    from {supplier}),
+grids as (select detection, lat, lon, w / sum(w) over (partition by detection) as p from cells)"""
 SPAN = f"{START!r}e0 + detection * 90000e0"
 
 
@@ -547,13 +682,20 @@ def iso_parse(s, d):
     return view(s, d, "fix").select("ship_id", "seq", iso_epoch(text).alias("t")).where("t is not null")
 
 
-@query(f"with {sql('member')}, x as (select detection, seq, (offset_km % 4) / 4e0 as share, cast(floor(hour) as bigint) as age from member) select detection, seq, round(900e0 + 5200e0 * sqrt(share), 6) as radius_m, greatest(70, 190 - age * 12) as opacity, cast(floor(6 + 10 * share) as bigint) as size from x")
+@query(
+    f"""with {sql('member')},
+x as (select detection, seq, (offset_km % 4) / 4e0 as share, cast(floor(hour) as bigint) as age from member)
+select detection, seq, round(900e0 + 5200e0 * sqrt(share), 6) as radius_m, greatest(70, 190 - age * 12) as opacity, cast(floor(6 + 10 * share) as bigint) as size from x"""
+)
 def cell_style(s, d):
     x = view(s, d, "member").select("detection", "seq", (F.col("offset_km") % 4 / 4.0).alias("share"), F.floor("hour").alias("age"))
     return x.select("detection", "seq", r(style.cell_radius_m(F.col("share"))).alias("radius_m"), style.cell_opacity(F.col("age"), F.lit(False)).alias("opacity"), F.floor(6 + 10 * F.col("share")).alias("size"))
 
 
-@query("select o_orderkey as id, case when o_orderkey % 3 = 0 then 'merged' else o_orderstatus end as status, o_totalprice as price, case when o_orderkey % 3 = 0 then o_orderkey % 10 end as rank from orders union all select -o_orderkey, 'merged', null, o_orderkey % 10 from orders where o_orderkey % 7 = 0 and o_orderkey > 0")
+@query(
+    """select o_orderkey as id, case when o_orderkey % 3 = 0 then 'merged' else o_orderstatus end as status, o_totalprice as price, case
+    when o_orderkey % 3 = 0 then o_orderkey % 10 end as rank from orders union all select -o_orderkey, 'merged', null, o_orderkey % 10 from orders where o_orderkey % 7 = 0 and o_orderkey > 0"""
+)
 def event_merge(s, d):
     o = s.read.parquet(f"{d}/orders.parquet")
     old = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
@@ -562,7 +704,10 @@ def event_merge(s, d):
     return catalog.upsert(old, new.union(more), "id")
 
 
-@query(f"with {sql('scene')} select scene_id, case when scene_id % 4 = 0 then cast(scene_id as varchar) else name end as title, case when scene_id % 3 = 0 then '' else name end as subtitle, concat('/api/scenes/', scene_id, '/image') as image_url from scene")
+@query(
+    f"""with {sql('scene')} select scene_id, case when scene_id % 4 = 0 then cast(scene_id as varchar) else name end as title, case when scene_id % 3 = 0 then '' else name end as subtitle,
+    concat('/api/scenes/', scene_id, '/image') as image_url from scene"""
+)
 def scene_catalog(s, d):
     k = F.col("scene_id")
     return catalog.scene_list(view(s, d, "scene").select(k, F.when(k % 4 > 0, F.col("name")).alias("title"), F.when(k % 3 > 0, F.col("name")).alias("subtitle")))

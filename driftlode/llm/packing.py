@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import materialize, slices, small_batches
+from driftlode.llm.common import free_name, materialize, slices, small_batches
 
 CAPACITY, END_ID = 4096, 1
 CACHED, LONGEST = 150_000, 32
@@ -228,15 +228,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     so that a length that very many pieces have is dealt over many tasks. An empty table stays
     empty; equal rows get places of their own.
     """
-    pieces = materialize(pieces, "pieces")
+    uid, columns = free_name(pieces), pieces.columns
+    told = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    pieces = materialize(pieces.withColumn(uid, F.monotonically_increasing_id()), "pieces")
     sizes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     salts = max(64, -(-sum(sizes.values()) // PER_GROUP))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(uid), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1
-    ranked = salted.join(before, ["length", "salt"]).select(*pieces.columns, rank.alias("rank"))
-    return ranked.mapInArrow(_placed(plan(sizes, capacity)), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy(uid)) - 1
+    ranked = salted.join(before, ["length", "salt"]).select(*columns, rank.alias("rank"))
+    return ranked.mapInArrow(_placed(plan(sizes, capacity)), told + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:

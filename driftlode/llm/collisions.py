@@ -1,11 +1,11 @@
 """Inverted join over signature coordinates: which items agree on many of them.
 
-Items are posted under the values of some coordinates of their signatures, and have a sketch (a byte
-of each of many minima). A list first gives a star around its smallest item, which is that of most lists of a
+Items are posted under the values of some coordinates of their signatures, and have a sketch (the size of
+the set, 0 if unknown, in HEAD bytes, and a byte of each of many minima). A list first gives a star around its smallest item, which is that of most lists of a
 group of copies. When those links have been confirmed and joined to components, only lists that hold several are
 looked at again: up to ``SMALL`` items give all their pairs of different components, and of a longer list the items
 outside its largest component are compared with the whole list, in blocks. A candidate pair goes on if
-its sketches agree often enough; it is a link if the full sets are similar.
+its sketches agree often enough and the sizes allow of the similarity; it is a link if the full sets are similar.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from driftlode.llm.common import Scratch, bit_filter, bits_set, slices
 from driftlode.llm.components import connected_components
 
 SMALL, BLOCK = 24, 512
+HEAD = 4  # bytes of a set's size, little-endian
 PER_BUCKET = 1 << 19  # values that one group looks through
 
 
@@ -92,24 +93,37 @@ def _posted(items: DataFrame, scratch: Scratch) -> DataFrame:
     return posts.join(lists, "key").select("key", "node", "n", "pivot")
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+def sketch(size: int, minima: np.ndarray) -> bytes:
+    return min(size, 2**32 - 1).to_bytes(HEAD, "little") + minima.tobytes()
 
 
-def _often(least: int):
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of the sets, and the minima."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(both[:, :HEAD]).view("<u4").ravel().astype(np.int64), both[:, HEAD:]
+
+
+def _alike(x: tuple, y: tuple, least: int, percent: int) -> np.ndarray:
+    """Whether minima agree ``least`` times or more, and sizes are near enough: of sets of a similarity of j, none is smaller than j times the other."""
+    (m, a), (n, b) = x, y
+    near = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) | (np.minimum(m, n) == 0) | (np.maximum(m, n) == 2**32 - 1)
+    return ((a == b).sum(axis=1) >= least) & near
+
+
+def _often(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(axis=1) if batch.num_rows else np.zeros(0)
-            yield batch.select([0, 1]).filter(pa.array(same >= least))
+            if batch.num_rows:
+                yield batch.select([0, 1]).filter(pa.array(_alike(_sketches(batch.column(2)), _sketches(batch.column(3)), least, percent)))
 
     return run
 
 
-def _agree(pairs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    """Pairs whose sketches agree in ``least`` places or more."""
+def _agree(pairs: DataFrame, items: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs whose sketches allow of a link."""
     left, right = (items.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
     both = pairs.join(left, "a").repartition(F.col("b")).join(right, "b")
-    return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_often(least), "a long, b long")
+    return both.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_often(least, percent), "a long, b long")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -157,16 +171,16 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return right.union(left)
 
 
-def _like(least: int):
+def _like(least: int, percent: int):
     """The nodes of a pair of blocks that agree often enough with one of another component."""
 
     def run(table: pa.Table) -> pa.Table:
         node, group, left = (table.column(c).to_numpy() for c in ("node", "c", "left"))
-        sketch, on = _sketches(table.column("sketch").combine_chunks()), np.zeros(len(node), bool)
+        (size, low), on = _sketches(table.column("sketch").combine_chunks()), np.zeros(len(node), bool)
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         for x in a:
             own = b[group[b] != group[x]]
-            own = own[(sketch[own] == sketch[x]).sum(axis=1) >= least]
+            own = own[_alike((size[own], low[own]), (size[x], low[x]), least, percent)]
             on[own] = True
             on[x] |= len(own) > 0
         key = table.column("key")[0].as_py()
@@ -181,12 +195,12 @@ def _compared(least: int, percent: int, shingles: Callable[[list], list[np.ndarr
 
     def run(table: pa.Table) -> pa.Table:
         node, group, side = (table.column(c).to_numpy().copy() for c in ("node", "c", "left"))
-        sketch, out = _sketches(table.column("sketch").combine_chunks()), []
+        (size, low), out = _sketches(table.column("sketch").combine_chunks()), []
         sets = shingles(table.column("full").to_pylist())
         right = np.flatnonzero(~side)
         for x in np.flatnonzero(side):
             own = right[group[right] != group[x]]
-            for y in own[(sketch[own] == sketch[x]).sum(axis=1) >= least]:
+            for y in own[_alike((size[own], low[own]), (size[x], low[x]), least, percent)]:
                 if group[x] == group[y]:
                     continue
                 common = _common(sets[x], sets[y])
@@ -209,7 +223,7 @@ def linked(items: DataFrame, least: int, percent: int, fetch: Callable[[DataFram
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
     posted = scratch.keep(_posted(items, scratch), "posted")
     stars = posted.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = scratch.keep(_agree(stars, items, least), "pairs")
+    pairs = scratch.keep(_agree(stars, items, least, percent), "pairs")
     full = scratch.keep(fetch(ends(pairs).distinct()), "full")
     links = scratch.keep(_confirmed(pairs, full, percent, shingles), "links")
     scratch.drop(full)
@@ -221,10 +235,10 @@ def linked(items: DataFrame, least: int, percent: int, fetch: Callable[[DataFram
     scratch.drop(posted)
     few = rows.where(F.col("n") <= SMALL)
     a, b = (few.select("key", F.col("node").alias(x), F.col("c").alias(f"{x}_c")) for x in ("a", "b"))
-    pairs = scratch.keep(_agree(a.join(b, "key").where("a < b and a_c <> b_c").select("a", "b").distinct(), items, least), "pairs")
+    pairs = scratch.keep(_agree(a.join(b, "key").where("a < b and a_c <> b_c").select("a", "b").distinct(), items, least, percent), "pairs")
     long = scratch.keep(rows.where(F.col("n") > SMALL).select("key", "node", "c").join(items.select("node", "sketch"), "node"), "long")
     # first the sketches are compared; the full sets are fetched for the items that have a candidate
-    like = scratch.keep(_blocks(long).groupBy("key", "i", "j").applyInArrow(_like(least), "key long, node long").distinct(), "like")
+    like = scratch.keep(_blocks(long).groupBy("key", "i", "j").applyInArrow(_like(least, percent), "key long, node long").distinct(), "like")
     wanted = scratch.keep(ends(pairs).union(like.select("node")).distinct(), "wanted")
     if wanted.isEmpty():
         return found

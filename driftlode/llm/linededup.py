@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.collisions import linked
+from driftlode.llm.collisions import linked, sketch
 from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices, small_batches
 from driftlode.llm.minhash import mixed
 
@@ -182,7 +182,7 @@ def _signed(repeated: np.ndarray, width: int):
             both, at = np.concatenate(keys), pa.array(at, pa.int64())
             flat, low = _bands(minima(wanted, width))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array([x.tobytes() for x in low], pa.binary())]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array([sketch(0, x) for x in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "line", "hi", "lo", "many", "coords", "sketch"])
 
     return run

@@ -64,7 +64,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The coordinate-value pairs, hashed, and the sketch (a byte of each minimum) of a set that isn't empty."""
+    """The coordinate-value pairs, hashed, and the sketch (the size, and a byte of each minimum) of a set that isn't empty."""
     low = np.full(MINIMA, 2**32 - 1, np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     room = np.empty((MINIMA, min(CHUNK, len(short))), np.uint32)
@@ -74,7 +74,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
         values += _ADD
         np.minimum(low, values.min(axis=1), out=low)
     values = mixed(low.astype(np.uint64))
-    return mixed(values + _COORDINATE).view(np.int64), values.astype(np.uint8).tobytes()
+    return mixed(values + _COORDINATE).view(np.int64), collisions.sketch(len(shingles), values.astype(np.uint8))
 
 
 def digest(shingles: np.ndarray) -> bytes | None:

@@ -136,7 +136,10 @@ def test_vessel_documents(spark):
     rows = [("a", "A", "tanker", path(("2024-01-01T00:00:00Z", 28.0, -89.0), ("bad", 28.0, -89.0), ("2024-01-01T01:00:00Z", 28.1, -89.0))), ("b", "B", "tug", path(("bad", 28.0, -89.0))), ("c", "C", "tug", path(("2024-01-01T00:30:00Z", 29.5, -89.0)))]
     vessels = spark.createDataFrame(rows, "ship_id string, name string, type string, path array<struct<timestamp:string,lat:double,lon:double>>")
     grid = spark.createDataFrame([(28.0, -89.0, 1.0)], "lat double, lon double, p double")
+    assert tuple(correlate.weighted_origin(grid).first()) == (28.0, -89.0)
     got = correlate.ranked_documents(vessels, grid, 1704067200.0, 1704070800.0).collect()
+    twice = correlate.fixes_from_paths(vessels)
+    assert [r.suspicion_score for r in correlate.rank_vessels(twice.union(twice), grid, 1704067200.0, 1704070800.0).collect()] == [r.suspicion_score for r in got]
     assert [(r.ship_id, r.name, r.type) for r in got] == [("a", "A", "tanker"), ("c", "C", "tug")]
     assert [(p.lon, p.lat) for p in got[0].line] == [(-89.0, 28.0), (-89.0, 28.1)] and got[1].line is None and got[0].closest_time == "2024-01-01T00:00:00Z"
     assert [r.ship_id for r in correlate.sweep_order(correlate.rank_vessels(correlate.fixes_from_paths(vessels), grid, 1704067200.0, 1704070800.0)).collect()] == ["c", "a"]

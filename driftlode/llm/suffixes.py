@@ -33,12 +33,12 @@ from driftlode.llm.common import Scratch, batches_of, bit_filter, bits_set, free
 from driftlode.llm.scan import parts_of
 
 LENGTH, GRAM, WIDTH = 400, 32, 64
-PIECE = 1 << 20  # bytes that are looked at together
+PIECE = 1 << 18  # bytes that are looked at together
 GRAMS = LENGTH - GRAM + 1  # in a suffix
 CORE = LENGTH - WIDTH + 1  # bytes that all suffixes of a block have
 SIDES = WIDTH - 1  # bytes that a suffix has beside them
 PER_BLOCK = 40  # bytes of text for a block, about
-ROWS = 1 << 18  # of a bucket
+ROWS = 1 << 17  # of a bucket
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     plain = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.withColumn(body, plain).withColumn(text, F.unhex(F.sha2(body, 256))).withColumn(n, F.octet_length(body).cast("long"))
     looked = rows.select(F.col(text).alias("text"), F.xxhash64(text, F.col(f"`{id_col}`").cast("string")).alias("rep"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.col(n).alias("n_bytes"), F.col(body).alias("body"))
-    with batches_of(docs.sparkSession):
+    with batches_of(docs.sparkSession, 256, 1 << 22):
         spans = scratch.keep(repeated(looked, scratch), "spans")
         copies = scratch.keep(looked.where(F.col("n_bytes") >= LENGTH).groupBy("text").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).where("copies > 1"), "copies")
         some = scratch.keep(spans.join(copies, "text", "left_anti").withColumn("hash", F.xxhash64("text")), "some")

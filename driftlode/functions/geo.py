@@ -61,7 +61,7 @@ def vertices(rings: Column) -> Column:
 
 
 def require_wgs84(crs: Column) -> Column:
-    """EPSG:4326 (or null, taken for it); an error for any other system, as nothing here reprojects."""
+    """EPSG:4326 (or null, taken for it); an error for any other system, for what works in degrees alone; geodesic.to_wgs84 reprojects."""
     known = crs.isNull() | F.upper(crs).isin("EPSG:4326", "OGC:CRS84")
     return F.when(known, F.lit("EPSG:4326")).otherwise(F.raise_error(F.concat(F.lit("coordinates in "), crs, F.lit(" aren't supported"))).cast("string"))
 

@@ -126,11 +126,13 @@ def seed_disk(lat: float, lon: float, radius_km: float, n: int, rng: np.random.G
     return lat + r * np.sin(angle) / METRES_PER_DEGREE, lon + r * np.cos(angle) / (METRES_PER_DEGREE * max(abs(math.cos(math.radians(lat))), 1e-6))
 
 
-def inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+def inside(x: np.ndarray, y: np.ndarray, *rings: np.ndarray) -> np.ndarray:
+    """Whether points lie in a polygon of ``rings``, shells and holes alike."""
     hit = np.zeros(len(x), bool)
-    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        if ay != by:
-            hit ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+            if ay != by:
+                hit ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
     return hit
 
 
@@ -139,28 +141,45 @@ def opened(ring: np.ndarray) -> np.ndarray:
     return ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
 
 
-def centroid(ring: np.ndarray) -> np.ndarray:
-    """Planar centroid (lon, lat) of a ring; the mean of the vertices if it has no area."""
-    p = ring - ring[0]
-    q = np.roll(p, -1, axis=0)
-    cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
-    return ring[0] + ((p + q) * cross[:, None]).sum(axis=0) / (3 * cross.sum()) if abs(cross.sum()) > 1e-18 else ring.mean(axis=0)
+def centroid(shell: np.ndarray, *holes: np.ndarray) -> np.ndarray:
+    """Planar centroid (lon, lat) of a ring without its holes; the mean of the shell's vertices if it has no area."""
+    total = np.zeros(3)
+    for k, ring in enumerate((shell, *holes)):
+        p = ring - shell[0]
+        q = np.roll(p, -1, axis=0)
+        cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
+        total += np.sign(cross.sum()) * (-1 if k else 1) * np.array([cross.sum(), *((p + q) * cross[:, None]).sum(axis=0)])
+    return shell[0] + total[1:] / (3 * total[0]) if abs(total[0]) > 1e-18 else shell.mean(axis=0)
 
 
-def seed_polygon(ring: np.ndarray, n: int, rng: np.random.Generator):
-    """Uniform points in a lon/lat ring by rejection; what 200 rounds don't find is jittered about the centroid."""
-    got = np.empty((0, 2))
-    low, high = ring.min(axis=0), ring.max(axis=0)
+def seed_polygon(parts: list[list[np.ndarray]] | np.ndarray, n: int, rng: np.random.Generator):
+    """Uniform points in a polygon (parts of a shell and holes, or one lon/lat ring) by rejection; what 200 rounds don't find is jittered about the centroid."""
+    parts = parts if isinstance(parts, list) else [[parts]]
+    rings, got = [ring for part in parts for ring in part], np.empty((0, 2))
+    shells = np.vstack([part[0] for part in parts])
+    low, high = shells.min(axis=0), shells.max(axis=0)
     for _ in range(200):
         if len(got) >= n:
             break
         tried = rng.uniform(low, high, (max(4 * (n - len(got)), 64), 2))
-        got = np.vstack([got, tried[inside(tried[:, 0], tried[:, 1], ring)]])[:n]
+        got = np.vstack([got, tried[inside(tried[:, 0], tried[:, 1], *rings)]])[:n]
     if len(got) < n:
-        got = np.vstack([got, centroid(ring) + rng.normal(0, 1e-4, (n - len(got), 2))])
+        got = np.vstack([got, whole_centroid(parts) + rng.normal(0, 1e-4, (n - len(got), 2))])
     return got[:, 1], got[:, 0]
 
 
+def whole_centroid(parts: list[list[np.ndarray]]) -> np.ndarray:
+    """Centroid of all parts, each weighted by its area without the holes."""
+    size = [abs(_area2(part[0])) - sum(abs(_area2(hole)) for hole in part[1:]) for part in parts]
+    each = np.array([centroid(*part) for part in parts])
+    return (each * np.array(size)[:, None]).sum(axis=0) / sum(size) if sum(size) > 1e-18 else each.mean(axis=0)
+
+
+def _area2(ring: np.ndarray) -> float:
+    x, y = (ring - ring[0]).T
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
+
+
 def elongation(lat: np.ndarray, lon: np.ndarray) -> float:
     if len(lat) < 3:
         return 1.0
@@ -177,8 +196,8 @@ def hull_area_km2(lat: np.ndarray, lon: np.ndarray) -> float:
 MEMBER_SCHEMA = "detection long, seq long, hour double, alpha double, lat double, lon double, offset_km double, sim_area_km2 double, sim_elongation double, weight double"
 
 
-def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float | None, current, wind, cfg: Config, centre: tuple[float, float] | None = None) -> pd.DataFrame:
-    """Members of the backward ensemble of one detection. Its ring may be closed or not; an area that isn't positive is an error.
+def backtrack_one(detection: int, ring: np.ndarray | list[list[np.ndarray]], t: float, area_km2: float | None, current, wind, cfg: Config, centre: tuple[float, float] | None = None) -> pd.DataFrame:
+    """Members of the backward ensemble of one detection, a ring or parts with holes; rings may be closed or not, an area that isn't positive is an error.
 
     ``centre``: the detection's own (lon, lat), from which offsets are measured; the ring's centroid unless given.
 
@@ -186,13 +205,16 @@ def backtrack_one(detection: int, ring: np.ndarray, t: float, area_km2: float |
     centre and run forward again tells how well its place, size and shape agree with what was seen.
     Random numbers depend on the seed, the detection and the member, not on the order of the work.
     """
-    rng, ring = np.random.default_rng([cfg.seed, zlib.crc32(str(detection).encode())]), opened(ring)
-    seen_area = polygon_area_km2(ring[:, 0], ring[:, 1]) if area_km2 is None else area_km2
+    rng = np.random.default_rng([cfg.seed, zlib.crc32(str(detection).encode())])
+    parts = [[opened(r) for r in part] for part in (ring if isinstance(ring, list) else [[ring]])]
+    signed = [(-1 if k else 1) * polygon_area_km2(r[:, 0], r[:, 1]) for part in parts for k, r in enumerate(part)]
+    seen_area = sum(signed) if area_km2 is None else area_km2
     if not seen_area > 0:
         raise ValueError(f"detection {detection} has no area")
-    at_lon, at_lat = centroid(ring) if centre is None else centre
-    lat0, lon0 = seed_polygon(ring, cfg.particles_back, rng)
-    seen_elong = elongation(np.append(ring[:, 1], ring[0, 1]), np.append(ring[:, 0], ring[0, 0]))
+    at_lon, at_lat = whole_centroid(parts) if centre is None else centre
+    lat0, lon0 = seed_polygon(parts, cfg.particles_back, rng)
+    shells = np.vstack([np.vstack([part[0], part[0][:1]]) for part in parts])
+    seen_elong = elongation(shells[:, 1], shells[:, 0])
     hours, rows = hour_grid(cfg.min_hours, cfg.max_hours, cfg.hour_step), []
     for a, alpha in enumerate(windage_grid(cfg.windage, cfg.windage_jitter, cfg.windage_count)):
         back = integrate(lat0, lon0, t, float(hours.max()) * 3600, cfg.dt, alpha, current, wind, True, cfg.integrator, [h * 3600 for h in hours])
@@ -214,12 +236,16 @@ def spread(table: DataFrame, key: str) -> DataFrame:
 
 
 def backtrack(detections: DataFrame, current, wind=None, cfg: Config | None = None) -> DataFrame:
-    """Members for all detections (detection, ring array<struct<x,y>>, t, area_km2 and, if there, lat and lon), one group for each."""
+    """Members for all detections, one group for each.
+
+    detection, t, area_km2, ring array<struct<x,y>> or, with parts and holes, polygon (functions.polygon); and, if there, lat and lon.
+    """
     cfg, wind = cfg or Config(), wind or Constant()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        ring = np.array([(p["x"], p["y"]) for p in r.ring], float)
+        points = lambda ring: np.array([(p["x"], p["y"]) for p in ring], float)
+        ring = [[points(x) for x in part] for part in r.polygon] if "polygon" in pdf else points(r.ring)
         area = None if pd.isna(r.area_km2) else float(r.area_km2)
         use = replace(cfg, seed_radius_km=release_radius_km(area)) if area else cfg
         centre = (float(r.lon), float(r.lat)) if "lat" in pdf and not (pd.isna(r.lat) or pd.isna(r.lon)) else None

@@ -117,7 +117,7 @@ class Gyre:
         dy, dx = (lat - self.lat) * 111.32, (lon - self.lon) * (111.32 * math.cos(math.radians(self.lat)))
         r = np.hypot(dx, dy)
         safe = np.maximum(r, 1e-6)
-        s = self.speed * np.exp(-(r * r) / (2 * self.length_km**2)) * (0.6 + 0.4 * math.sin(2 * math.pi * t / self.period_s))
+        s = self.speed * np.exp(-(r * r) / (2 * self.length_km**2)) * (0.6 + 0.4 * np.sin(2 * math.pi * t / self.period_s))
         return s * (-dy / safe) + self.background[0] + self.strain * dx * 1000, s * (dx / safe) + self.background[1] - self.strain * dy * 1000
 
 

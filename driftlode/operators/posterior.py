@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlode.functions.geo import haversine_km
+from driftlode.functions.geodesic import distance_km
 from driftlode.functions.times import iso_text
 
 SIGMA_KM, SIGMA_AREA, SIGMA_ELONG, MASS, BIN = 8.0, 0.6, 0.5, 0.80, 0.05
@@ -20,10 +21,14 @@ def abc_weight(offset: Column, sim_area: Column, obs_area: Column, sim_elong: Co
 
 
 def normalised(members: DataFrame, weight: str = "weight") -> DataFrame:
-    """With ``p``: the weight's share in its detection, or an even share if the sum is no positive number."""
-    total = members.groupBy("detection").agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
+    """With ``p``: the weight's share in its detection, or an even share if the sum is no positive number.
+
+    Members of a null detection are a detection of their own; one shuffle.
+    """
+    own = Window.partitionBy("detection")
+    both = members.withColumns({"_w": F.sum(weight).over(own), "_n": F.count("*").over(own)})
     ok = (F.col("_w") > 0) & ~F.isnan("_w") & (F.col("_w") < float("inf"))
-    return members.join(total, "detection").withColumn("p", F.when(ok, F.col(weight) / F.when(ok, F.col("_w"))).otherwise(1 / F.col("_n"))).drop("_w", "_n")
+    return both.withColumn("p", F.when(ok, F.col(weight) / F.when(ok, F.col("_w"))).otherwise(1 / F.col("_n"))).drop("_w", "_n")
 
 
 def means(members: DataFrame) -> DataFrame:
@@ -68,11 +73,13 @@ def result(members: DataFrame, detections: DataFrame, size: float | None = BIN,
     )
 
 
-def uncertainty_radius(members: DataFrame) -> DataFrame:
-    """Weighted RMS distance of the members from their mean, by haversine."""
-    mean = means(members).select("detection", F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon"))
-    d = haversine_km(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon"))
-    return members.join(mean, "detection").groupBy("detection").agg(F.sqrt(F.sum(F.col("p") * d * d) / F.sum("p")).alias("radius_km"))
+def uncertainty_radius(members: DataFrame, geodesic: bool = False) -> DataFrame:
+    """Weighted RMS distance of the members from their mean, by haversine or on the WGS84 ellipsoid."""
+    own = Window.partitionBy("detection")
+    mean = lambda c: F.sum(F.col(c) * F.col("p")).over(own) / F.sum("p").over(own)
+    far = (distance_km if geodesic else haversine_km)(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon"))
+    each = members.withColumns({"m_lat": mean("lat"), "m_lon": mean("lon")}).withColumn("_d", far)
+    return each.groupBy("detection").agg(F.sqrt(F.sum(F.col("p") * F.col("_d") * F.col("_d")) / F.sum("p")).alias("radius_km"))
 
 
 def origin_grid(members: DataFrame, size: float = BIN) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlode.functions.geo import in_ring, polygon_area_km2, simplify
+from driftlode.functions.geo import polygon_area_km2, simplify
+from driftlode.functions.geodesic import lonlat_of_utm, utm_zone
+from driftlode.functions.polygon import KIND as POLYGON
+from driftlode.functions.polygon import rings
 from driftlode.operators.linking import kept, smallest_reachable
 
 TILE = 256
@@ -81,18 +85,46 @@ def local_variance(pixels: DataFrame, value: str, out: str, height: int | None =
     return both.withColumn(out, F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0))).drop("_m", "_m2")
 
 
-def water_mask(pixels: DataFrame, polygons: DataFrame, out: str = "water", cell: int = 256) -> DataFrame:
-    """``pixels`` with ``out``: whether no polygon (scene_id, ring array<struct<x,y>> in columns and rows) of land holds it.
+def land_spans(polygons: DataFrame, height: int | None = None) -> DataFrame:
+    """(scene_id, row, first, last): the runs of pixels of a row whose centres lie in a polygon of land.
 
-    Pixels and polygons meet by cells of ``cell`` x ``cell`` pixels that a polygon's box touches; without polygons all is water.
+    ``polygons``: scene_id and polygon (parts with holes, see functions.polygon) or ring, in columns and rows. Every side is cut with
+    the rows that it crosses; along a row of a polygon the cuts, in order, open and close its runs.
     """
-    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell)))
-    land = polygons.where(F.size("ring") > 2).select("scene_id", "ring", span(x).alias("_x"), y.alias("_ys")).select("scene_id", "ring", "_x", span(F.col("_ys")).alias("_y"))
-    at = pixels.withColumns({"_x": F.floor(F.col("col") / cell), "_y": F.floor(F.col("row") / cell)})
-    met = at.join(land, ["scene_id", "_x", "_y"]).where(in_ring(F.col("col"), F.col("row"), F.col("ring"))).select("scene_id", "row", "col").distinct()
-    hit = met.withColumn("_land", F.lit(True))
-    return pixels.join(hit, ["scene_id", "row", "col"], "left").withColumn(out, F.col("_land").isNull()).drop("_land")
+    shape = F.col("polygon") if "polygon" in polygons.columns else F.array(F.array("ring"))
+    # a polygon that comes twice counts once, so that its own corners tell it from others
+    each = polygons.select("scene_id", shape.alias("_p")).distinct().withColumn("_k", F.md5(F.to_json("_p"))).select("scene_id", "_k", F.explode(rings(F.col("_p"))).alias("r"))
+    sides = each.select("scene_id", "_k", F.posexplode("r").alias("i", "p"), "r").select("scene_id", "_k", "p", F.get("r", (F.col("i") + 1) % F.size("r")).alias("q"))
+    low, high = F.ceil(F.least("p.y", "q.y")), F.ceil(F.greatest("p.y", "q.y")) - 1
+    if height is not None:
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(height - 1))
+    rows = sides.withColumns({"_low": low, "_high": high}).where("_low <= _high").select("scene_id", "_k", "p", "q", F.explode(F.sequence("_low", "_high")).alias("row"))
+    x = (F.col("q.x") - F.col("p.x")) * (F.col("row") - F.col("p.y")) / (F.col("q.y") - F.col("p.y")) + F.col("p.x")
+    along = Window.partitionBy("scene_id", "_k", "row").orderBy("x")
+    runs = rows.select("scene_id", "_k", "row", x.alias("x")).select("scene_id", "row", "x", F.row_number().over(along).alias("n"), F.lead("x").over(along).alias("to"))
+    # a centre is inside from the one cut, included, to the next
+    return runs.where("n % 2 = 1").select("scene_id", "row", F.ceil("x").alias("first"), (F.ceil("to") - 1).alias("last")).where("first <= last")
+
+
+def water_mask(pixels: DataFrame, polygons: DataFrame | None, out: str = "water", cell: int = STRIP, height: int | None = None) -> DataFrame:
+    """``pixels`` with ``out``: whether no polygon of land (see land_spans) holds their centre.
+
+    By scanlines: polygons become runs of rows, runs two events each, and a running count of those along a row, in strips of ``cell``
+    pixels, tells how many cover a pixel; no polygon is carried to a pixel, no task needs a whole line. Without polygons all is water, with a warning, as land may then
+    be taken for a slick.
+    """
+    if polygons is None:
+        warnings.warn("no polygons of land: nothing is masked, and shadows of land may be taken for slicks", stacklevel=2)
+        return pixels.withColumn(out, F.lit(True))
+    spans = land_spans(polygons, height).withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))))
+    event = lambda at, by: F.struct(at.alias("at"), F.lit(by).alias("by"))
+    ends = F.array(event(F.greatest("first", F.col("_b") * cell), 1), event(F.col("last") + 1, -1))
+    turns = spans.select(F.col("scene_id").alias("_s"), F.col("row").alias("_r"), "_b", F.explode(ends).alias("e"))
+    turns = turns.groupBy("_s", "_r", "_b", F.col("e.at").alias("_c")).agg(F.sum("e.by").alias("_by"))
+    marked = pixels.withColumns({"_s": F.col("scene_id"), "_r": F.col("row").cast("long"), "_c": F.col("col").cast("long"), "_b": F.floor(F.col("col") / cell), "_by": F.lit(0).cast("long"), "_px": F.lit(True)})
+    along = Window.partitionBy("_s", "_r", "_b").orderBy("_c").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = marked.unionByName(turns, allowMissingColumns=True).withColumn("_on", F.sum("_by").over(along))
+    return covered.where("_px").withColumn(out, F.col("_on") <= 0).drop("_s", "_r", "_b", "_c", "_by", "_px", "_on")
 
 
 def land_masked(prob: Column, water: Column) -> Column:
@@ -237,28 +269,98 @@ def boundary_edges(labelled: DataFrame) -> DataFrame:
     return once.select("scene_id", "label", "e.*")
 
 
-OUTLINE_SCHEMA = "scene_id long, label long, ring array<struct<x:double,y:double>>, vertices int, rings int, lat double, lon double, area_km2 double"
+def simple_loops(ring: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The loops without repeated vertices that a ring falls into where it touches itself."""
+    loops, path, place = [], [], {}
+    for p in ring:
+        if p in place:
+            at = place[p]
+            loops.append(path[at:])
+            for q in path[at:]:
+                del place[q]
+            del path[at:]
+        place[p] = len(path)
+        path.append(p)
+    return [*loops, path]
+
+
+def corners(loop: np.ndarray) -> np.ndarray:
+    """The vertices at which a loop turns."""
+    before, after = loop - np.roll(loop, 1, axis=0), np.roll(loop, -1, axis=0) - loop
+    return loop[before[:, 0] * after[:, 1] != before[:, 1] * after[:, 0]]
+
+
+def parts_of(edges: np.ndarray) -> list[list[np.ndarray]]:
+    """The parts of the area that the directed unit edges (x, y, to x, to y) of an outline enclose: a shell and its holes each, by their corners.
+
+    Loops with the area at the right hand are shells, the others holes. A hole belongs to the ring that is met first from its
+    leftmost side to the left, found for all of them in one order of the upright sides by row and column; if that is a
+    hole too, to the same shell.
+    """
+    loops = [np.array(loop) for ring in outline_of(edges) for loop in simple_loops(ring)]
+    ahead = [np.roll(p, -1, axis=0) for p in loops]
+    hole = [(p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() < 0 for p, q in zip(loops, ahead, strict=True)]
+    upright = [p[:, 0] == q[:, 0] for p, q in zip(loops, ahead, strict=True)]
+    x = np.concatenate([p[v, 0] for p, v in zip(loops, upright, strict=True)])
+    y = np.concatenate([np.minimum(p[v, 1], q[v, 1]) for p, q, v in zip(loops, ahead, upright, strict=True)])
+    whose = np.repeat(np.arange(len(loops)), [v.sum() for v in upright])
+    order = np.lexsort((x, y))
+    left = np.empty(len(x), np.int64)
+    left[order] = np.concatenate([[-1], whose[order][:-1]])
+    owner = {k: k for k in range(len(loops)) if not hole[k]}
+    first = np.full(len(loops), -1)
+    by = np.lexsort((x, whose))
+    first[whose[by][::-1]] = by[::-1]  # the leftmost side of each loop
+    for k in sorted((k for k in range(len(loops)) if hole[k]), key=lambda k: x[first[k]]):
+        owner[k] = owner[int(left[first[k]])]
+    parts = {k: [corners(loops[k])] for k in range(len(loops)) if not hole[k]}
+    for k in range(len(loops)):
+        if hole[k]:
+            parts[owner[k]].append(corners(loops[k]))
+    return list(parts.values())
+
+
+def blob_polygons(labelled: DataFrame) -> DataFrame:
+    """(scene_id, label, polygon): blobs with all their parts and holes, by the corners of pixels in columns (x) and rows (y)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = [[[{"x": float(a), "y": float(b)} for a, b in loop] for loop in part] for part in parts_of(pdf[["x", "y", "to_x", "to_y"]].to_numpy())]
+        return pd.DataFrame([(pdf.scene_id.iloc[0], pdf.label.iloc[0], shape)], columns=["scene_id", "label", "polygon"])
+
+    edges = boundary_edges(labelled).select(F.col("scene_id").cast("long").alias("scene_id"), F.col("label").cast("long").alias("label"), "x", "y", "to_x", "to_y")
+    return edges.groupBy("scene_id", "label").applyInPandas(run, f"scene_id long, label long, polygon {POLYGON}")
 
 
-def detections_from_blobs(labelled: DataFrame, top: float, left: float, lat_step: float, lon_step: float, most: int = 40, fraction: float = 0.012) -> DataFrame:
-    """Blobs as detections: outline ring in lon (x) and lat (y), centroid, area in km2 without the holes.
+OUTLINE_SCHEMA = f"scene_id long, label long, ring array<struct<x:double,y:double>>, vertices int, rings int, polygon {POLYGON}, lat double, lon double, area_km2 double"
 
-    ``labelled``: scene_id, label, row, col. A pixel's corner (col, row) lies at latitude top - row * lat_step and longitude
-    left + col * lon_step (EPSG:4326). The longest outline is simplified to ``most`` vertices at most; centroid and
-    area are those of all pixels as they are. Each blob's outline is one group.
+
+def detections_from_blobs(labelled: DataFrame, top: float, left: float, lat_step: float, lon_step: float, most: int = 40, fraction: float = 0.012, crs: str | None = None) -> DataFrame:
+    """Blobs as detections: polygon with all parts and holes, outline for display, centroid, area in km2 without the holes.
+
+    ``labelled``: scene_id, label, row, col. A pixel's corner (col, row) lies at top - row * lat_step and left + col * lon_step,
+    degrees of latitude and longitude, or northing and easting of ``crs``, a UTM zone; polygons, places and areas are those in
+    degrees (EPSG:4326). ``polygon`` keeps every corner; ``ring`` is the longest shell, simplified to ``most`` vertices at most. Each
+    blob's outline is one group.
     """
+    zone = None if crs is None or crs.upper() in ("EPSG:4326", "OGC:CRS84") else utm_zone(crs)
+    if crs is not None and crs.upper() not in ("EPSG:4326", "OGC:CRS84") and zone is None:
+        raise ValueError(f"coordinates in {crs} aren't supported")
+    names = ["scene_id", "label", "ring", "vertices", "rings", "polygon", "lat", "lon", "area_km2"]
+
+    def lonlat(loop: np.ndarray) -> np.ndarray:
+        x, y = left + loop[:, 0] * lon_step, top - loop[:, 1] * lat_step
+        return np.column_stack([x, y] if zone is None else lonlat_of_utm(x, y, *zone))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [np.array(r, float) for r in outline_of(pdf[["x", "y", "to_x", "to_y"]].to_numpy())]
-        lonlat = [np.column_stack([left + r[:, 0] * lon_step, top - r[:, 1] * lat_step]) for r in rings]
-        parts = [_planar(r) for r in lonlat]  # holes run the other way, and so count against
-        whole = sum(p[0] for p in parts)
-        lon, lat = (sum(p[0] * p[k] for p in parts) / whole for k in (1, 2))
-        signs = [np.sign(p[0]) * np.sign(whole) for p in parts]
-        area = sum(k * polygon_area_km2(r[:, 0], r[:, 1]) for k, r in zip(signs, lonlat, strict=True))
-        ring = simplify(lonlat[int(np.argmax([abs(p[0]) for p in parts]))], most, fraction)
-        points = [{"x": float(a), "y": float(b)} for a, b in ring]
-        return pd.DataFrame([(pdf.scene_id.iloc[0], pdf.label.iloc[0], points, len(points), len(rings), lat, lon, area)], columns=[c.split()[0] for c in OUTLINE_SCHEMA.replace("struct<x:double,y:double>", "").split(", ")])
+        parts = [[lonlat(loop.astype(float)) for loop in part] for part in parts_of(pdf[["x", "y", "to_x", "to_y"]].to_numpy())]
+        role = [(1 if k == 0 else -1, loop) for part in parts for k, loop in enumerate(part)]
+        planar = [(k * abs(a), x, y) for k, loop in role for a, x, y in [_planar(loop)]]
+        whole = sum(a for a, *_ in planar)
+        lon, lat = (sum(p[0] * p[k] for p in planar) / whole for k in (1, 2))
+        area = sum(k * polygon_area_km2(loop[:, 0], loop[:, 1]) for k, loop in role)
+        ring = simplify(max((part[0] for part in parts), key=lambda r: abs(_planar(r)[0])), most, fraction)
+        points = lambda loop: [{"x": float(a), "y": float(b)} for a, b in loop]
+        return pd.DataFrame([(pdf.scene_id.iloc[0], pdf.label.iloc[0], points(ring), len(ring), len(role), [[points(loop) for loop in part] for part in parts], lat, lon, area)], columns=names)
 
     edges = boundary_edges(labelled).select(F.col("scene_id").cast("long").alias("scene_id"), F.col("label").cast("long").alias("label"), "x", "y", "to_x", "to_y")
     return edges.groupBy("scene_id", "label").applyInPandas(run, OUTLINE_SCHEMA)
@@ -366,5 +468,5 @@ def segment(tiles_df: DataFrame, model, schema: str) -> DataFrame:
 
 
 __all__ = [
-    "binarize", "blob_features", "boundary_edges", "box_means", "box_sums", "calibrate", "class_balance", "components", "detections_from_blobs", "ellipse_elongation", "extreme_3x3", "label_mask", "land_masked", "lee_filter", "local_variance", "mask_scores", "open_close", "open_mask", "outline", "outline_of", "primary_component", "primary_uv", "segment", "stitch", "tile_starts", "tiles", "to_byte", "to_db", "variants", "water_mask",
+    "binarize", "blob_features", "blob_polygons", "boundary_edges", "box_means", "box_sums", "calibrate", "class_balance", "components", "detections_from_blobs", "ellipse_elongation", "extreme_3x3", "label_mask", "land_masked", "land_spans", "lee_filter", "local_variance", "mask_scores", "open_close", "open_mask", "outline", "outline_of", "parts_of", "primary_component", "primary_uv", "segment", "stitch", "tile_starts", "tiles", "to_byte", "to_db", "variants", "water_mask",
 ]

@@ -377,9 +377,13 @@ def blob_features(s, d):
     return f.select("label", *whole, *means, r("texture_local_variance", 5).alias("texture_local_variance"))
 
 
+def outlined(blobs: DataFrame) -> DataFrame:
+    """Blobs of the mosaic as detections in degrees."""
+    return raster.detections_from_blobs(blobs, 28.5, -89.3, 0.00213179, 0.00257173)
+
+
 def slicks(s, d) -> DataFrame:
-    """The mosaic's blobs as detections in degrees."""
-    return raster.detections_from_blobs(labelled(s, d), 28.5, -89.3, 0.00213179, 0.00257173)
+    return outlined(labelled(s, d))
 
 
 @query(
@@ -393,9 +397,10 @@ def slick_centroids(s, d):
 
 @query()
 def slick_origin(s, d):
-    """From the raster to the origin: the mosaic's largest blob, its outline, the backward ensemble and its result."""
-    top = raster.primary_component(labelled(s, d), 6).select("scene_id", "label")
-    found = slicks(s, d).join(top, ["scene_id", "label"]).select(F.col("label").alias("detection"), "ring", "lat", "lon", F.lit(START).alias("t"), "area_km2")
+    """From the raster to the origin: the mosaic's largest blob, its polygon, the backward ensemble and its result."""
+    blobs = labelled(s, d)
+    top = raster.primary_component(blobs, 6).select("scene_id", "label")
+    found = outlined(blobs.join(top, ["scene_id", "label"], "left_semi")).select(F.col("label").alias("detection"), "polygon", "lat", "lon", F.lit(START).alias("t"), "area_km2")
     return posterior.result(posterior.normalised(drift.backtrack(found, GYRE)), found)
 
 
@@ -754,3 +759,6 @@ def iso_times(s, d):
 def service_health(s, d):
     t = s.read.parquet(f"{d}/supplier.parquet").withColumn("up", F.col("s_acctbal") > -1e4)
     return catalog.health(t).crossJoin(t.agg(F.count("*").alias("n")))
+
+
+from driftlode.plans import geometry, tracks  # noqa: E402, F401  they register their queries

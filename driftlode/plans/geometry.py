@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlode.functions import geodesic, polygon
-from driftlode.operators import posterior, raster
+from driftlode.operators import hull, posterior, raster
 from driftlode.plans.queries import LABELLED, MEMBERS, PIXELS, labelled, members, query, r
-from driftlode.plans.views import view
+from driftlode.plans.views import sql, view
 
 
 @query(
@@ -114,3 +114,19 @@ select detection, round(sqrt(sum(p * metres * metres) / sum(p)) / 1e3, 5) as rad
 def posterior_radius_wgs84(s, d):
     """The weighted RMS distance from the mean, on the ellipsoid."""
     return posterior.uncertainty_radius(members(s, d), True).select("detection", r("radius_km", 5).alias("radius_km"))
+
+
+@query(
+    f"""with {sql("fix")}, p as (select distinct ship_id, cast(round(lon * 1000) as bigint) as x, cast(round(lat * 1000) as bigint) as y from fix),
+side as (select a.ship_id, a.x, a.y, b.x as u, b.y as v from p a join p b on a.ship_id = b.ship_id and (a.x <> b.x or a.y <> b.y)),
+edge as (select side.ship_id, side.x, side.y, u, v from side join p c on c.ship_id = side.ship_id group by all
+    having bool_and((u - side.x) * (c.y - side.y) - (v - side.y) * (c.x - side.x) > 0
+        or (u - side.x) * (c.y - side.y) = (v - side.y) * (c.x - side.x) and (c.x - side.x) * (c.x - u) + (c.y - side.y) * (c.y - v) <= 0)),
+n as (select ship_id, count(*) as n from fix group by 1), h as (select ship_id, count(*) as corners, sum(x * v - u * y) / 2e6 as area from edge group by 1 having count(*) > 2)
+select n.ship_id, n.n, h.corners, round(h.area, 9) as area from n left join h using (ship_id)"""
+)
+def track_hulls(s, d):
+    """The convex hull of each vessel's track, in square degrees, from partial hulls."""
+    out = hull.hulls(view(s, d, "fix").select("ship_id", F.round(F.col("lon") * 1000).alias("x"), F.round(F.col("lat") * 1000).alias("y")), "ship_id")
+    corners = F.when(F.col("ring").isNotNull(), F.size("ring").cast("long"))
+    return out.select("ship_id", "n", corners.alias("corners"), r(polygon.area(polygon.of_ring(F.col("ring"))) / 1e6, 9).alias("area"))

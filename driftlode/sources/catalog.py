@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,20 +76,25 @@ def without_id(table: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with every field of ``new`` set in rows of its keys, nulls too; fields it lacks stay, and new keys are added."""
-    a, b = old.withColumn("_a", F.lit(True)).alias("a"), new.withColumn("_b", F.lit(True)).alias("b")
-    both = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
+    """``old`` with every field of ``new`` set in rows of its keys, nulls too; fields it lacks stay, and new keys are added.
+
+    A key that ``new`` repeats is an error when the result is read, as it can't be told which of the rows holds; repeated keys of
+    ``old`` are all updated. Rows of ``new`` with a null key are added as they are. No column name is reserved.
+    """
     names = [*old.columns, *(c for c in new.columns if c not in old.columns)]
+    once = F.when(F.count("*").over(Window.partitionBy(F.col(f"`{key}`"))) > 1, F.raise_error(F.concat(F.lit("a key comes twice in the new rows: "), F.col(f"`{key}`").cast("string"))).cast("boolean")).otherwise(True)
+    keyed = new.where(F.col(f"`{key}`").isNotNull())
+    whole = lambda df: F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    a = old.select(F.col(f"`{key}`").alias("k"), whole(old).alias("a"))
+    b = keyed.select(F.col(f"`{key}`").alias("k"), whole(keyed).alias("b"), once.alias("once"))
+    both = a.join(b, "k", "full")
 
     def value(c: str) -> Column:
-        if c == key:
-            return F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
-        if c not in new.columns:
-            return F.col(f"a.{c}").alias(c)
-        kept = F.col(f"a.{c}") if c in old.columns else F.lit(None)
-        return F.when(F.col("_b"), F.col(f"b.{c}")).otherwise(kept).alias(c)
+        mine = F.col("a").getField(c) if c in old.columns else F.lit(None)
+        return (F.when(F.col("once"), F.col("b").getField(c)).otherwise(mine) if c in new.columns else mine).alias(c)
 
-    return both.select(*[value(c) for c in names])
+    loose = new.where(F.col(f"`{key}`").isNull())
+    return both.select(*map(value, names)).unionByName(loose, allowMissingColumns=True)
 
 
 def assign_splits(samples: DataFrame, splits: DataFrame, val_percent: int = 10) -> DataFrame:
@@ -108,11 +113,26 @@ def write_json(table: DataFrame, path: str) -> None:
 
 
 def replace_table(table: DataFrame, path: str) -> None:
-    """Replace all rows at ``path``. The new rows may come from the old ones: they are written beside these first."""
-    spark = table.sparkSession
-    beside = f"{path.rstrip('/')}.new"
-    table.write.mode("overwrite").parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
+    """Replace all rows at ``path``, or none: the new rows, which may come from the old ones, are written beside them and then take their name.
+
+    Until the new rows are complete the old ones stay where they are; then these are moved aside, and back again if the new ones
+    can't be moved in. What an earlier run that broke off has left beside is cleared, and put back where ``path`` is missing.
+    """
+    spark, end = table.sparkSession, path.rstrip("/")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    here, fresh, aside = (hadoop.Path(p) for p in (end, f"{end}.new", f"{end}.old"))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(aside) and not store.exists(here) and not store.rename(aside, here):
+        raise OSError(f"{end} can't be put back")
+    table.write.mode("overwrite").parquet(f"{end}.new")
+    store.delete(aside, True)
+    if store.exists(here) and not store.rename(here, aside):
+        raise OSError(f"{end} can't be moved")
+    if not store.rename(fresh, here):
+        store.rename(aside, here)
+        raise OSError(f"{end}.new can't be moved")
+    store.delete(aside, True)
+    spark.catalog.refreshByPath(end)
 
 
 def cached_field(cache: DataFrame, key: str, now: float, ttl: float, load: Callable[[], str]) -> tuple[str, DataFrame]:

@@ -138,21 +138,45 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+PIECE = 4096  # code points of a text that are masked together
+
+
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every found secret replaced by ``mask``; overlapping finds give one mask.
 
-    Null texts stay null, texts without finds stay as they are, all rows and columns stay; an empty table stays empty.
+    The text is cut into pieces of PIECE code points in one pass, finds are cut where pieces end, and each piece is masked by itself, so that no
+    place of a long text is counted from its beginning. Null texts stay null, texts without finds stay as they are, all
+    rows and columns stay; an empty table stays empty.
     """
     text = F.col(f"`{text_col}`")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        piece = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        out = F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(piece, F.lit(mask))))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(s: Column) -> Column:
+        """A find by pieces: number of the piece, whether the find began before it, begin and end within it."""
+        last = F.floor((s["end"] - 1) / PIECE).cast("int")
+        first = F.floor(s["start"] / PIECE).cast("int")
+        inside = lambda k: F.struct(k.alias("k"), F.greatest(s["start"] - k * PIECE, F.lit(0)).alias("a"), (k == first).alias("new"), F.least(s["end"] - k * PIECE, F.lit(PIECE)).alias("b"))
+        return F.transform(F.sequence(first, last), inside)
+
+    def masked(piece: Column, finds: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            more = F.concat(a["out"], F.array(F.substring(piece, a["at"] + 1, s["a"] - a["at"]), F.lit(mask)))
+            return F.struct(F.greatest(a["at"], s["b"]).alias("at"), F.when(s["new"] & (s["a"] >= a["at"]), more).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(finds, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(piece, a["at"] + 1, F.lit(PIECE))))
+
+    def whole(x: Column) -> Column:
+        def one(piece: Column, k: Column) -> Column:
+            first = F.array_position(x["ks"], k)
+            last = F.size(x["ks"]) + 1 - F.array_position(x["back"], k)
+            return F.when(first == 0, piece).otherwise(masked(piece, F.slice(x["finds"], F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))))
+
+        return F.array_join(F.transform(x["pieces"], one), "")
 
-    def close(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text)))
+    def numbered(finds: Column) -> Column:
+        ks = F.transform(finds, lambda f: f["k"])
+        return F.struct(finds.alias("finds"), ks.alias("ks"), F.reverse(ks).alias("back"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
 
     own = free_name(docs)
-    return find_secrets(docs, text_col, own).withColumn(text_col, F.when(F.size(own) > 0, F.aggregate(F.col(own), zero, step, close)).otherwise(text)).drop(own)
+    new = _bound(_bound(F.array_sort(F.flatten(F.transform(F.col(own), cut))), numbered), whole)
+    return find_secrets(docs, text_col, own).withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(text)).drop(own)

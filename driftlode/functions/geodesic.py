@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftlode.functions.geo import WGS84_A, WGS84_F, haversine_km
 
-ROUNDS, SETTLED = 20, 1e-11
+ROUNDS, SETTLED = 20, 1e-13
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

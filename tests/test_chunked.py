@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from driftlode.operators import chunked, correlate, drift, field
 
 FIELD = "t double, lat double, lon double, u double, v double"
@@ -81,3 +83,18 @@ def test_every_detection_as_if_alone(spark):
     for d, start, end in windows:
         for r in correlate.score_vessels(df, grids.where(f"detection = {d}"), start, end).collect():
             assert got[d, r.ship_id] == pytest.approx((r.suspicion_score, r.closest_distance_km, r.positions_in_window, r.grid_weighted_proximity), abs=1e-9)
+
+
+def test_proximity_to_very_many_cells(spark):
+    rng = random.Random(9)
+    spots = [(28.3, -89.2), (0.0, 179.9), (-0.5, -179.9), (89.6, 10.0), (-89.9, -120.0), (60.0, 0.0)]
+    around = lambda n, wide: [(max(-90.0, min(90.0, a + rng.gauss(0, wide))), (o + rng.gauss(0, wide * (20 if abs(a) > 80 else 1)) + 180) % 360 - 180) for a, o in spots for _ in range(n)]
+    cells, places = around(400, 0.9), around(25, 1.2)
+    grid = spark.createDataFrame([(*c, 1 / len(cells)) for c in cells], "lat double, lon double, p double")
+    at = spark.createDataFrame([*places, places[0]], "lat double, lon double")
+    got = {(r.lat, r.lon): r.prox for r in correlate.proximity_of_places(at, grid).collect()}
+    want = at.distinct().crossJoin(F.broadcast(correlate.packed(grid))).select("lat", "lon", correlate.proximity(F.col("lat"), F.col("lon"), F.col("cells")).alias("prox")).collect()
+    assert len(got) == len(want) == len(set(places)) and all(abs(got[r.lat, r.lon] - r.prox) <= 2e-8 for r in want) and max(got.values()) > 1e-3
+    fixes = spark.createDataFrame([(k % 7, k, 3600.0 * (k % 50), *p) for k, p in enumerate(places)] + [(1, 900, 10.0, *places[0])] * 2, "ship_id long, seq long, t double, lat double, lon double")
+    both = [sorted(map(tuple, correlate.score_vessels(fixes, grid, 0.0, 90_000.0, many_cells=many).collect())) for many in (False, True)]
+    assert len(both[0]) == 7 and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(*both, strict=True))

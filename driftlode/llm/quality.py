@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.common import free_name, materialize, small_batches
+from driftlode.llm.common import materialize, small_batches
 
 SAMPLE, STEPS, L2 = 8000, 25, 1e-2
 SITE_WEIGHT = 0.25
@@ -71,12 +71,13 @@ def _listed(texts: pd.Series) -> pd.Series:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fit on at most ``sample`` labelled documents, those of the smallest id hashes.
 
+    Of labels that repeat an id the largest counts, of documents that do the row whose text has the smallest hash.
     With no label, or labels of one kind, every document scores even odds.
     """
-    mark = free_name(docs, labels)
-    some = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(id_col, F.col("quality").alias(mark)).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    some = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     told = F.pandas_udf(_listed, "array<double>")
-    got = docs.join(F.broadcast(some), id_col).select(id_col, told(F.col(f"`{text_col}`").cast("string")).alias("x"), mark).collect()  # `sample` short rows at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(some), "id")
+    got = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("id", told("text").alias("x"), "y").collect()  # `sample` short rows at most
     got.sort(key=lambda r: r[0])
     y = np.array([r[2] for r in got], float)
     if not len(y) or y.min() == y.max():

@@ -186,14 +186,16 @@ def _thinned(chosen: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[Link], float]:
     """Fit the chain on at most ``sample`` labelled documents, those of the smallest id hashes.
 
-    ``categories``: name -> SQL condition over the columns of documents and labels; null counts as false.
+    ``categories``: name -> SQL condition over the columns of documents and labels; null counts as false. Of labels that repeat an
+    id the largest value of each column counts, of documents that do the one row whose text has the smallest hash.
     The threshold comes with it. Without labelled documents nothing is rejected.
     """
     scratch, m = Scratch(), len(categories)
-    some = labels.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    told = docs.join(F.broadcast(some), id_col)  # `sample` rows at most
+    once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*(F.max(f"`{c}`").alias(c) for c in labels.columns if c != id_col))
+    told = docs.join(F.broadcast(once.orderBy(F.xxhash64(id_col), id_col).limit(sample)), id_col)  # `sample` ids at most
     fold = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit("fold")), F.lit(FOLDS)).cast("int")
-    rows = told.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), fold, F.array(*[F.coalesce(F.expr(c).cast("int"), F.lit(0)) for c in categories.values()]))
+    each = told.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold.alias("fold"), F.array(*[F.coalesce(F.expr(c).cast("int"), F.lit(0)) for c in categories.values()]).alias("y"))
+    rows = each.groupBy("id").agg(F.min_by(F.struct("text", "fold", "y"), F.xxhash64("text", "y")).alias("r")).select("id", "r.text", "r.fold", "r.y")
     shape = "id long, found binary, value binary, fold int, y array<int>"
     known = scratch.keep(rows.mapInArrow(_extract, shape), "features")
     classes = known.groupBy("fold").agg(F.count("*"), *[F.sum(F.get("y", F.lit(c))) for c in range(m)]).collect()  # FOLDS rows

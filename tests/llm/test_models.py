@@ -135,3 +135,15 @@ def test_columns_of_the_same_names_stay(spark):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {(r.toxic, r.p_toxic, r["_own0"], r["_p"]) for r in kept.collect()} == {(5, 6, 7, 9)}
     assert quality.classify(docs, labels).count() == 40
+
+
+def test_repeated_labels_and_documents_give_one_model(spark):
+    """Labels that repeat an id with other values, and an id that very many rows have: the same model as from one row each."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    lower = labels.selectExpr("doc_id", "0L as quality", "cast(null as bigint) as toxic")
+    first = labels.orderBy("doc_id").select("doc_id").first()[0]
+    hot = docs.where(f"doc_id = {first}").crossJoin(spark.range(500).select()).union(docs)
+    sure, unsure = toxicity.train(docs, labels, CATEGORIES), toxicity.train(hot.repartition(5), lower.unionByName(labels.select(lower.columns)).repartition(3), CATEGORIES)
+    assert sure[1] == pytest.approx(unsure[1]) and all(np.array_equal(a.chosen, b.chosen) and np.allclose(a.weights, b.weights) for a, b in zip(sure[0], unsure[0], strict=True))
+    a, b = quality.train(docs, labels), quality.train(hot, lower.unionByName(labels.select(lower.columns)))
+    assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlode.llm.collisions import linked, sketch
+from driftlode.llm.collisions import HEAD, linked
 from driftlode.llm.common import Scratch, bit_filter, bits_set, free_name, join_hot, materialize, slices, small_batches
 from driftlode.llm.minhash import mixed
 
@@ -57,12 +57,22 @@ def shingle_set(line: str, width: int = SHINGLE) -> np.ndarray:
     return _whole(line) if len(line) < width else np.unique(_rolled(_points(line), width))
 
 
-def _bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minima (lines x BINS) to a 64-bit value for each line and band, and a byte for each of the KEPT minima."""
-    total = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
+def _bytes(low: np.ndarray) -> np.ndarray:
+    """Minima (lines x BINS) to a byte for each."""
+    return mixed(low).astype(np.uint8)
+
+
+def _bands(held: np.ndarray) -> np.ndarray:
+    """The bytes of minima (lines x BINS) to a 64-bit value for each line and band: lines whose minima agree in a band have the same, others by a chance of 2**-48."""
+    total = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(held), 1))
     for i in range(ROWS):
-        total = mixed(total + low[:, i::ROWS] * _PLACE[16 + i])
-    return total.view(np.int64), mixed(low[:, :KEPT]).astype(np.uint8)
+        total = mixed(total + held[:, i::ROWS].astype(np.uint64) * _PLACE[16 + i])
+    return total.view(np.int64)
+
+
+def _coords(held: pa.Array) -> pa.Array:
+    flat = _bands(np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(-1, BINS))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
 
 
 def _filled(low: np.ndarray) -> np.ndarray:
@@ -180,10 +190,9 @@ def _signed(repeated: np.ndarray, width: int):
                     manys.append(many[new])
                     wanted += [lines[own[k]] for k in new]
             both, at = np.concatenate(keys), pa.array(at, pa.int64())
-            flat, low = _bands(minima(wanted, width))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS, dtype=np.int32)), pa.array(flat.ravel()))
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), listed, pa.array([sketch(0, x) for x in low], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "line", "hi", "lo", "many", "coords", "sketch"])
+            held = pa.array([x.tobytes() for x in _bytes(minima(wanted, width))], pa.binary())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(manys)), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "line", "hi", "lo", "many", "held"])
 
     return run
 
@@ -214,13 +223,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = scratch.keep(rows.mapInArrow(_placed, "doc long, row long, line int, hi long, lo long"), "lines")
     place = F.struct("doc", "row", "line")
     repeated = scratch.keep(slim.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
-    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo"), width), "doc long, row long, line int, hi long, lo long, many boolean, coords array<long>, sketch binary")
+    signed = rows.mapInArrow(_signed(bit_filter(repeated, "lo"), width), "doc long, row long, line int, hi long, lo long, many boolean, held binary")
     signed = scratch.keep(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
     # of the lines that several tasks met, one row
     firsts = signed.where("many").groupBy("hi", "lo").agg(F.min("uid").alias("uid")).select("uid")
     firsts = scratch.keep(firsts, "firsts")
-    again = scratch.keep(signed.where("many").join(firsts, "uid").select("uid", "coords", "sketch"), "again")
-    items = signed.where("not many").select("uid", "coords", "sketch").union(again).withColumnRenamed("uid", "node")
+    again = scratch.keep(signed.where("many").join(firsts, "uid").select("uid", "held"), "again")
+    # bands and sketches are worked out from the bytes where they are needed, so that no table holds all three
+    head = F.lit(bytearray(HEAD))
+    items = signed.where("not many").select("uid", "held").union(again).select(F.col("uid").alias("node"), F.arrow_udf(_coords, "array<long>")("held").alias("coords"), F.concat(head, F.substring("held", 1, KEPT)).alias("sketch"))
     keyed = signed.select(F.col("uid").alias("node"), "hi", "lo", place.alias("own"))
 
     def texts(nodes: DataFrame) -> DataFrame:

@@ -173,7 +173,8 @@ def test_banding_finds_lines_at_the_threshold():
             for row, own in ((2 * k, h[:n]), (2 * k + 1, h[n - common :])):
                 at = ((own >> np.uint64(40)) * np.uint64(linededup.BINS) >> np.uint64(24)).astype(int)
                 np.minimum.at(low[row], at, own & linededup.VALUE)
-        bands, sketch = linededup._bands(linededup._filled(low))
+        held = linededup._bytes(linededup._filled(low))
+        bands, sketch = linededup._bands(held), held[:, : linededup.KEPT]
         found = (bands[::2] == bands[1::2]).any(axis=1) & ((sketch[::2] == sketch[1::2]).sum(axis=1) >= linededup.LEAST)
         missed += 1000 - int(found.sum())
     assert missed <= 15

@@ -13,7 +13,7 @@ from driftlode.llm import queries, toxicity
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return c
 

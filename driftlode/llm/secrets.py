@@ -133,6 +133,11 @@ def base_spans(secrets: Column) -> Column:
     return F.filter(secrets, lambda s: s["rank"] < len(BASE))
 
 
+def count_of(secrets: Column | str, kind: str) -> Column:
+    """How many finds are of ``kind``."""
+    return F.size(F.filter(secrets, lambda s: s["kind"] == kind)).cast("long")  # a second parameter would be the index
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -61,3 +61,12 @@ def test_masks_of_many_finds_in_linear_time(spark):
     got = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
     assert time.time() - began < 60
     assert got == {k: None if t is None else plain_mask(t, found[k]) for k, t in enumerate(texts)} and len(found[0]) == 32_000
+
+
+def test_counts_are_those_of_the_kinds(spark, tmp_path):
+    """Finds of several kinds in any order; places don't tell the kind."""
+    key, run = "AKIA" + "Q" * 16, "0123456789abcdef" * 2
+    texts = [f"{run} {key} secret=abcdef {key}", f"{key} {key} {key}", f"token: abcdef {run}. {run} {run}", "password=abc", "", None]
+    spark.createDataFrame(list(enumerate(texts)), SHAPE).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in queries.op2_secrets(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 2, 1), 1: (0, 3, 0), 2: (1, 0, 3), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0)}

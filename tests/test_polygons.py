@@ -3,6 +3,7 @@
 import math
 import random
 import warnings
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -80,6 +81,22 @@ def test_detections_and_backtrack_with_a_hole(spark):
     assert [m.hour for m in members] == [1.0, 3.0] and all(0 <= m.weight <= 1 for m in members)
 
 
+def test_backtrack_of_parts_with_rings_of_different_lengths(spark):
+    """Two parts, one of them with a hole: all as the operator without Spark gives it, and the whole way of the query to its result."""
+    picture = ["####....", "#..#....", "#.##....", "####.###", ".....##.", "....####"]
+    found = raster.detections_from_blobs(blob(spark, picture), 28.5, -89.3, 0.002, 0.002).withColumn("detection", F.lit(7)).withColumn("t", F.lit(1704067200.0))
+    row = found.first()
+    assert len({len(r) for part in row.polygon for r in part}) > 1
+    small = drift.Config(max_hours=3.0, particles_back=40, particles_forward=30)
+    got = drift.backtrack(found, drift.Constant(0.1, 0.0), cfg=small)
+    parts = [[np.array([(p.x, p.y) for p in r]) for r in part] for part in row.polygon]
+    use = replace(small, seed_radius_km=drift.release_radius_km(row.area_km2))
+    want = drift.backtrack_one(7, parts, row.t, row.area_km2, drift.Constant(0.1, 0.0), drift.Constant(), use, (row.lon, row.lat))
+    assert np.allclose(got.orderBy("seq").toPandas().to_numpy(float), want.to_numpy(float))
+    (doc,) = posterior.result(posterior.normalised(got), found).collect()
+    assert doc.n_ensemble_members == 2
+
+
 def test_detections_in_a_utm_zone(spark):
     picture = ["###", "#.#", "###"]
     east, north = 444_000.0, 3_685_000.0

@@ -130,18 +130,28 @@ def geodesic(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
 
 def polygon_area_km2(lon: np.ndarray, lat: np.ndarray) -> float:
     """Area of a lon/lat ring on the azimuthal equidistant plane about its centroid."""
-    if len(lon) < 3:
-        return 0.0
-    nx, ny = np.roll(lon, -1), np.roll(lat, -1)
-    # the ring is shifted to its first vertex, as the products of degrees lose digits
-    x, y, nx, ny = lon - lon[0], lat - lat[0], nx - lon[0], ny - lat[0]
-    cross = x * ny - nx * y
-    if abs(cross.sum()) < 1e-18:
-        return 0.0
-    cx, cy = lon[0] + ((x + nx) * cross).sum() / (3 * cross.sum()), lat[0] + ((y + ny) * cross).sum() / (3 * cross.sum())
-    s, az = geodesic(cy, cx, lat, lon)
-    px, py = s * np.sin(az), s * np.cos(az)
-    return float(abs((px * np.roll(py, -1) - np.roll(px, -1) * py).sum()) / 2e6)
+    return polygon_areas_km2([np.column_stack([lon, lat])])[0]
+
+
+def polygon_areas_km2(rings: list[np.ndarray]) -> list[float]:
+    """polygon_area_km2() of each ring (n x 2, lon and lat); the distances of all of them are taken together."""
+    out, known = [0.0] * len(rings), []
+    for k, ring in enumerate(rings):
+        if len(ring) < 3:
+            continue
+        # the ring is shifted to its first vertex, as the products of degrees lose digits
+        (x, y), (nx, ny) = (ring - ring[0]).T, (np.roll(ring, -1, axis=0) - ring[0]).T
+        cross = x * ny - nx * y
+        if abs(cross.sum()) >= 1e-18:
+            known.append((k, ring, ring[0] + np.array([((x + nx) * cross).sum(), ((y + ny) * cross).sum()]) / (3 * cross.sum())))
+    if known:
+        sizes = [len(ring) for _, ring, _ in known]
+        (lon, lat), (cx, cy) = np.vstack([ring for _, ring, _ in known]).T, np.repeat([c for *_, c in known], sizes, axis=0).T
+        s, az = geodesic(cy, cx, lat, lon)
+        ends = np.cumsum(sizes)[:-1]
+        for (k, *_), px, py in zip(known, np.split(s * np.sin(az), ends), np.split(s * np.cos(az), ends), strict=True):
+            out[k] = float(abs((px * np.roll(py, -1) - np.roll(px, -1) * py).sum()) / 2e6)
+    return out
 
 
 def convex_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:

@@ -61,9 +61,9 @@ def bilinear(points: DataFrame, nodes: DataFrame, lat0: float, lon0: float, step
 
 
 class Field(Protocol):
-    """What moves particles: eastward and northward m/s at places and one time, for arrays."""
+    """What moves particles: eastward and northward m/s at places, for arrays, and at one time or at times that broadcast against the places."""
 
-    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]: ...
+    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]: ...
 
 
 def velocity_column(source: Field, lat: Column, lon: Column, t: Column) -> Column:
@@ -113,12 +113,23 @@ class Gyre:
         s = self.speed * F.exp(-(r * r) / (2 * self.length_km**2)) * (0.6 + 0.4 * F.sin(2 * math.pi * t / self.period_s))
         return s * (-dy / safe) + self.background[0] + self.strain * dx * 1000, s * (dx / safe) + self.background[1] - self.strain * dy * 1000
 
-    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         dy, dx = (lat - self.lat) * 111.32, (lon - self.lon) * (111.32 * math.cos(math.radians(self.lat)))
-        r = np.hypot(dx, dy)
-        safe = np.maximum(r, 1e-6)
-        s = self.speed * np.exp(-(r * r) / (2 * self.length_km**2)) * (0.6 + 0.4 * np.sin(2 * math.pi * t / self.period_s))
-        return s * (-dy / safe) + self.background[0] + self.strain * dx * 1000, s * (dx / safe) + self.background[1] - self.strain * dy * 1000
+        r2 = dx * dx
+        r2 += dy * dy
+        r = np.maximum(np.sqrt(r2), 1e-6)
+        r2 *= -1 / (2 * self.length_km**2)
+        s = np.exp(r2) * (self.speed * (0.6 + 0.4 * np.sin(2 * math.pi * t / self.period_s)))
+        s /= r
+        v = s * dx
+        s *= dy
+        dx *= self.strain * 1000
+        dx -= s
+        dx += self.background[0]
+        dy *= self.strain * 1000
+        v -= dy
+        v += self.background[1]
+        return dx, v
 
 
 @dataclass(frozen=True)
@@ -137,21 +148,21 @@ class Gridded:
     v: np.ndarray
     hold: bool = True
 
-    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nt, ni, nj = self.u.shape
-        x = min(max((t - self.t0) / self.dt, 0.0), nt - 1.0)
-        k = min(int(x), max(nt - 2, 0))
-        w = x - k
+        x = np.clip((np.asarray(t, float) - self.t0) / self.dt, 0.0, nt - 1.0)
+        k = np.clip(x.astype(int), 0, max(nt - 2, 0))
+        w, after = x - k, np.minimum(k + 1, nt - 1)
         y, z = (lat - self.lat0) / self.step, (lon - self.lon0) / self.step
         if self.hold:
             y, z = np.clip(y, 0, ni - 1), np.clip(z, 0, nj - 1)
         i, j = np.clip(np.floor(y), 0, max(ni - 2, 0)).astype(int), np.clip(np.floor(z), 0, max(nj - 2, 0)).astype(int)
         wy, wz = y - i, z - j
+        down, right = np.minimum(i + 1, ni - 1), np.minimum(j + 1, nj - 1)
 
         def at(f: np.ndarray) -> np.ndarray:
-            g = f[k] if nt == 1 else (1 - w) * f[k] + w * f[k + 1]
-            down, right = np.minimum(i + 1, ni - 1), np.minimum(j + 1, nj - 1)
-            return (1 - wy) * ((1 - wz) * g[i, j] + wz * g[i, right]) + wy * ((1 - wz) * g[down, j] + wz * g[down, right])
+            g = (lambda a, b: f[k, a, b]) if nt == 1 else (lambda a, b: (1 - w) * f[k, a, b] + w * f[after, a, b])
+            return (1 - wy) * ((1 - wz) * g(i, j) + wz * g(i, right)) + wy * ((1 - wz) * g(down, j) + wz * g(down, right))
 
         return at(self.u), at(self.v)
 

@@ -1,6 +1,7 @@
 """Outlines, results, times, styles, sources and the streaming log against hand values."""
 
 import json
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -233,3 +234,38 @@ def test_stages_have_a_time_limit():
     log, now = [], iter([0.0, 5.0, 50.0])
     assert incremental.run_stages([("a", lambda: None), ("b", lambda: None)], log.append, 10, lambda: next(now)) == "error"
     assert log == ["started", "a", "error: b: over 10 s"]
+
+
+def test_fields_take_a_time_for_each_place():
+    rng = np.random.default_rng(3)
+    packed = field.Gridded(0.0, 3600.0, 28.0, -89.0, 0.1, rng.normal(size=(4, 5, 6)), rng.normal(size=(4, 5, 6)))
+    lat, lon, t = rng.uniform(27.9, 28.6, (7, 9)), rng.uniform(-89.1, -88.3, (7, 9)), rng.uniform(-4000, 16000, (7, 1))
+    for source in (packed, field.Gyre(28.2, -89.15)):
+        got = source.velocity(lat, lon, t)
+        for k in range(7):
+            for a, b in zip(got, source.velocity(lat[k], lon[k], float(t[k, 0])), strict=True):
+                assert np.allclose(a[k], b, rtol=0, atol=1e-12)
+
+
+def test_forward_moves_releases_together(spark):
+    """More releases than fit into one array, of different times, one id twice: as when each is integrated by itself."""
+    gyre, cfg = field.Gyre(28.2, -89.15), drift.Config(particles_forward=20)
+    rows = [(k % 69, 28.0 + k % 7 * 0.05, -89.3 + k % 5 * 0.05, 1e6 + 7000.0 * k, 0.3 + k % 3) for k in range(70)]
+    got = drift.forward(spark.createDataFrame(rows, "origin long, lat double, lon double, t double, radius_km double").coalesce(1), gyre, hours=2, cfg=cfg).where("hours_elapsed = 2").collect()
+    assert len(got) == 70
+    for r in rows:
+        rng = np.random.default_rng([cfg.seed, zlib.crc32(str(r[0]).encode())])
+        a, b = drift.integrate(*drift.seed_disk(r[1], r[2], r[4], 20, rng), r[3], 7200.0, cfg.dt, cfg.windage, gyre, field.Constant())
+        want = (a.mean(), b.mean(), drift.hull_area_km2(a, b))
+        assert any(np.allclose((g.lat, g.lon, g.hull_area_km2), want, rtol=1e-9) for g in got if g.origin == r[0] and abs(g.t - r[3] - 7200) < 1)
+
+
+@pytest.mark.parametrize("stretch", [1.0, 1e-3, 0.0])
+def test_hulls_lose_no_corner(stretch):
+    rng = np.random.default_rng(5)
+    for n in (3, 17, 40, 300):
+        x, y = rng.normal(size=n), rng.normal(size=n) * stretch
+        may, whole = drift.outer(x, y), geo.convex_hull(x, y)
+        assert whole is None and geo.convex_hull(x[may], y[may]) is None or (geo.convex_hull(x[may], y[may]) == whole).all()
+    grid = np.array([(a, b) for a in range(9) for b in range(9)], float)
+    assert (geo.convex_hull(*grid[drift.outer(*grid.T)].T) == geo.convex_hull(*grid.T)).all() and drift.outer(*grid.T).sum() < 81

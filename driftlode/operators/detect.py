@@ -31,13 +31,15 @@ def nearest_wind(points: DataFrame, records: DataFrame, scene_time: Column, cuto
     Records of the scene's own time come before all others; of equals the first (by seq) wins; null if
     it has no value. First cells of a ``parts``-th of the cut-off are compared: one that holds points needs the records of
     those cells only that may be nearer than the farthest place of the best cell. Then points meet these
-    records in an equi-join on the cell.
+    records in an equi-join on the cell. Points of one place are one point there, and of the records of one
+    place, which a cache repeats for every time, only the first can win.
     """
     size = cutoff / parts
     cell = lambda c: F.floor(F.col(c) / size).cast("int")
     ours = F.when(F.col("r_ts").eqNullSafe(scene_time), 1000.0).otherwise(0.0)
-    known = records.select("seq", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "wind", F.col("ts").alias("r_ts"), cell("lat").alias("ri"), cell("lon").alias("rj")).withColumn("ours", ours)
-    at = points.withColumns({"pi": cell("lat"), "pj": cell("lon")})
+    known = records.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("ts").alias("r_ts"), cell("lat").alias("ri"), cell("lon").alias("rj"), F.struct("seq", "wind").alias("r")).withColumn("ours", ours)
+    known = known.groupBy("r_lat", "r_lon", "ri", "rj", "ours").agg(F.min("r").alias("r"))
+    at = points.select("lat", "lon").distinct().withColumns({"pi": cell("lat"), "pj": cell("lon")})
     # how near and how far a place of one cell may be from one of another
     reach = F.sequence(F.lit(-parts - 1), F.lit(parts + 1))
     near = at.select("pi", "pj").distinct().withColumn("di", F.explode(reach)).withColumn("dj", F.explode(reach)).withColumns({"ri": F.col("pi") + F.col("di"), "rj": F.col("pj") + F.col("dj")})
@@ -50,7 +52,8 @@ def nearest_wind(points: DataFrame, records: DataFrame, scene_time: Column, cuto
     there = kept.select("pi", "pj", "ri", "rj", "ours").join(known, ["ri", "rj", "ours"])
     d = F.sqrt(F.pow(F.col("lat") - F.col("r_lat"), 2) + F.pow(F.col("lon") - F.col("r_lon"), 2))
     both = at.join(there, ["pi", "pj"]).withColumn("d", d).where(F.col("d") <= cutoff)
-    best = both.groupBy("id").agg(F.min(F.struct((F.col("d") - F.col("ours")).alias("rank"), "seq", "wind")).alias("b")).select("id", F.col("b.wind").alias("wind"), F.col("b.seq").alias("record"))
+    there = both.groupBy("lat", "lon").agg(F.min(F.struct((F.col("d") - F.col("ours")).alias("rank"), F.col("r.seq").alias("seq"), F.col("r.wind").alias("wind"))).alias("b"))
+    best = points.join(there, ["lat", "lon"]).groupBy("id").agg(F.min("b").alias("b")).select("id", F.col("b.wind").alias("wind"), F.col("b.seq").alias("record"))
     return points.select("id").join(best, "id", "left")
 
 

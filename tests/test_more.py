@@ -269,3 +269,31 @@ def test_hulls_lose_no_corner(stretch):
         assert whole is None and geo.convex_hull(x[may], y[may]) is None or (geo.convex_hull(x[may], y[may]) == whole).all()
     grid = np.array([(a, b) for a in range(9) for b in range(9)], float)
     assert (geo.convex_hull(*grid[drift.outer(*grid.T)].T) == geo.convex_hull(*grid.T)).all() and drift.outer(*grid.T).sum() < 81
+
+
+def test_points_and_records_of_one_place_meet_once(spark):
+    """Many points and records on few places: the first record of the nearest place wins, and no more pairs are made than places meet."""
+    records = [(k, 28.0 + k % 5 / 50, -89.0 + k % 7 / 50, float(k), "scene" if k % 3 == 0 else "other") for k in range(700)]
+    points = [(k, 28.01 + k % 4 / 40, -89.01 + k % 3 / 40) for k in range(600)]
+    at = spark.createDataFrame(points, "id long, lat double, lon double")
+    found = detect.nearest_wind(at, spark.createDataFrame(records, "seq long, lat double, lon double, wind double, ts string"), F.lit("scene"))
+    for r in found.collect():
+        _, lat, lon = points[r.id]
+        want = min((((lat - a) ** 2 + (lon - b) ** 2) ** 0.5 - (1000.0 if ts == "scene" else 0.0), k) for k, a, b, _, ts in records)
+        assert r.record == want[1] and r.wind == float(want[1])
+    rows = []
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            rows.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its stages hide the joins
+    try:
+        plan = found.select("*")._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    walk(plan)
+    assert 0 < max(rows) < 50_000  # 600 points by 700 records are 420,000 pairs

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftlode.functions.geo import convex_hull
 
+FEW = 8
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -23,6 +24,24 @@ def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return points[[0, -1]] if len(points) > 1 else points
 
 
+def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch (k, x, y) the points that a group's hull can need, and the number of all on its first row."""
+    for frame in frames:
+        codes, _ = pd.factorize(frame["k"], use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")
+        at = np.column_stack([frame["x"], frame["y"]])[order]
+        ends = np.append(np.flatnonzero(np.diff(codes[order])) + 1, len(order))
+        firsts = np.append(0, ends[:-1])
+        # few points are passed on as they are: a hull would spare less than it costs
+        kept = [at[a:b] if b - a <= FEW else _least(*at[a:b].T) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True) if b > a]
+        if kept:
+            sizes = np.array([len(p) for p in kept])
+            n = np.zeros(sizes.sum(), np.int64)
+            n[np.cumsum(sizes) - sizes] = ends - firsts
+            x, y = np.vstack(kept).T
+            yield pd.DataFrame({"k": frame["k"].to_numpy()[np.repeat(order[firsts], sizes)], "x": x, "y": y, "n": n}).astype({"k": frame["k"].dtype})
+
+
 def hulls(points: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """(key, n, ring): how many points a group has, and its hull, counter-clockwise; null for fewer than three points or points in a line.
 
@@ -31,15 +50,6 @@ def hulls(points: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """
     kind = points.schema[key].dataType.simpleString()
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, g in frame.groupby("k", dropna=False, sort=False):
-                p = _least(g["x"].to_numpy(), g["y"].to_numpy())
-                out.append(pd.DataFrame({"k": pd.Series([k] * len(p), dtype=frame["k"].dtype), "x": p[:, 0], "y": p[:, 1], "n": [len(g)] + [0] * (len(p) - 1)}))
-            if out:
-                yield pd.concat(out)
-
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
         hull = convex_hull(frame["x"].to_numpy(), frame["y"].to_numpy())
         ring = None if hull is None else [{"x": float(a), "y": float(b)} for a, b in hull]

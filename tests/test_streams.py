@@ -4,6 +4,7 @@ import os
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,14 @@ def test_hulls_in_parts(spark):
     want = geo.convex_hull(*np.array([p[1:] for p in points if p[0] == 1]).T)
     assert [(p.x, p.y) for p in got[1].ring] == [tuple(p) for p in want.tolist()] and got[1].n == 3000
     assert got[2].ring is None and got[2].n == 50 and got[3].ring is None and got[None].n == 12 and got[None].a == pytest.approx(0.5) and set(got) == {1, 2, 3, None}
+
+
+def test_partial_hulls_of_very_many_small_groups():
+    """No frame and no hull for each small group of a batch: 60,000 groups within seconds, in any order, a null key among them."""
+    n = 120_000
+    k = pd.array([None if i % 60_000 == 7 else i % 60_000 for i in range(n)], dtype="Int64")
+    frame = pd.DataFrame({"k": k, "x": np.arange(n, dtype=float), "y": np.arange(n, dtype=float) ** 2 % 97})
+    began = time.time()
+    (out,) = hull.partial(iter([frame, frame.iloc[:0]]))
+    assert time.time() - began < 10
+    assert out["n"].sum() == n and (out.groupby("k", dropna=False)["n"].sum() == 2).all() and sorted(out["x"]) == list(range(n))

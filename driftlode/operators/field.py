@@ -34,15 +34,16 @@ def diagnostics(obs: DataFrame) -> DataFrame:
 def at_times(obs: DataFrame, asked: DataFrame, step: float = 3600.0) -> DataFrame:
     """u and v of each point (i, j) at the times asked for: linear between the hours, held at both ends.
 
-    obs: i, j, t, u, v at multiples of ``step`` from each point's first time. An equi-join on the hour before and after.
+    obs: i, j, t, u, v at multiples of ``step`` from each point's first time. An equi-join on the hour before and after. All joins are
+    sorted: where ``obs`` explodes few rows into many, Spark takes it to be small and would broadcast all of it.
     """
     ends = obs.groupBy("i", "j").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    at = asked.join(ends, ["i", "j"]).withColumn("x", (F.least(F.greatest("t", "t0"), F.col("t1")) - F.col("t0")) / step)
+    at = asked.join(ends.hint("merge"), ["i", "j"]).withColumn("x", (F.least(F.greatest("t", "t0"), F.col("t1")) - F.col("t0")) / step)
     at = at.withColumn("k", F.floor("x")).withColumn("w", F.col("x") - F.col("k"))
-    hours = obs.join(ends, ["i", "j"]).select("i", "j", F.floor((F.col("t") - F.col("t0")) / step).alias("k"), "u", "v")
+    hours = obs.join(ends.hint("merge"), ["i", "j"]).select("i", "j", F.floor((F.col("t") - F.col("t0")) / step).alias("k"), "u", "v")
     a = hours.select("i", "j", "k", F.col("u").alias("ua"), F.col("v").alias("va"))
     b = hours.select("i", "j", (F.col("k") - 1).alias("k"), F.col("u").alias("ub"), F.col("v").alias("vb"))
-    both = at.join(a, ["i", "j", "k"]).join(b, ["i", "j", "k"], "left")
+    both = at.join(a.hint("merge"), ["i", "j", "k"]).join(b.hint("merge"), ["i", "j", "k"], "left")
     mix = lambda p, q: F.col(p) + F.col("w") * (F.coalesce(F.col(q), F.col(p)) - F.col(p))
     return both.select("i", "j", "t", mix("ua", "ub").alias("u"), mix("va", "vb").alias("v"), (F.col("t") > F.col("t1")).alias("extrapolated"))
 

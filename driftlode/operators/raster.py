@@ -42,24 +42,39 @@ def box_means(pixels: DataFrame, values: dict[str, Column], size: int, height: i
 
     One pass along columns and one along rows, each a shuffle and a window frame. Lines are cut into strips of STRIP
     pixels, to which the pixels within half a window are sent too; so no task needs a whole line. Sizes come
-    from the columns scene_height and scene_width of a pixel's scene, or are the same for all scenes.
+    from the columns scene_height and scene_width of a pixel's scene, or are the same for all scenes. Places without a pixel add nothing; the
+    first pass gives those beside a pixel a row too, for the windows that reach the pixel from another line.
     """
     if size % 2 == 0:
         raise ValueError("the window must be odd")
     half = size // 2
     sides = {"row": F.lit(height) if height is not None else F.col("scene_height"), "col": F.lit(width) if width is not None else F.col("scene_width")}
 
-    def along(df: DataFrame, axis: str, other: str) -> DataFrame:
+    def filled(places: DataFrame, axis: str, group: list[str]) -> DataFrame:
+        """``places`` and, as rows without values, the empty places of a strip that lie within half a window of one."""
+        line = Window.partitionBy(*group).orderBy("_p")
+        p, before, after = F.col("_p"), F.lag("_p").over(line), F.lead("_p").over(line)
+        run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        # least and greatest leave nulls out; a place between two is the first one's if it reaches it
+        beside = F.concat(run(F.greatest(p - half, before + half + 1), p - 1), run(p + 1, F.least(p + half, after - 1)))
+        inner = F.filter(beside, lambda g: (g >= 0) & (g < sides[axis].cast("int")) & (F.floor(g / STRIP) == F.col("_s")))
+        # null stands for the place itself
+        rows = places.withColumn("_g", inner).withColumn("_g", F.explode(F.concat(F.array(F.lit(None).cast("int")), "_g")))
+        own = F.col("_g").isNull()
+        return rows.withColumns({c: F.when(own, F.col(c)) for c in values} | {"_px": own, "_p": F.coalesce("_g", "_p"), axis: F.coalesce("_g", axis).cast(places.schema[axis].dataType)}).drop("_g")
+
+    def along(df: DataFrame, axis: str, other: str, last: bool) -> DataFrame:
         at, n = F.col(axis).cast("int"), sides[axis].cast("int")
         # the places at which a pixel stands: its own, and those of its images beyond the edges
         images = F.array(at, F.when(at < half, -at - 1), F.when(at >= n - half, 2 * n - 1 - at))
         places = df.withColumn("_p", F.explode(F.filter(images, lambda x: x.isNotNull())))
         strips = F.array_distinct(F.array(F.floor((F.col("_p") - half) / STRIP), F.floor((F.col("_p") + half) / STRIP)))
-        near = Window.partitionBy("scene_id", other, "_s").orderBy("_p").rangeBetween(-half, half)
-        sums = places.withColumn("_s", F.explode(strips)).withColumns({c: F.sum(c).over(near) / size for c in values})
+        places, group = places.withColumn("_s", F.explode(strips)), ["scene_id", other, "_s"]
+        near = Window.partitionBy(*group).orderBy("_p").rangeBetween(-half, half)
+        sums = (places if last else filled(places, axis, group)).withColumns({c: F.sum(c).over(near) / size for c in values})
         return sums.where((F.col("_p") == at) & (F.floor(F.col("_p") / STRIP) == F.col("_s"))).drop("_p", "_s")
 
-    return along(along(pixels.withColumns(values), "col", "row"), "row", "col")
+    return along(along(pixels.withColumns(values), "col", "row", False), "row", "col", True).where("_px").drop("_px")
 
 
 def box_sums(pixels: DataFrame, value: str, size: int, out: str, height: int | None = None, width: int | None = None) -> DataFrame:

@@ -1,6 +1,9 @@
 """Steps whose memory or disk once grew faster than their input."""
 
-from driftlode.operators import field
+import numpy as np
+import pytest
+
+from driftlode.operators import field, raster
 
 
 def test_times_broadcast_no_table(spark):
@@ -12,3 +15,20 @@ def test_times_broadcast_no_table(spark):
     rows = {(r.i, r.j, r.t): (r.u, r.v) for r in got.collect()}
     assert len(rows) == 4 * 72
     assert rows[1, 0, 1800.0] == (1.5, 0.5) and rows[0, 1, 70 * 3600 + 1800.0] == (70.5, 69.5) and rows[0, 0, 71 * 3600 + 1800.0] == (71.0, 71.0)
+
+
+@pytest.mark.parametrize("strip", [4, 256])
+def test_windows_over_gaps(spark, monkeypatch, strip):
+    # a window reaches a pixel in a line that has none in the window's own column
+    monkeypatch.setattr(raster, "STRIP", strip)
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random((13, 17)) < 0.45, rng.random((13, 17)), np.nan)
+    v[8:, 6:] = np.nan
+    v[:, 0] = np.nan
+    there = [(0, int(r), int(c), float(v[r, c])) for r, c in zip(*np.nonzero(~np.isnan(v)), strict=True)]
+    px = spark.createDataFrame(there, "scene_id long, row int, col int, v double")
+    wide = np.nan_to_num(np.pad(v, 2, mode="symmetric"))
+    got = raster.box_sums(px, "v", 5, "m", 13, 17).collect()
+    assert len(got) == len(there) and set(got[0].asDict()) == {"scene_id", "row", "col", "v", "m"}
+    for x in got:
+        assert np.isclose(x.m, wide[x.row : x.row + 5, x.col : x.col + 5].sum() / 25), (x.row, x.col)

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from driftlode.operators import field, raster
+from pyspark.sql import functions as F
+
+from driftlode.operators import correlate, field, raster
 
 
 def test_times_broadcast_no_table(spark):
@@ -32,3 +34,29 @@ def test_windows_over_gaps(spark, monkeypatch, strip):
     assert len(got) == len(there) and set(got[0].asDict()) == {"scene_id", "row", "col", "v", "m"}
     for x in got:
         assert np.isclose(x.m, wide[x.row : x.row + 5, x.col : x.col + 5].sum() / 25), (x.row, x.col)
+
+
+def _fixes(spark):
+    rows = [(s, k, float(t), 28.0 + s / 10 + k / 50, -89.0 - k / 30) for s, times in {97: [0, 10, 10, 5e6, 9e6], 98: [40]}.items() for k, t in enumerate(times)]
+    return spark.createDataFrame(rows, "ship_id int, seq long, t double, lat double, lon double").selectExpr("concat('v', ship_id) as ship_id", "seq", "t", "lat", "lon")
+
+
+def test_rank_outside_windows_shuffles_no_pairs(spark):
+    # names as ids, tracks in several parts, equal times, windows before, between and after all fixes
+    windows = [("w0", -9.0, -1.0), ("w1", 20.0, 30.0), ("w2", 10.0, 12.0), ("w3", 6e6, 6.1e6), ("w4", 1e9, 1.1e9), ("w5", 5e6, 5e6)]
+    asked = spark.createDataFrame(windows, "detection string, start double, end double")
+    grids = asked.selectExpr("detection", "explode(array(28.0, 28.5)) as lat", "-89.1 as lon", "0.5 as p")
+    fixes = _fixes(spark)
+    got = {(x.detection, x.ship_id): x for x in correlate.score_detections(fixes, grids, asked, fallback=True).collect()}
+    assert len(got) == 2 * len(windows)
+    outside = correlate.nearest_outside(fixes, asked.selectExpr("detection", "start as low", "end as high")).collect()
+    want = {(x.detection, x.ship_id): x.seq for x in outside}
+    cells = grids.groupBy("detection").agg(F.collect_list(F.struct("lat", "lon", "p")).alias("cells"), F.avg("lat").alias("o_lat"), F.avg("lon").alias("o_lon"), F.lit(1.0).alias("reference"))
+    away = correlate.score_outside(fixes, asked.selectExpr("detection", "start as low", "end as high"), cells)
+    plan = away._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "Exchange" not in plan.split("CartesianProduct")[0].replace("isFinalPlan", "")
+    rows = {(x.detection, x.ship_id): x.seq for x in away.collect()}
+    inside = {("w2", "v97"), ("w5", "v97")}
+    assert rows == {k: v for k, v in want.items() if k not in inside}
+    assert all(got[k].positions_in_window == (0 if k in rows else got[k].positions_in_window) and (k in rows) == (got[k].positions_in_window == 0) for k in got)

@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from driftlode.llm import collisions, common
 from driftlode.operators import correlate, field, raster
 
 
@@ -60,3 +61,17 @@ def test_rank_outside_windows_shuffles_no_pairs(spark):
     inside = {("w2", "v97"), ("w5", "v97")}
     assert rows == {k: v for k, v in want.items() if k not in inside}
     assert all(got[k].positions_in_window == (0 if k in rows else got[k].positions_in_window) and (k in rows) == (got[k].positions_in_window == 0) for k in got)
+
+
+def test_sketches_meet_nodes_once(spark):
+    # 40 nodes share five values each; half of them are alike, the others alike among themselves
+    sets = {k: np.arange(60, dtype=np.uint64) + np.uint64(1000 * (k % 2) + k // 8) for k in range(1, 41)}
+    rows = [(k, [1, 2, 3, 4, 5], bytearray(collisions.sketch(60, np.full(8, k % 2, np.uint8)))) for k in sets]
+    items = spark.createDataFrame(rows, "node long, coords array<long>, sketch binary")
+    full = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, full binary")
+    counts, scratch = {}, common.Scratch()
+    keep = scratch.keep
+    scratch.keep = lambda df, name: (table := keep(df, name), counts.setdefault(name, table.count()))[0]
+    got = collisions.linked(items, 4, 80, lambda nodes: full.join(nodes, "node"), lambda xs: [np.frombuffer(x, np.uint64) for x in xs], scratch)
+    assert {(x.node, x.component) for x in got.collect()} == {(k, 2 - k % 2) for k in sets}
+    assert 0 < counts["long"] <= len(sets)

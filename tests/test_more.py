@@ -297,3 +297,31 @@ def test_points_and_records_of_one_place_meet_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     walk(plan)
     assert 0 < max(rows) < 50_000  # 600 points by 700 records are 420,000 pairs
+
+
+def test_a_sheared_cloud_is_near_its_centre(spark, tmp_path):
+    """The mean of these clouds lies over the bound away from their centres' ways, their particles don't."""
+    from driftlode.plans import tracks
+
+    spark.createDataFrame([(872,), (4876,), (1,)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/a/supplier.parquet")
+    assert [r.near for r in tracks.forecast_centres(spark, f"{tmp_path}/a").collect()] == [True] * 3
+    spark.createDataFrame([(366,)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/b/supplier.parquet")
+    assert {r.hour: r.near for r in tracks.ensemble_centres(spark, f"{tmp_path}/b").collect()} == {1.0: True, 23.0: True, 47.0: True}
+
+
+@pytest.mark.parametrize("clouds", [(), (1.0, 3.0)])
+def test_clouds_come_along(spark, clouds):
+    at = spark.createDataFrame([(1, 28.2, -89.1, 0.0, 1.0)], "origin long, lat double, lon double, t double, radius_km double")
+    cfg = drift.Config(dt=1800.0, particles_forward=20, particles_back=30, max_hours=6.0)
+    track = drift.forward(at, field.Constant(0.2, 0.1), hours=4, cfg=cfg, clouds=clouds).collect()
+    ring = spark.createDataFrame([(1, 0.0, 4.0, [(-89.1, 28.2), (-89.0, 28.2), (-89.0, 28.3)])], "detection long, t double, area_km2 double, ring array<struct<x double, y double>>")
+    members = drift.backtrack(ring, field.Constant(0.2, 0.1), cfg=cfg, clouds=clouds).collect()
+    for rows, hour, n in ((track, "hours_elapsed", 20), (members, "hour", 30)):
+        told = {r[hour]: r for r in rows}
+        if not clouds:
+            assert "lats" not in rows[0]
+            continue
+        assert {h for h, r in told.items() if r.lats is not None} == set(clouds)
+        for h in clouds:
+            assert len(told[h].lats) == len(told[h].lons) == n
+            assert (np.mean(told[h].lats), np.mean(told[h].lons)) == pytest.approx((told[h].lat, told[h].lon), abs=1e-9)

@@ -46,13 +46,15 @@ def _cross(p: Column, q: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    """struct<x,y>: the planar centroid of a ring."""
+    """struct<x,y>: the planar centroid of a ring. Moments are taken about the first vertex: about 0 they lose half the digits of a small ring."""
+    first = F.get(ring, F.lit(0))
+    own = F.transform(ring, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
 
-    def moment(axis: str) -> Column:
-        terms = F.transform(ring, lambda p, i: (p[axis] + F.get(ring, (i + 1) % F.size(ring))[axis]) * _cross(p, F.get(ring, (i + 1) % F.size(ring))))
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / (3 * ring_area2(ring))
+    def moment(own: Column, axis: str) -> Column:
+        terms = F.transform(own, lambda p, i: (p[axis] + F.get(own, (i + 1) % F.size(own))[axis]) * _cross(p, F.get(own, (i + 1) % F.size(own))))
+        return first[axis] + F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / (3 * ring_area2(own))
 
-    return F.struct(moment("x").alias("x"), moment("y").alias("y"))
+    return F.element_at(F.transform(F.array(own), lambda o: F.struct(moment(o, "x").alias("x"), moment(o, "y").alias("y"))), 1)
 
 
 def vertices(rings: Column) -> Column:

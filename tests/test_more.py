@@ -309,6 +309,13 @@ def test_a_sheared_cloud_is_near_its_centre(spark, tmp_path):
     assert {r.hour: r.near for r in tracks.ensemble_centres(spark, f"{tmp_path}/b").collect()} == {1.0: True, 23.0: True, 47.0: True}
 
 
+def test_centroid_of_a_small_ring_far_from_zero(spark):
+    corners = [(-0.05, -0.01), (0.05, -0.02), (0.06, 0.01), (-0.04, 0.02)]
+    ring = F.array(*[F.struct(F.lit(-88.8 + a).alias("x"), F.lit(28.1 + b).alias("y")) for a, b in corners])
+    c = spark.range(1).select(geo.ring_centroid(ring).alias("c")).first().c
+    assert (c.x, c.y) == pytest.approx((-88.795, 28.1), abs=1e-12)  # moments about 0 gave -88.79499999874761
+
+
 @pytest.mark.parametrize("clouds", [(), (1.0, 3.0)])
 def test_clouds_come_along(spark, clouds):
     at = spark.createDataFrame([(1, 28.2, -89.1, 0.0, 1.0)], "origin long, lat double, lon double, t double, radius_km double")

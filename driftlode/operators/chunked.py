@@ -8,11 +8,12 @@ several groups. Neither field nor particles pass through the driver, which gets
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from driftlode.operators.field import Constant, Field, clean
 from driftlode.operators.linking import forget, kept
 
 AT_ONCE = 50_000  # particles of a box that one group moves
+PART_ROWS = 1 << 17  # nodes that are packed together
 BOX = ["box_t", "box_y", "box_x"]
 AXES = ("t", "lat", "lon")
 
@@ -62,20 +64,88 @@ def _box_range(axes: Axes, size: tuple[float, float, float]) -> list[tuple[int,
 PACKED = "box_t long, box_y long, box_x long, k0 int, i0 int, j0 int, nk int, ni int, nj int, u binary, v binary"
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["k", "i", "j"])
-    low, high = pdf[["k", "i", "j"]].min().to_numpy(), pdf[["k", "i", "j"]].max().to_numpy()
-    return pd.DataFrame([(*pdf[BOX].iloc[0], *low, *(high - low + 1), pdf["u"].to_numpy(float).tobytes(), pdf["v"].to_numpy(float).tobytes())], columns=[c.split()[0] for c in PACKED.split(", ")])
+PART = "box_t long, box_y long, box_x long, nodes binary"
+NODE = np.dtype([("k", "<i4"), ("i", "<i4"), ("j", "<i4"), ("u", "<f8"), ("v", "<f8")])
+
+
+def _dealt(axes: Axes, size: tuple[float, float, float], margin: int):
+    """Nodes by box, packed as bytes: what PART_ROWS rows of a task have for a box is one row of the shuffle."""
+    ends = _box_range(axes, size)
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        at = [rows.column(c).to_numpy() for c in AXES]
+        own = np.empty(rows.num_rows, NODE)
+        for k, c in enumerate("kij"):
+            own[c] = np.rint((at[k] - axes.first[k]) / axes.step[k])
+        own["u"], own["v"] = rows.column("u").to_numpy(), rows.column("v").to_numpy()
+        row, boxes = np.arange(len(own)), []
+        for x, width, step, (low, high) in zip(at, size, axes.step, ends, strict=True):
+            reach = step * (margin + 1)
+            first, last = np.maximum(np.floor((x - reach) / width), low).astype(np.int64), np.minimum(np.floor((x + reach) / width), high).astype(np.int64)
+            n = (last - first + 1)[row]
+            again = np.repeat(np.arange(len(row)), n)
+            boxes = [b[again] for b in boxes]
+            row = row[again]
+            boxes.append(first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+        order = np.lexsort(boxes[::-1])
+        own, boxes = own[row[order]], [b[order] for b in boxes]
+        cuts = np.flatnonzero(np.any([np.diff(b, prepend=b[:1] - 1) != 0 for b in boxes], axis=0))
+        ends_at = np.append(cuts[1:], len(own))
+        return pa.RecordBatch.from_arrays([*(pa.array(b[cuts]) for b in boxes), pa.array([own[a:z].tobytes() for a, z in zip(cuts, ends_at, strict=True)], pa.binary())], names=[*BOX, "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PART_ROWS:
+                yield packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield packed(pa.Table.from_batches(held))
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a box, which come one after another, as one."""
+    box, held, out = None, [], []
+
+    def whole() -> tuple:
+        nodes = np.frombuffer(b"".join(held), NODE)
+        at = np.array([nodes[c] for c in "kij"])
+        low = at.min(axis=1)
+        n = at.max(axis=1) - low + 1
+        u, v = np.full((2, *n), np.nan)
+        u[tuple(at - low[:, None])], v[tuple(at - low[:, None])] = nodes["u"], nodes["v"]
+        if len(nodes) != u.size or np.isnan(u).any():
+            raise ValueError("the table is no full grid")
+        return (*box, *low.tolist(), *n.tolist(), u.tobytes(), v.tobytes())
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.int32()] * 6 + [pa.binary()] * 2, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    for batch in batches:
+        for *key, nodes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if key != box and held:
+                out.append(whole())
+                held = []
+                if len(out) == 64:
+                    yield rows()
+                    out = []
+            box = key
+            held.append(nodes)
+    if held:
+        out.append(whole())
+    if out:
+        yield rows()
 
 
 def boxes(table: DataFrame, axes: Axes, size: tuple[float, float, float], margin: int = 1) -> DataFrame:
     """The field by boxes of ``size`` (seconds, degrees, degrees): a row for each, with ``margin`` nodes more on each side."""
-    rows = table.select(*(F.rint(_index(axes, k)).cast("int").alias(c) for k, c in enumerate("kij")), *(F.col(c).cast("double").alias(c) for c in AXES), *(clean(F.col(c).cast("double")).alias(c) for c in "uv"))
-    for (low, high), c, box, width, step in zip(_box_range(axes, size), AXES, BOX, size, axes.step, strict=True):
-        reach = step * (margin + 1)
-        near = F.sequence(F.greatest(F.floor((F.col(c) - reach) / width), F.lit(low)), F.least(F.floor((F.col(c) + reach) / width), F.lit(high)))
-        rows = rows.withColumn(box, F.explode(near))
-    return rows.groupBy(*BOX).applyInPandas(_pack, PACKED)
+    rows = table.select(*(F.col(c).cast("double").alias(c) for c in AXES), *(clean(F.col(c).cast("double")).alias(c) for c in "uv"))
+    parts = rows.dropna(subset=list(AXES)).mapInArrow(_dealt(axes, size, margin), PART)
+    return parts.repartition(*BOX).sortWithinPartitions(*BOX).mapInArrow(_pack, PACKED)
 
 
 @dataclass(frozen=True)
@@ -151,27 +221,26 @@ def advect(particles: DataFrame, current: DataFrame | Field, wind: DataFrame | F
     alpha = F.col("alpha").cast("double") if "alpha" in particles.columns else F.lit(0.0)
     now = particles.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "t")), alpha.alias("alpha"), F.lit(0).cast("long").alias("done"), F.lit(True).alias("snapshot"))
 
-    def moved(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        fields = dict(plain)
-        for row in right.itertuples():
-            shape = (row.nk, row.ni, row.nj)
-            fields[row.which] = Piece(axes[row.which], hold, (row.k0, row.i0, row.j0), *(np.frombuffer(b).reshape(shape) for b in (row.u, row.v)))
-        lat, lon, t, share, done = (left[c].to_numpy().copy() for c in ("lat", "lon", "t", "alpha", "done"))
-        ids, out, on = left["id"].to_numpy(), [], np.arange(len(left))
+    def moved(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        fields, box = dict(plain), [k.as_py() for k in key[:3]]
+        for row in right.to_pylist():
+            shape = (row["nk"], row["ni"], row["nj"])
+            fields[row["which"]] = Piece(axes[row["which"]], hold, (row["k0"], row["i0"], row["j0"]), *(np.frombuffer(row[c]).reshape(shape) for c in "uv"))
+        lat, lon, t, share, done = (left.column(c).to_numpy().copy() for c in ("lat", "lon", "t", "alpha", "done"))
+        out, on = [], np.arange(len(lat))
         while len(on):
             lat[on], lon[on] = _step(lat[on], lon[on], t[on], sign * dt, share[on], fields["current"], fields["wind"], integrator)
             t[on] += sign * dt
             done[on] += 1
-            told = on[(done[on] == steps) | (done[on] % every == 0)] if every else on[done[on] == steps]
-            if len(told):
-                out.append(pd.DataFrame({"id": ids[told], "lat": lat[told], "lon": lon[told], "t": t[told], "alpha": share[told], "done": done[told], "snapshot": True}))
-            here = np.all([np.floor(x[on] / w) == k for x, w, k in zip((t, lat, lon), size, key[:3], strict=True)], axis=0)
             going = done[on] < steps
-            leaves = on[going & ~here]
-            if len(leaves):
-                out.append(pd.DataFrame({"id": ids[leaves], "lat": lat[leaves], "lon": lon[leaves], "t": t[leaves], "alpha": share[leaves], "done": done[leaves], "snapshot": False}))
+            here = np.logical_and.reduce([np.floor(x[on] / w) == k for x, w, k in zip((t, lat, lon), size, box, strict=True)])
+            for rows, snapshot in ((on[~going | (done[on] % every == 0)] if every else on[~going], True), (on[going & ~here], False)):
+                if len(rows):
+                    out.append((rows, lat[rows], lon[rows], t[rows], done[rows], np.full(len(rows), snapshot)))
             on = on[going & here]
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in MOVED.split(", ")])
+        rows, lats, lons, times, n, snapshots = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, int)] * 5 + [np.zeros(0, bool)]
+        columns = [left.column("id").take(pa.array(rows)), pa.array(lats), pa.array(lons), pa.array(times), pa.array(share[rows]), pa.array(n, pa.int64()), pa.array(snapshots)]
+        return pa.table([c.cast(k) for c, k in zip(columns, (pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.bool_()), strict=True)], names=[c.split()[0] for c in MOVED.split(", ")])
 
     still = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("t").isNotNull()
     written = [*packed.values(), kept(now if every or not steps else now.where(~still), "moved")]
@@ -192,7 +261,7 @@ def advect(particles: DataFrame, current: DataFrame | Field, wind: DataFrame | F
         mine = at.join(full, BOX).withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).drop("groups")
         keys = [*BOX, "part"]
         both = mine.repartition(parts, *keys).groupBy(*keys).cogroup(reduce(DataFrame.unionByName, sent).groupBy(*keys))
-        after = kept(both.applyInPandas(moved, MOVED), "moved")
+        after = kept(both.applyInArrow(moved, MOVED), "moved")
         written += [full, after]
         told.append(after.where("snapshot"))
         now = after.where("not snapshot")

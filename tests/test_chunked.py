@@ -98,3 +98,35 @@ def test_proximity_to_very_many_cells(spark):
     fixes = spark.createDataFrame([(k % 7, k, 3600.0 * (k % 50), *p) for k, p in enumerate(places)] + [(1, 900, 10.0, *places[0])] * 2, "ship_id long, seq long, t double, lat double, lon double")
     both = [sorted(map(tuple, correlate.score_vessels(fixes, grid, 0.0, 90_000.0, many_cells=many).collect())) for many in (False, True)]
     assert len(both[0]) == 7 and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(*both, strict=True))
+
+
+def test_nodes_are_packed_before_they_are_shuffled(spark):
+    table = grid(spark, 30, 6, 60, speed=0.4)
+    axes, size = chunked.axes_of(table), (8 * 3600.0, 0.2, 1.5)
+    got = chunked.boxes(table, axes, size)
+    kept = {(r.t, r.lat, r.lon): (r.u or 0.0, r.v) for r in table.collect()}
+    places = sorted({p[0] for p in kept}), sorted({p[1] for p in kept}), sorted({p[2] for p in kept})
+    rows = got.collect()
+    assert len(rows) == len({tuple(r)[:3] for r in rows}) == np.prod([b - a + 1 for a, b in chunked._box_range(axes, size)])
+    for r in rows:
+        u, v = (np.frombuffer(b).reshape(r.nk, r.ni, r.nj) for b in (r.u, r.v))
+        for x, low, n, box, width, step in zip(places, (r.k0, r.i0, r.j0), (r.nk, r.ni, r.nj), tuple(r), size, axes.step, strict=False):
+            mine = [k for k, p in enumerate(x) if np.floor((p - 2 * step) / width) <= box <= np.floor((p + 2 * step) / width)]
+            assert mine == list(range(low, low + n))
+        assert all((u[k, i, j], v[k, i, j]) == kept[places[0][r.k0 + k], places[1][r.i0 + i], places[2][r.j0 + j]] for k in range(r.nk) for i in range(r.ni) for j in range(r.nj))
+    found = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its stages hide the exchanges
+    try:
+        plan = got.select("*")._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    walk(plan)
+    assert 0 < sum(found) < 1000  # 10,800 nodes, most of them in several boxes

@@ -28,6 +28,7 @@ MINIMA, LEAST = 48, 24
 PREFIX = MINIMA - LEAST + 1
 CHUNK = 2048
 FREQUENT = 1 << 20  # pairs whose frequency is told to the tasks, at most
+FEW = 1 << 20  # ids that are broadcast
 
 _rng = np.random.default_rng(20240501)
 _MUL = _rng.integers(0, 2**31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -179,4 +180,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     gone = free_name(docs)
     lost = near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col(id_col).alias(gone)).distinct()
+    # few ids go to the documents: Spark guesses their number too high, and would shuffle all texts to meet them
+    lost = F.broadcast(lost) if lost.count() <= FEW else lost
     return docs.join(lost, F.col(f"`{id_col}`") == F.col(gone), "left_anti")

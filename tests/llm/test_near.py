@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from driftlode.llm import minhash, queries
 from driftlode.llm.components import union_find
 
@@ -50,3 +52,20 @@ def test_an_id_has_the_links_of_all_its_texts(spark):
     assert sorted(got, key=str) == sorted([(5, 2, False)] * 3 + [(9, 2, False), (2, 2, True), (7, 7, True), (None, None, True)], key=str)
     kept = minhash.drop_near_duplicates(docs, words=4)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "None"]
+
+
+@pytest.mark.parametrize(("few", "joined"), [(1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_few_lost_ids_go_to_the_texts(spark, monkeypatch, few, joined):
+    """The texts aren't shuffled to meet the few ids that go, however large Spark takes their table to be."""
+    monkeypatch.setattr(minhash, "FEW", few)
+    words = [" ".join(f"w{k}x{n}" for n in range(30)) for k in range(6)]
+    docs = spark.createDataFrame([*enumerate(words), (6, words[0]), (7, words[3] + " more"), (None, words[0])], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = minhash.drop_near_duplicates(docs)
+        assert {r.doc_id for r in left.collect()} == {None, 0, 1, 2, 3, 4, 5}
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert joined in plan

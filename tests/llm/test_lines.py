@@ -3,6 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftlode.llm import linededup, queries
@@ -73,3 +75,39 @@ def test_a_document_of_very_many_lines(spark):
         patch.setattr(linededup, "removed_lines", lambda *_: gone)
         (row,) = linededup.dedup_lines(docs, count_cols=True).collect()
     assert time.time() - began < 30 and row.text == "\n".join(lines[:30_000]) and (row.n_lines, row.n_removed) == (60_000, 30_000)
+
+
+def test_sets_are_made_once_for_several_blocks():
+    from driftlode.llm import collisions
+
+    rng = np.random.default_rng(5)
+    lines = ["".join(rng.choice(list("abcdefgh"), 60)) for _ in range(8)]
+    lines[7] = lines[0][:-1] + "z"
+    asked = []
+
+    def shingles(full):
+        asked.extend(full)
+        return linededup.shingle_sets(full, 5)
+
+    run = collisions._compared(0, 80, shingles)
+    table = pa.table({"node": np.arange(8), "c": np.arange(8), "left": np.arange(8) < 4, "sketch": [collisions.sketch(0, np.zeros(48, np.uint8))] * 8, "full": lines})
+    assert [run(table).to_pydict() for _ in range(3)] == [{"a": [0], "b": [7]}] * 3
+    assert sorted(asked) == sorted(lines)
+
+
+def test_chunks_and_empty_bins_give_the_same_minima():
+    rng = np.random.default_rng(6)
+    lines = ["".join(rng.choice(list("abcdefghij"), n)) for n in (3, 5, 6, 9, 14, 40, 150, 700, 5000)] * 3
+    lines += ["".join(rng.choice(list("abcdefghij"), 3000)) for _ in range(60)]
+    for line, row in zip(lines, linededup.minima(lines, 5), strict=True):
+        low = {}
+        for h in linededup.shingle_set(line, 5).tolist():
+            at = (h >> 40) * linededup.BINS >> 24
+            low[at] = min(low.get(at, 2**64), h & (2**40 - 1))
+        full = sorted(low)
+        for at in range(linededup.BINS):
+            took = [p for p in [at, *linededup._BORROW[:, at].tolist()] if p in low]
+            took = took[0] if took else next((f for f in full if f > at), full[0])
+            assert row[at] == low[took]
+    for line, got in zip(lines, linededup.shingle_sets(lines, 5), strict=True):
+        assert got.tolist() == linededup.shingle_set(line, 5).tolist()

@@ -114,6 +114,10 @@ class Gyre:
         s = self.speed * F.exp(-(r * r) / (2 * self.length_km**2)) * (0.6 + 0.4 * F.sin(2 * math.pi * t / self.period_s))
         return s * (-dy / safe) + self.background[0] + self.strain * dx * 1000, s * (dx / safe) + self.background[1] - self.strain * dy * 1000
 
+    def phase(self, t):
+        """The time in the period: velocities of equal phases are the same, and smooth but at the eddy's middle, so that flow.Map may take the steps."""
+        return t % self.period_s
+
     def velocity(self, lat: np.ndarray, lon: np.ndarray, t: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         dy, dx = (lat - self.lat) * 111.32, (lon - self.lon) * (111.32 * math.cos(math.radians(self.lat)))
         r2 = dx * dx

@@ -1,12 +1,14 @@
 """Steps whose memory or disk once grew faster than their input."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from driftlode.llm import collisions, common
-from driftlode.operators import correlate, field, raster
+from driftlode.operators import correlate, drift, field, raster
 
 
 def test_times_broadcast_no_table(spark):
@@ -75,3 +77,38 @@ def test_sketches_meet_nodes_once(spark):
     got = collisions.linked(items, 4, 80, lambda nodes: full.join(nodes, "node"), lambda xs: [np.frombuffer(x, np.uint64) for x in xs], scratch)
     assert {(x.node, x.component) for x in got.collect()} == {(k, 2 - k % 2) for k in sets}
     assert 0 < counts["long"] <= len(sets)
+
+
+def test_particles_of_one_phase_share_their_steps():
+    # each particle once took every step of its own; near the eddy's middle it still does
+    taken = []
+
+    class Counted(field.Gyre):
+        def velocity(self, lat, lon, t):
+            taken.append(np.size(lat))
+            return super().velocity(lat, lon, t)
+
+    rng, gyre, still = np.random.default_rng(4), Counted(28.2, -89.15), field.Constant()
+    lat, lon = 28.2 + rng.uniform(-0.3, 0.3, (4, 15_000)), -89.15 + rng.uniform(-0.4, 0.4, (4, 15_000))
+    for backward, t in ((True, 5e6), (False, 5e6), (False, 5e6 + gyre.period_s)):
+        taken.clear()
+        got = drift.integrate(lat, lon, t, 7200.0, 300.0, 0.03, gyre, still, backward)
+        want, sign = (lat, lon), -1.0 if backward else 1.0
+        for k in range(24):
+            want = drift.step_by(*want, t + sign * k * 300.0, sign * 300.0, 0.03, field.Gyre(28.2, -89.15), still, "rk4")
+        assert np.abs(np.array(got) - np.array(want)).max() < 1e-10  # degrees
+    assert sum(taken) < 4 * 24 * lat.size / 2  # those that came a period later
+
+
+def test_detections_of_one_phase_move_as_alone(spark):
+    # more than move together, of two phases and several periods; one comes twice
+    gyre, cfg = field.Gyre(28.2, -89.15), drift.Config(particles_back=300, particles_forward=40, max_hours=10.0)
+    rows = [(k, 1e6 + k % 2 * 5000.0 + k // 10 * gyre.period_s, None if k % 3 else 20.0, [(-89.2 + k / 100, 28.1), (-89.1 + k / 100, 28.1), (-89.1 + k / 100, 28.2)]) for k in range(40)]
+    seen = spark.createDataFrame([*rows, rows[7]], "detection long, t double, area_km2 double, ring array<struct<x double, y double>>")
+    got = drift.backtrack(seen, gyre, cfg=cfg).toPandas().sort_values(["detection", "seq"])
+    assert len(got) == 40 * 5
+    for k, t, area, ring in rows:
+        use = dataclasses.replace(cfg, seed_radius_km=drift.release_radius_km(area)) if area else cfg
+        want, own = drift.backtrack_one(k, np.array(ring), t, area, gyre, field.Constant(), use), got[got.detection == k]
+        for c in want.columns:
+            assert np.allclose(own[c], want[c], rtol=1e-6, atol=1e-9), c

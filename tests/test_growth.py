@@ -112,3 +112,13 @@ def test_detections_of_one_phase_move_as_alone(spark):
         want, own = drift.backtrack_one(k, np.array(ring), t, area, gyre, field.Constant(), use), got[got.detection == k]
         for c in want.columns:
             assert np.allclose(own[c], want[c], rtol=1e-6, atol=1e-9), c
+
+
+def test_centres_are_dealt_and_clouds_not_broadcast(spark, tmp_path):
+    # a file of suppliers was one task for all steps, and Spark took the clouds for as small as the detections
+    from driftlode.plans import tracks
+
+    spark.range(1, 200).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    way = drift.euler_track(tracks.centres(spark, str(tmp_path)), field.Gyre(28.2, -89.15), 3, 300.0)
+    assert way.rdd.getNumPartitions() == 4 and way.count() == 199
+    assert "Broadcast" not in tracks.ensemble_centres(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()

@@ -122,3 +122,37 @@ def test_centres_are_dealt_and_clouds_not_broadcast(spark, tmp_path):
     way = drift.euler_track(tracks.centres(spark, str(tmp_path)), field.Gyre(28.2, -89.15), 3, 300.0)
     assert way.rdd.getNumPartitions() == 4 and way.count() == 199
     assert "Broadcast" not in tracks.ensemble_centres(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tracks_meet_windows_of_their_time_in_groups(spark):
+    # a row for each pair of a track and a pack of windows once sent the pack's cells for every track
+    windows = spark.range(0, 300).selectExpr("id as detection", "id * 40000e0 as low", "id * 40000e0 + 9000e0 as high")
+    cells = windows.selectExpr("detection", "array(struct(28.0 as lat, -89.0 as lon, 1e0 as p)) as cells", "28.0 as o_lat", "-89.0 as o_lon", "1e0 as reference")
+    fixes = spark.range(0, 3000).selectExpr("id % 100 as ship_id", "id as seq", "id * 400e0 as t", "28.0 + id % 7 / 9 as lat", "-89.0 + id % 5 / 9 as lon")
+    away = correlate.score_outside(fixes, windows, cells)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its stages hide the joins
+    try:
+        plan = away.select("*")._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    met, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        met += [node.metrics().apply("numOutputRows").value()] if "CartesianProduct" in node.nodeName() else []
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert len(met) == 1 and 0 < met[0] < 100  # 100 tracks by 3 packs were 300 at least
+    got = away.toPandas()
+    assert len(got) == got.groupby(["detection", "ship_id"]).ngroups
+    r = got[(got.detection == 299) & (got.ship_id == 7)].iloc[0]
+    p, q, dx = np.radians(28.0), np.radians(28.0 + 2907 % 7 / 9), np.radians(2907 % 5 / 9)
+    km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(dx / 2) ** 2))
+    assert r.seq == 2907 and np.isclose(r.km, km, rtol=1e-12) and np.isclose(r.prox, np.exp(-km / 8), rtol=1e-9)
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(1)
+    values = [0.0, 0.5, 0.05, 0.15, 0.25, 2.675, 1.005, 1e15, -0.05, -3.3, 9.95, float("nan"), float("inf"), None, *rng.uniform(0, 100, 2000).tolist(), *(rng.integers(0, 10**7, 2000) / 2e6).tolist()]
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    for n in (1, 2, 6):
+        assert x.where(~correlate._rounded(F.col("x"), n).eqNullSafe(F.round("x", n))).count() == 0

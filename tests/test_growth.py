@@ -156,3 +156,21 @@ def test_rounding_is_that_of_spark(spark):
     x = spark.createDataFrame([(v,) for v in values], "x double")
     for n in (1, 2, 6):
         assert x.where(~correlate._rounded(F.col("x"), n).eqNullSafe(F.round("x", n))).count() == 0
+
+
+def test_ensembles_of_one_phase_ask_the_field_less():
+    taken = []
+
+    class Counted(field.Gyre):
+        def velocity(self, lat, lon, t):
+            taken.append(np.size(lat))
+            return super().velocity(lat, lon, t)
+
+    gyre, cfg, ring = Counted(28.2, -89.15), drift.Config(max_hours=12.0), np.array([(-0.05, -0.01), (0.05, -0.02), (0.06, 0.01), (-0.04, 0.02)])
+    for day in range(8):
+        taken.clear()
+        seen = [drift.Seen(100 * day + k, [[ring + (-89.3 + k % 11 * 0.05, 28.0 + k % 7 * 0.05)]], 25.0, 2.8) for k in range(16)]
+        got = drift.backtrack_alike(seen, 1e6 + day * gyre.period_s, gyre, field.Constant(), cfg)
+        assert len(got) == 16 * 6
+    own = 4 * 12 * (500 * 11 + 150 * sum(range(1, 12, 2)))  # asked by a detection that takes all its steps alone
+    assert sum(taken) < 16 * own / 2
